@@ -143,18 +143,19 @@ def _opened(text: Column) -> Column:
 def _examples(rows: list, seed: int) -> tuple[list, list[int], list[int]]:
     """Features, answers and folds: each sampled text as it is, and cut at up to two places.
 
-    A few copies of a text share a fold, so that none vouches for another; an ending
-    with many is how texts end, and is spread over all folds.
+    A few copies of a text share a fold, so that none vouches for another, and so do any
+    number at a limit; else an ending with many copies is how texts end, and is spread
+    over all folds.
     """
     random = np.random.default_rng(seed)
     x, y, group = [], [], []
     seen = Counter(row.tail for row in rows)
-    often = {tail: n >= COPIES for tail, n in seen.items()}
+    often = {tail for tail, n in Counter(row.tail for row in rows if not row.limits).items() if n >= COPIES}
     for row in rows:
         x.append(features(row.tail, row.source or "", row.limits, row.opened))
         y.append(0)
         seen[row.tail] -= 1
-        group.append((zlib.crc32(row.tail.encode("utf-8", "replace")) + (seen[row.tail] if often[row.tail] else 0)) % FOLDS)
+        group.append((zlib.crc32(row.tail.encode("utf-8", "replace")) + (seen[row.tail] if row.tail in often and not row.limits else 0)) % FOLDS)
         for cut in row.cuts:
             head, after = cut.head, cut.after
             closed = head.rstrip()

@@ -19,7 +19,7 @@ UNION ALL SELECT 'focus_score', objective_lens, focus_score, processed_at FROM p
 
 
 @query("p2_percentiles", sql=f"""
-WITH r AS (SELECT field, objective_lens, v FROM ({_LONG}) WHERE v IS NOT NULL AND NOT isnan(v) AND v >= 0),
+WITH r AS (SELECT field, objective_lens, v FROM ({_LONG}) WHERE v IS NOT NULL AND CAST(v AS VARCHAR) <> 'nan' AND v >= 0),
 q AS (SELECT unnest({PROBS}::DOUBLE[]) AS q)
 SELECT field, objective_lens, q.q AS q, count(*) AS n_values,
   round(CASE q.q {' '.join(f'WHEN {p} THEN quantile_cont(v, {p})' for p in PROBS)} END, 6) AS value, 0.0::DOUBLE AS max_error
