@@ -12,18 +12,19 @@ BLANKS = " \t\n\r\x0b\x0c\u00a0\u3000"
 def stripped(column: Column | str) -> Column:
     """Without outer blanks; null when nothing is left."""
     column = F.col(column) if isinstance(column, str) else column
-    bare = F.btrim(column, F.lit(BLANKS))
-    return F.when(bare != "", bare)
+    return F.nullif(F.btrim(column, F.lit(BLANKS)), F.lit(""))
 
 
 def tidy_upper(column: Column | str) -> Column:
     """Image, slide and patient ids; null and blank refer to nothing and give null."""
-    return F.upper(stripped(column))
+    column = F.col(column) if isinstance(column, str) else column
+    return F.nullif(F.upper(F.btrim(column, F.lit(BLANKS))), F.lit(""))
 
 
 def tidy_lower(column: Column | str) -> Column:
     """Tar, source and split names, digests."""
-    return F.lower(stripped(column))
+    column = F.col(column) if isinstance(column, str) else column
+    return F.nullif(F.lower(F.btrim(column, F.lit(BLANKS))), F.lit(""))
 
 
 def tidy_path(column: Column | str) -> Column:
@@ -32,11 +33,10 @@ def tidy_path(column: Column | str) -> Column:
     '..' steps stay as they are, since what they mean depends on links. Null and
     blank paths, and paths of separators and '.' only, give null.
     """
-    path = F.regexp_replace(tidy_lower(column), r"[/\\]+", "/")
-    path = F.regexp_replace(path, r"(?<![^/])\.(?=/|\z)", "")
-    path = F.regexp_replace(path, r"/{2,}", "/")
-    path = F.btrim(path, F.lit("/"))
-    return F.when(path != "", path)
+    column = F.col(column) if isinstance(column, str) else column
+    path = F.replace(F.lower(F.btrim(column, F.lit(BLANKS))), F.lit("\\"), F.lit("/"))
+    path = F.regexp_replace(path, r"(?<![^/])(?:\.?/)+|(?<![^/])\.\z", "")
+    return F.nullif(F.btrim(path, F.lit("/")), F.lit(""))
 
 
 def folder_of(path: Column) -> Column:
