@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions.identifiers import tidy_lower, tidy_upper
 from tessella.llm.suffixes import coverage, near_digests
 from tessella.plans.registry import Registry
-from tessella.session import read
+from tessella.session import cut_lineage, read
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -29,10 +29,13 @@ def _digest(column: str) -> Column:
 
 
 def image_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(image, l, r, split, sha, thumb, others): l in train, r in val or test; the rest is out."""
+    """(image, l, r, sha, thumb, others): l in train, r in val or test; the rest is out.
+
+    They are written once, since every kind of overlap reads them again.
+    """
     splits = patient_splits(read(spark, sf_dir, "patient_level_split")).filter("split IN ('train', 'val', 'test')")
     rows = read(spark, sf_dir, "processing").select(tidy_upper("image_id").alias("image"), tidy_upper("patient_id").alias("patient"), _digest("source_sha256").alias("sha"), _digest("thumb_hash").alias("thumb"), F.col("duplicate_source_image_ids").alias("others"))
-    return rows.filter("image IS NOT NULL").join(splits, "patient").select("image", (F.col("split") == "train").alias("l"), (F.col("split") != "train").alias("r"), "split", "sha", "thumb", "others")
+    return cut_lineage(rows.filter("image IS NOT NULL").join(splits, "patient").select("image", (F.col("split") == "train").alias("l"), (F.col("split") != "train").alias("r"), "sha", "thumb", F.when(F.size("others") > 0, F.col("others")).alias("others")))
 
 
 def _digests(facts: DataFrame) -> DataFrame:
