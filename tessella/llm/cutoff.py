@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,14 +33,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessella.session import cut_lineage
+
 #: Hashed weights; 2^18 of 4 bytes go to each worker.
 BITS = 18
+#: Most features of one text.
+WIDTH = 28
 #: Characters of the ending that are looked at.
 TAIL = 96
 #: Marks that tools leave where they stop (fixed values).
 MARKS = ("…", "...", " …", " ...", " [...", " [...]", " [", "--more--", "--More--", "�", "<more>", "[truncated]", " (cont", "[cut]", " <tr", "&nb", "<", "&", " <br", "&am")
 #: Texts used for the fit, in all and of one source.
-SAMPLE, PER_SOURCE = 60_000, 12_000
+SAMPLE, PER_SOURCE = 30_000, 6_000
+#: Limits up to this number are broadcast.
+BROADCAST_LIMITS = 100_000
 #: Probability from which a text counts as cut.
 THRESHOLD = 0.5
 #: Texts whose ending, judged by fits without them, is cut with at least this probability
@@ -48,7 +55,8 @@ DOUBT, ROUNDS, FOLDS = 0.4, 2, 3
 #: So many equal endings speak for themselves.
 COPIES = 5
 
-_BLANKS = r"(?U)[\s\x{200b}\x{feff}]+\z"
+#: What may follow a text's last character: all Unicode blanks, and marks without width.
+_BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 _HEX = re.compile(r"\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{5,}\b")
 _NUMBER = re.compile(r"\d+")
 
@@ -66,7 +74,7 @@ def _folded(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)).replace("đ", "d")
 
 
-def features(tail: str, source: str, limits: int, opened: bool) -> list[int]:
+def features(tail: str, source: str, limits: int, opened: bool) -> array:
     """Hashes of what the closing of a text shows."""
     text = unicodedata.normalize("NFC", tail).rstrip().lower()
     text = _NUMBER.sub("9", _HEX.sub(lambda m: f"<h{len(m[0])}>", text))
@@ -87,12 +95,12 @@ def features(tail: str, source: str, limits: int, opened: bool) -> list[int]:
     if len(line) <= 40:
         names.append(f"l|{line}")
         names.append(f"ls|{line}|{s}")
-    return [zlib.crc32(n.encode("utf-8", "replace")) & ((1 << BITS) - 1) for n in names]
+    return array("i", [zlib.crc32(n.encode("utf-8", "replace")) & ((1 << BITS) - 1) for n in names])
 
 
-def _matrix(rows: list[list[int]]) -> np.ndarray:
-    width = max(map(len, rows), default=1)
-    out = np.full((len(rows), width), 1 << BITS, dtype=np.int32)
+def _matrix(rows: list[array]) -> np.ndarray:
+    """One row of hashes each, filled up with the index whose weight is always 0."""
+    out = np.full((len(rows), WIDTH), 1 << BITS, dtype=np.int32)
     for i, row in enumerate(rows):
         out[i, : len(row)] = row
     return out
@@ -137,7 +145,8 @@ def length_limits(texts: DataFrame, least: int = 4, times: float = 6.0, near: in
 
 
 def _opened(text: Column) -> Column:
-    return (F.length(F.regexp_replace(text, r"[^(\[]", "")) > F.length(F.regexp_replace(text, r"[^)\]]", "")))
+    """Whether more brackets open than close."""
+    return F.length(F.translate(text, "([", "")) < F.length(F.translate(text, ")]", ""))
 
 
 def _examples(rows: list, seed: int) -> tuple[list, list[int], list[int]]:
@@ -183,6 +192,7 @@ def train(texts: DataFrame, sample: int = SAMPLE, per_source: int = PER_SOURCE,
     if not rows:
         return np.zeros((1 << BITS) + 1, dtype=np.float32)
     x, y, fold = _examples(rows, seed)
+    del rows
     x, y, fold = _matrix(x), np.array(y, dtype=np.float64), np.array(fold)
     kept = np.ones(len(y), dtype=bool)
     for _ in range(ROUNDS):
@@ -204,10 +214,12 @@ def _scored(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Iterator[
 def cut_texts(docs: DataFrame, number: str, text: str, source: str, threshold: float = THRESHOLD, sample: int = SAMPLE, per_source: int = PER_SOURCE) -> DataFrame:
     """(number, source, at_limit, p, cut) of every text that is not blank."""
     rows = docs.select(F.col(number).alias("id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.make_valid_utf8(F.col(text)).alias("text"))
-    rows = rows.withColumn("closed", F.regexp_replace("text", _BLANKS, "")).filter(F.length("closed") > 0)
+    rows = rows.withColumn("closed", F.rtrim("text", F.lit(_BLANKS))).filter(F.length("closed") > 0)
     rows = rows.select("id", "source", "text", "closed", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"))
-    limits = length_limits(rows)
+    limits = cut_lineage(length_limits(rows))
     known = limits.groupBy("source").agg(F.collect_list(F.when(F.col("unit") == "chars", F.col("size"))).alias("lc"), F.collect_list(F.when(F.col("unit") == "bytes", F.col("size"))).alias("lb"))
+    if limits.count() <= BROADCAST_LIMITS:
+        known = F.broadcast(known)
     met = rows.join(known, "source", "left")
     in_chars = F.coalesce(F.array_contains("lc", F.col("chars")), F.lit(False)).cast("int")
     in_bytes = F.coalesce(F.exists("lb", lambda b: (F.col("bytes") <= b) & (F.col("bytes") > b - 4)), F.lit(False)).cast("int")
