@@ -17,6 +17,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: Tars below this are too small.
 SMALL_TAR_BYTES = 4_194_304
@@ -115,61 +116,50 @@ def checksum(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("rows"), F.coalesce(F.sum(digest.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"))
 
 
-def _list_files(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(folder)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found, walk = [], system.listFiles(path, True)
-    while walk.hasNext():
-        status = walk.next()
-        name = status.getPath().getName()
-        if not name.startswith(("_", ".")):
-            found.append((status.getPath().toString(), status.getLen()))
-    return sorted(found)
-
-
 def compact_parquet(spark: SparkSession, source: str, target: str, target_bytes: int = TARGET_BYTES, chunk_files: int = CHUNK_FILES) -> dict:
     """Rewrite the Parquet files below `source` as few files in the new folder `target`.
 
-    The manifest is taken once and is all that is read. Each bin becomes one file in a
-    folder beside the target; rows and checksums of every bin are compared with those
-    of its source files, and only then the folder is renamed into place, with the
-    manifest in it. Before that rename nothing is visible; a failed run leaves nothing.
+    The manifest is listed once, written beside the target, and decides what is read:
+    files that come later are left out. Neither the list nor the bins pass through the
+    driver. Each bin becomes one file; rows and checksums of all bins are compared with
+    those of their source files, and only then the folder is renamed into place, with
+    manifest and bins in it. Before that nothing is visible; a failed run leaves nothing.
     Returns the counts. Fails when the target exists or the data do not agree.
     """
     hadoop = spark._jvm.org.apache.hadoop.fs
     system = hadoop.Path(target).getFileSystem(spark._jsc.hadoopConfiguration())
     if system.exists(hadoop.Path(target)):
         raise FileExistsError(target)
-    manifest = _list_files(spark, source)
     staging = f"{target.rstrip('/')}.staging-{uuid.uuid4().hex}"
-    if not manifest:
-        system.mkdirs(hadoop.Path(staging))
-        summary = {"files_in": 0, "files_out": 0, "rows": 0}
-    else:
-        listing = spark.createDataFrame(manifest, "key string, bytes long").withColumn("kind", F.lit("file"))
-        bins = pack_bins(listing, "kind", "key", "bytes", target_bytes, chunk_files=chunk_files).select(F.col("key").alias("__file"), F.col("bin").alias("__bin"))
-        rows = spark.read.parquet(*[p for p, _ in manifest]) if len(manifest) <= 10_000 else spark.read.option("recursiveFileLookup", "true").parquet(source)
-        tagged = rows.withColumn("__file", F.col("_metadata.file_path")).join(bins, "__file").drop("__file")
-        try:
-            n_bins = bins.select("__bin").distinct().count()
-            tagged.repartition(n_bins, "__bin").write.partitionBy("__bin").parquet(staging)
-            before = checksum(tagged, ["__bin"])
-            written = spark.read.parquet(staging).select(*tagged.columns)
-            after = checksum(written, ["__bin"])
-            differing = before.exceptAll(after).count() + after.exceptAll(before).count()
-            total = rows.count()
-            kept = written.count()
-            if differing or total != kept:
-                raise RuntimeError(f"{differing} bins differ, {kept} rows of {total}")
-            summary = {"files_in": len(manifest), "files_out": len(_list_files(spark, staging)), "rows": kept}
-        except BaseException:
-            system.delete(hadoop.Path(staging), True)
-            raise
-    stream = system.create(hadoop.Path(f"{staging}/_manifest.json"), True)
-    stream.write(bytearray(json.dumps({"files": manifest, **summary}, sort_keys=True).encode()))
-    stream.close()
-    if not system.rename(hadoop.Path(staging), hadoop.Path(target)):
-        raise OSError(f"{staging} could not be renamed")
+    try:
+        listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source).select(F.col("_metadata.file_path").alias("key"), F.col("_metadata.file_size").alias("bytes"))
+        listing.withColumn("kind", F.lit("file")).write.parquet(f"{staging}/_manifest")
+        manifest = spark.read.parquet(f"{staging}/_manifest")
+        files, total = manifest.count(), 0
+        n_bins = 0
+        if files:
+            packed = pack_bins(manifest, "kind", "key", "bytes", target_bytes, chunk_files=chunk_files)
+            packed.select("key", "bin").write.parquet(f"{staging}/_bins")
+            bins = spark.read.parquet(f"{staging}/_bins")
+            numbers = bins.select("bin").distinct().withColumn("number", F.row_number().over(W.orderBy("bin")) - 1)
+            n_bins = numbers.count()
+            placed = bins.join(numbers, "bin").select(F.col("key").alias("__file"), F.col("number").alias("__bin"))
+            rows = spark.read.option("recursiveFileLookup", True).parquet(source)
+            tagged = rows.withColumn("__file", F.col("_metadata.file_path")).join(placed, "__file").drop("__file")
+            tagged.repartitionById(n_bins, F.col("__bin")).drop("__bin").write.mode("append").parquet(staging)
+            before = checksum(tagged, ["__bin"]).select("rows", "digest")
+            written = spark.read.parquet(staging).select(*rows.columns, F.col("_metadata.file_path").alias("__file"))
+            after = checksum(written, ["__file"]).select("rows", "digest")
+            if not before.exceptAll(after).isEmpty() or not after.exceptAll(before).isEmpty():
+                raise RuntimeError("what was written does not agree with the source")
+            total = after.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+        summary = {"files_in": files, "files_out": n_bins, "rows": total}
+        stream = system.create(hadoop.Path(f"{staging}/_summary.json"), True)
+        stream.write(bytearray(json.dumps(summary, sort_keys=True).encode()))
+        stream.close()
+        if not system.rename(hadoop.Path(staging), hadoop.Path(target)):
+            raise OSError(f"{staging} could not be renamed")
+    except BaseException:
+        system.delete(hadoop.Path(staging), True)
+        raise
     return summary
-
