@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessella.functions import text as X
 from tessella.functions.identifiers import tidy_lower, tidy_upper
@@ -15,12 +14,6 @@ from tessella.session import read
 REGISTRY = Registry()
 query = REGISTRY.query
 
-#: The catalog's image records.
-CATALOG_IMAGE = T.StructType([T.StructField(n, t) for n, t in (
-    ("source_id", T.StringType()), ("source_member", T.StringType()), ("file_name", T.StringType()), ("byte_size", T.LongType()), ("source_signature", T.StringType()), ("image_id", T.StringType()),
-    ("objective_lens", T.IntegerType()), ("case_id", T.StringType()), ("patient_id", T.StringType()), ("slide_group_id", T.StringType()), ("raw_glade", T.StringType()), ("grade_semantics", T.StringType()),
-    ("case_label", T.IntegerType()), ("label_level", T.StringType()), ("label_source", T.StringType()), ("identity_status", T.StringType()))])
-
 #: Each image's newest entry, as SQL.
 CURRENT = """(SELECT upper(trim(image_id)) AS image_id, objective_lens, upper(trim(case_id)) AS case_id, upper(nullif(trim(patient_id), '')) AS patient_id, case_label, source_signature, byte_size, ket_luan, lower(trim(source_id)) AS source_id, added_at, row_no
 FROM catalog_images WHERE trim(image_id) <> '' QUALIFY row_number() OVER (PARTITION BY upper(trim(image_id)) ORDER BY added_at DESC, row_no DESC) = 1)"""

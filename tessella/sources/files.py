@@ -105,14 +105,20 @@ def inventory(spark: SparkSession, sources: list[tuple[str, str, str]]) -> DataF
     return rows
 
 
-def hashed(spark: SparkSession, paths: DataFrame) -> DataFrame:
-    """(path, sha256) of selected files only: the file source is pruned by a join before contents are hashed."""
-    listed = [r.path for r in paths.select("path").limit(100_001).collect()]
-    if not listed:
+def hashed(spark: SparkSession, paths: DataFrame, folders: list[str], listed: int = 10_000) -> DataFrame:
+    """(path, sha256) of selected files.
+
+    Up to `listed` files are read by name, so no other content is touched; more are read
+    by folder and joined, since a long list of names would have to pass the driver.
+    """
+    names = [r.path for r in paths.select("path").limit(listed + 1).collect()]
+    if not names:
         return spark.createDataFrame([], "path string, sha256 string")
-    if len(listed) > 100_000:
-        raise ValueError("hash more than 100,000 files by folder")
-    return spark.read.format("binaryFile").load(listed).select("path", F.sha2("content", 256).alias("sha256"))
+    if len(names) <= listed:
+        return spark.read.format("binaryFile").load(names).select("path", F.sha2("content", 256).alias("sha256"))
+    plain = lambda c: F.regexp_replace(c, r"\Afile:/+", "/")
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folders).select("path", F.sha2("content", 256).alias("sha256"))
+    return rows.join(paths.select(plain("path").alias("wanted")), plain(F.col("path")) == F.col("wanted"), "left_semi")
 
 
 def safe_children(listing: DataFrame, parent: str, child: str, name: str) -> DataFrame:

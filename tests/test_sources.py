@@ -70,7 +70,9 @@ def test_several_sources_and_names_in_two_of_them(spark, tmp_path):
     assert [s[:2] for s in found] == [("source-000", "directory"), ("source-001", "zip")]
     rows = files.inventory(spark, found)
     assert sorted((r.source_id, r.source_member, r.byte_size) for r in rows.collect()) == [("source-000", "a.png", 1), ("source-001", "b.png", 2)]
-    digests = files.hashed(spark, files.image_files(spark, str(tmp_path / "d"))).collect()
+    selected = files.image_files(spark, str(tmp_path / "d"))
+    digests = files.hashed(spark, selected, [str(tmp_path / "d")]).collect()
+    assert digests == files.hashed(spark, selected, [str(tmp_path / "d")], listed=0).collect()
     assert digests[0].sha256 == "6b86b273ff34fce19d6b804eff5a3f5747ada4eaa22f1d49c01e52ddb7875b4b"
     zipped(tmp_path / "z" / "c.zip", [("x/a.png", b"3")])
     with pytest.raises(ValueError, match="several places"):
