@@ -177,7 +177,7 @@ def agg35(spark, sf_dir):
 
 @query("agg37_daily_usage", """WITH i AS (SELECT user_id, ts AS a, ts + to_microseconds(CAST(round(value * 60000000) AS BIGINT)) AS b FROM events WHERE value > 0),
 d AS (SELECT *, unnest(range(date_trunc('day', a + INTERVAL 7 HOUR), b + INTERVAL 7 HOUR, INTERVAL 1 DAY)) AS day FROM i)
-SELECT user_id, CAST(day AS DATE) AS day, round(sum((epoch_us(least(b + INTERVAL 7 HOUR, day + INTERVAL 1 DAY)) - epoch_us(greatest(a + INTERVAL 7 HOUR, day))) / 1000000.0e0), 3) AS seconds FROM d GROUP BY 1, 2""")
+SELECT user_id, strftime(day, '%Y-%m-%d') AS day, round(sum((epoch_us(least(b + INTERVAL 7 HOUR, day + INTERVAL 1 DAY)) - epoch_us(greatest(a + INTERVAL 7 HOUR, day))) / 1000000.0e0), 3) AS seconds FROM d GROUP BY 1, 2""")
 def agg37(spark, sf_dir):
     """Used seconds a local day (UTC+7), intervals being cut at local midnight."""
     rows = read(spark, sf_dir, "events").filter("value > 0").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) + 7 * 3_600_000_000).alias("a"), F.round(F.col("value") * 60_000_000).cast("long").alias("len"))
@@ -185,7 +185,7 @@ def agg37(spark, sf_dir):
     day = 86_400_000_000
     cut = rows.withColumn("d", F.explode(F.sequence(F.floor(F.col("a") / day), F.floor((F.col("b") - 1) / day))))
     part = F.least("b", (F.col("d") + 1) * day) - F.greatest("a", F.col("d") * day)
-    return cut.groupBy("user_id", F.date_from_unix_date(F.col("d").cast("int")).alias("day")).agg(F.round(F.sum(part / 1_000_000.0), 3).alias("seconds"))
+    return cut.groupBy("user_id", F.date_format(F.date_from_unix_date(F.col("d").cast("int")), "yyyy-MM-dd").alias("day")).agg(F.round(F.sum(part / 1_000_000.0), 3).alias("seconds"))
 
 
 @query("flt01_blank_ids", "SELECT count(*) AS n_kept FROM qc_objective_lens WHERE trim(image_id) <> ''")

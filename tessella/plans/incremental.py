@@ -13,9 +13,9 @@ REGISTRY = Registry()
 query = REGISTRY.query
 
 
-@query("str01_release_progress", """SELECT lower(trim(shard_id)) AS shard_id, count(*) AS n_records, min(committed_at) AS first_commit, count(DISTINCT upper(trim(image_id))) AS n_images FROM shards GROUP BY 1""")
+@query("str01_release_progress", """SELECT lower(trim(shard_id)) AS shard_id, count(*) AS n_records, strftime(min(committed_at), '%Y-%m-%d %H:%M:%S.%f') AS first_commit, count(DISTINCT upper(trim(image_id))) AS n_images FROM shards GROUP BY 1""")
 def str01(spark, sf_dir):
-    return read(spark, sf_dir, "shards").groupBy(F.lower(F.trim("shard_id")).alias("shard_id")).agg(F.count("*").alias("n_records"), F.min("committed_at").alias("first_commit"), F.countDistinct(F.upper(F.trim("image_id"))).alias("n_images"))
+    return read(spark, sf_dir, "shards").groupBy(F.lower(F.trim("shard_id")).alias("shard_id")).agg(F.count("*").alias("n_records"), F.date_format(F.min("committed_at"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first_commit"), F.countDistinct(F.upper(F.trim("image_id"))).alias("n_images"))
 
 
 @query("str02_waiting_images", """SELECT DISTINCT upper(trim(image_id)) AS image_id FROM catalog_images WHERE trim(image_id) <> '' AND upper(trim(image_id)) NOT IN (SELECT upper(trim(image_id)) FROM processing WHERE trim(image_id) <> '')""")
@@ -43,8 +43,8 @@ def str08(spark, sf_dir):
     return one.withColumn("state", F.when(F.col("n_packed") < F.col("n_catalog"), "partial").otherwise("complete"))
 
 
-@query("agg_events_by_window", """SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2""")
+@query("agg_events_by_window", """SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2""")
 def events_by_window(spark, sf_dir):
     """Tumbling days of the event stream; the same plan runs on a stream with a watermark."""
     rows = read(spark, sf_dir, "events")
-    return rows.groupBy(F.window(F.col("ts").cast("timestamp"), "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total")).select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n", "total")
+    return rows.groupBy(F.window(F.col("ts").cast("timestamp"), "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total")

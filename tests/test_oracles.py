@@ -9,7 +9,7 @@ from tessella.session import TABLES
 from verify import rows_of
 
 SF = "/root/testdata/sf0.001"
-MODULES = ("evaluation", "cohort", "catalog", "shards", "tiles", "scalars", "incremental", "storage")
+MODULES = ("evaluation", "cohort", "catalog", "shards", "tiles", "scalars", "incremental", "storage", "media")
 REGISTRIES = [importlib.import_module(f"tessella.plans.{m}").REGISTRY for m in MODULES]
 QUERIES = {n: f for r in REGISTRIES for n, f in r.queries.items()}
 SQL = {n: s for r in REGISTRIES for n, s in r.sql.items()}
