@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessella.session import cut_lineage
+
 #: Greatest number of target cells; the flow runs on the driver.
 MAX_CELLS = 100_000
 
@@ -109,7 +111,7 @@ def quota_report(usable: DataFrame, targets: DataFrame, rows: str, columns: str,
     asked = targets.select(F.col(rows).alias("r"), F.col(columns).alias("c"), F.col(share).cast("decimal(18,9)").alias("share"), F.col(least).cast("long").alias("least")).limit(MAX_CELLS + 1).collect()
     if len(asked) > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} target cells")
-    counted = usable.groupBy(F.col(rows).alias("r"), F.col(columns).alias("c")).agg(F.count("*").alias("n"))
+    counted = cut_lineage(usable.groupBy(F.col(rows).alias("r"), F.col(columns).alias("c")).agg(F.count("*").alias("n")))
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     size = fraction[0] * total // fraction[1]
     wanted = {(a.r, a.c): Fraction(a.share or 0) * size for a in asked}
