@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.session import cut_lineage
+
 #: Folder of the public vocabulary files; the same on every machine.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -103,7 +105,8 @@ def encode(docs: DataFrame, number: str, text: str, keep: list[str] | None = Non
     """(number, *keep, ids) of each document, or its number of tokens as n_tokens.
 
     `number` must be unique. Texts of up to chunk + overlap characters are encoded where
-    they lie, without a shuffle; only longer ones are cut and spread.
+    they lie, without a shuffle; only longer ones are cut and spread. A first scan of the
+    lengths tells whether there are any, which spares the others half a dozen scans.
     """
     if chunk < overlap + MARGIN or overlap <= MARGIN:
         raise ValueError("chunks must be longer than their overlap, and that longer than the margin")
@@ -116,8 +119,11 @@ def encode(docs: DataFrame, number: str, text: str, keep: list[str] | None = Non
     plain = rows.filter(~F.coalesce(long, F.lit(False))).mapInArrow(lambda b: _encoded(b, kept, folder, vocabulary, count), schema)
 
     texts = rows.filter(long)
+    if texts.isEmpty():
+        return plain.withColumnRenamed("ids", "n_tokens") if count else plain
     source = texts.select(F.col(number).cast("long").alias("__id"), F.col("__text"))
     chunks = source.mapInArrow(lambda b: _chunked(b, chunk, overlap), "__id long, k int, piece string, final boolean").repartition("__id", "k")
+    chunks = cut_lineage(chunks)
     marks = chunks.select("__id", "k", "piece").mapInArrow(lambda b: _marked(b, chunk, overlap), "__id long, k int, head array<long>, tail array<long>")
     before = marks.select("__id", (F.col("k") + 1).alias("k"), "tail")
     cuts = marks.select("__id", "k", "head").filter("k > 0").join(before, ["__id", "k"], "left").select("__id", "k", F.array_min(F.array_intersect("head", F.coalesce("tail", F.array().cast("array<long>")))).alias("cut"))
