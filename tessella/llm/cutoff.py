@@ -38,7 +38,7 @@ from tessella.session import cut_lineage
 #: Hashed weights; 2^18 of 4 bytes go to each worker.
 BITS = 18
 #: Most features of one text.
-WIDTH = 28
+WIDTH = 30
 #: Characters of the ending that are looked at.
 TAIL = 96
 #: Marks that tools leave where they stop (fixed values).
@@ -50,10 +50,11 @@ BROADCAST_LIMITS = 100_000
 #: Probability from which a text counts as cut.
 THRESHOLD = 0.5
 #: Texts whose ending, judged by fits without them, is cut with at least this probability
-#: are no examples of whole texts; that is found in so many rounds over so many folds.
-DOUBT, ROUNDS, FOLDS = 0.4, 2, 3
-#: So many equal endings speak for themselves.
-COPIES = 5
+#: are no examples of whole texts, sooner so if their length lies at a limit; that is
+#: found in so many rounds over so many folds.
+DOUBT, DOUBT_AT_LIMIT, ROUNDS, FOLDS = 0.6, 0.3, 2, 3
+#: So many equal endings speak for themselves; of whole texts up to SHORT characters, so many.
+COPIES, SHORT_COPIES, SHORT = 5, 3, 24
 
 #: What may follow a text's last character: all Unicode blanks, and marks without width.
 _BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
@@ -77,6 +78,7 @@ def _folded(text: str) -> str:
 def features(tail: str, source: str, limits: int, opened: bool) -> array:
     """Hashes of what the closing of a text shows."""
     text = unicodedata.normalize("NFC", tail).rstrip().lower()
+    length = min(len(text) - 1 - max(text.rfind(" "), text.rfind("\n")), 48) // 8
     text = _NUMBER.sub("9", _HEX.sub(lambda m: f"<h{len(m[0])}>", text))
     line = text.rpartition("\n")[2]
     words = text.split()[-4:] or [""]
@@ -90,8 +92,10 @@ def features(tail: str, source: str, limits: int, opened: bool) -> array:
         f"w1|{words[-1]}", f"w1s|{words[-1]}|{s}", f"w2|{' '.join(words[-2:])}", f"w3|{' '.join(words[-3:])}", f"w4|{' '.join(words[-4:])}",
         f"v1|{bare[-1]}", f"v2|{' '.join(bare[-2:])}", f"v3|{' '.join(bare[-3:])}",
         f"f1|{plain[-1]}|{last}", f"f2|{' '.join(plain[-2:])}|{last}", f"f3|{' '.join(plain[-3:])}|{last}",
-        f"n|{min(len(line.split()), 6)}|{last}", f"o|{opened}|{last}", f"lim|{limits}", f"limk|{limits}|{last}", f"lims|{limits}|{s}",
+        f"n|{min(len(line.split()), 6)}|{last}", f"o|{opened}|{last}", f"lim|{limits}", f"limk|{limits}|{last}", f"lims|{limits}|{s}", f"g|{length}|{last}",
     ]
+    signed = re.split(r"(?:^|\s)[–—-]\s", line)
+    names.append(f"d|{min(len(signed[-1].split()), 6) if len(signed) > 1 else -1}|{s}")
     if len(line) <= 40:
         names.append(f"l|{line}")
         names.append(f"ls|{line}|{s}")
@@ -149,20 +153,21 @@ def _opened(text: Column) -> Column:
     return F.length(F.translate(text, "([", "")) < F.length(F.translate(text, ")]", ""))
 
 
-def _examples(rows: list, seed: int) -> tuple[list, list[int], list[int]]:
-    """Features, answers and folds: each sampled text as it is, and cut at up to two places.
+def _examples(rows: list, seed: int) -> tuple[list, list[int], list[int], list[float]]:
+    """Features, answers, folds and doubts: each sampled text as it is, and cut at up to two places.
 
     A few copies of a text share a fold, so that none vouches for another, and so do any
     number at a limit; else an ending with many copies is how texts end, and is spread
     over all folds.
     """
     random = np.random.default_rng(seed)
-    x, y, group = [], [], []
+    x, y, group, doubt = [], [], [], []
     seen = Counter(row.tail for row in rows)
-    often = {tail for tail, n in Counter(row.tail for row in rows if not row.limits).items() if n >= COPIES}
+    often = {tail for tail, n in Counter(row.tail for row in rows if not row.limits).items() if n >= (SHORT_COPIES if len(tail) <= SHORT else COPIES)}
     for row in rows:
         x.append(features(row.tail, row.source or "", row.limits, row.opened))
         y.append(0)
+        doubt.append(DOUBT_AT_LIMIT if row.limits else DOUBT)
         seen[row.tail] -= 1
         group.append((zlib.crc32(row.tail.encode("utf-8", "replace")) + (seen[row.tail] if row.tail in often and not row.limits else 0)) % FOLDS)
         for cut in row.cuts:
@@ -174,8 +179,9 @@ def _examples(rows: list, seed: int) -> tuple[list, list[int], list[int]]:
             mark = MARKS[random.integers(len(MARKS))] if not at_limit and random.random() < 0.5 else ""
             x.append(features(head + mark, row.source or "", int(random.integers(1, 4)) if at_limit else 0, cut.opened))
             y.append(1)
+            doubt.append(1.0)
             group.append(group[-1])
-    return x, y, group
+    return x, y, group, doubt
 
 
 def train(texts: DataFrame, sample: int = SAMPLE, per_source: int = PER_SOURCE, seed: int = 7) -> np.ndarray:
@@ -191,15 +197,15 @@ def train(texts: DataFrame, sample: int = SAMPLE, per_source: int = PER_SOURCE,
     rows = chosen.select("source", "tail", "limits", "opened", F.array(*cuts).alias("cuts")).collect()
     if not rows:
         return np.zeros((1 << BITS) + 1, dtype=np.float32)
-    x, y, fold = _examples(rows, seed)
+    x, y, fold, doubt = _examples(rows, seed)
     del rows
-    x, y, fold = _matrix(x), np.array(y, dtype=np.float64), np.array(fold)
+    x, y, fold, doubt = _matrix(x), np.array(y, dtype=np.float64), np.array(fold), np.array(doubt)
     kept = np.ones(len(y), dtype=bool)
     for _ in range(ROUNDS):
         p = np.zeros(len(y))
         for k in range(FOLDS):
             p[fold == k] = probabilities(x[fold == k], fit(x[kept & (fold != k)], y[kept & (fold != k)]))
-        kept = (y == 1) | (p < DOUBT)
+        kept = (y == 1) | (p < doubt)
     return fit(x[kept], y[kept])
 
 
