@@ -31,11 +31,11 @@ def _digest(column: str) -> Column:
 def image_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image, l, r, sha, thumb, others): l in train, r in val or test; the rest is out.
 
-    They are written once, since every kind of overlap reads them again.
+    They are written once, without repeated rows, since every kind of overlap reads them again.
     """
     splits = patient_splits(read(spark, sf_dir, "patient_level_split")).filter("split IN ('train', 'val', 'test')")
     rows = read(spark, sf_dir, "processing").select(tidy_upper("image_id").alias("image"), tidy_upper("patient_id").alias("patient"), _digest("source_sha256").alias("sha"), _digest("thumb_hash").alias("thumb"), F.col("duplicate_source_image_ids").alias("others"))
-    return cut_lineage(rows.filter("image IS NOT NULL").join(splits, "patient").select("image", (F.col("split") == "train").alias("l"), (F.col("split") != "train").alias("r"), "sha", "thumb", F.when(F.size("others") > 0, F.col("others")).alias("others")))
+    return cut_lineage(rows.filter("image IS NOT NULL").join(splits, "patient").select("image", (F.col("split") == "train").alias("l"), (F.col("split") != "train").alias("r"), "sha", "thumb", F.when(F.size("others") > 0, F.col("others")).alias("others")).distinct())
 
 
 def _digests(facts: DataFrame) -> DataFrame:
@@ -49,13 +49,13 @@ def overlaps(facts: DataFrame) -> DataFrame:
     train, rest = facts.filter("l"), facts.filter("r")
 
     def equal(column: str) -> DataFrame:
-        a = train.select(F.col(column).alias("d"), F.col("image").alias("train")).filter("d IS NOT NULL").distinct()
-        b = rest.select(F.col(column).alias("d"), F.col("image").alias("other")).filter("d IS NOT NULL").distinct()
+        a = train.select(F.col(column).alias("d"), F.col("image").alias("train")).filter("d IS NOT NULL")
+        b = rest.select(F.col(column).alias("d"), F.col("image").alias("other")).filter("d IS NOT NULL")
         return a.join(b, "d").select("train", "other", F.lit(column).alias("reason"))
 
     near = near_digests(_digests(facts), BITS)
-    a = train.select(F.col("thumb").alias("a"), F.col("image").alias("train")).distinct()
-    b = rest.select(F.col("thumb").alias("b"), F.col("image").alias("other")).distinct()
+    a = train.select(F.col("thumb").alias("a"), F.col("image").alias("train")).filter("a IS NOT NULL")
+    b = rest.select(F.col("thumb").alias("b"), F.col("image").alias("other")).filter("b IS NOT NULL")
     alike = near.join(a, "a").join(b, "b").select("train", "other", F.lit("thumb").alias("reason"))
     listed = facts.select("image", "l", "r", F.explode("others").alias("named")).select("image", "l", "r", tidy_upper("named").alias("named")).filter("named IS NOT NULL").distinct()
     sides = facts.select(F.col("image").alias("named"), F.col("l").alias("nl"), F.col("r").alias("nr")).distinct()

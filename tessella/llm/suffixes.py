@@ -23,6 +23,9 @@ from pyspark.sql import Window as W
 
 from tessella.session import cut_lineage
 
+#: Keys of stretches up to this number are broadcast (some 20 bytes each); beyond it they are joined by shuffle.
+BROADCAST_KEYS = 100_000
+
 
 def suffix_array(texts: DataFrame, span: int, step: int = 1, aligned: bool = False) -> DataFrame:
     """(text, l, r, start, place, prefix, rest) of `texts` (text, l, r).
@@ -54,7 +57,8 @@ def coverage(texts: DataFrame, span: int, step: int = 1, aligned: bool = False)
     side only, nearly all, are dropped by a partial aggregate before anything is sorted.
     """
     array = suffix_array(texts, span, step, aligned)
-    both = array.groupBy("place", "prefix").agg(F.max("l").alias("l"), F.max("r").alias("r")).filter("l AND r").select("place", "prefix")
+    both = cut_lineage(array.groupBy("place", "prefix").agg(F.max("l").alias("l"), F.max("r").alias("r")).filter("l AND r").select("place", "prefix"))
+    both = F.broadcast(both) if span <= 64 and both.count() <= BROADCAST_KEYS else both
     sorted_ = array.join(both, ["place", "prefix"], "left_semi")
     before = W.partitionBy("place", "prefix").orderBy("rest", "text", "start").rowsBetween(W.unboundedPreceding, -1)
     after = W.partitionBy("place", "prefix").orderBy("rest", "text", "start").rowsBetween(1, W.unboundedFollowing)
@@ -104,14 +108,15 @@ def near_digests(texts: DataFrame, bits: int = 3, digits: int = 32, most: int =
     while True:
         counts = rows.groupBy("key").agg(F.sum(F.col("l").cast("long")).alias("nl"), F.sum(F.col("r").cast("long")).alias("nr")).filter("nl > 0 AND nr > 0")
         counts = cut_lineage(counts.select("key", (F.col("nl") * F.col("nr")).alias("n")))
+        few = F.broadcast if counts.count() <= BROADCAST_KEYS else (lambda keys: keys)
         small = counts if left <= bits + 1 else counts.filter(F.col("n") <= most)
-        kept = rows.join(small.select("key"), "key", "left_semi")
+        kept = rows.join(few(small.select("key")), "key", "left_semi")
         pairs = kept.filter("l").select("key", F.col("text").alias("a")).join(kept.filter("r").select("key", F.col("text").alias("b")), "key").filter("a <> b").select("a", "b")
         pairs = pairs.filter(differing_bits(F.col("a"), F.col("b"), digits) <= bits)
         found = pairs if found is None else found.unionByName(pairs)
         if left <= bits + 1 or counts.filter(F.col("n") > most).isEmpty():
             return found.distinct()
-        dense = rows.join(counts.filter(F.col("n") > most).select("key"), "key", "left_semi")
+        dense = rows.join(few(counts.filter(F.col("n") > most).select("key")), "key", "left_semi")
         cut = dense.select("text", "l", "r", F.explode(_segments(bits + 1)).alias("s"))
         rows = cut_lineage(cut.select("text", "l", "r", "s.key", "s.rest"))
         left -= left // (bits + 1)
