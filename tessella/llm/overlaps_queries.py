@@ -99,6 +99,6 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of its 32 thumbnail digits each image shares, in spans of eight or more, with images across."""
     facts = image_facts(spark, sf_dir)
-    covered = coverage(_digests(facts), 8, 8, aligned=True)
+    covered = coverage(_digests(facts), 8, aligned=True)
     images = facts.select("image", F.when(F.col("l"), "l").otherwise("r").alias("side"), F.col("thumb").alias("text")).distinct()
     return images.join(covered, ["text", "side"]).select("image", "side", "covered")

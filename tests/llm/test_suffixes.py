@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.llm import overlaps_queries
 from tessella.llm.suffixes import common_prefix, coverage, differing_bits, near_digests
 
 
@@ -76,3 +77,32 @@ def test_coverage_by_nearest_suffixes(spark):
 def test_short_null_and_absent_texts(spark):
     assert coverage(spark.createDataFrame([(None, True, False), ("", True, True), ("abc", True, True)], "text string, l boolean, r boolean"), 8).count() == 0
     assert near_digests(spark.createDataFrame([], "text string, l boolean, r boolean")).count() == 0
+
+
+def plain_aligned_coverage(texts, span):
+    out = {}
+    for side, other in ((1, 2), (2, 1)):
+        rest = [t for t in texts if t[other]]
+        for t in texts:
+            marks = {j for i in range(len(t[0]) - span + 1) if t[side] and any(t[0][i : i + span] == o[0][i : i + span] for o in rest) for j in range(i, i + span)}
+            if marks:
+                out[t[0], "lr"[side - 1]] = len(marks)
+    return out
+
+
+def test_p6_coverage_counts_spans_from_any_digit(spark, monkeypatch):
+    base = "0123456789abcdef" * 2
+    rows = [(base, True, False), (base[:11] + "0" + base[12:], False, True)]  # differs in digit 12 only
+    other = "fedcba9876543210" * 2
+    rows += [(other, True, False), ("0" * 3 + other[3:14] + "f" * 18, False, True)]  # shares digits 4 to 14, which hold no whole block
+    draw = random.Random(6)
+    rows += [(t, left, right) for t, left, right in digests(6, 40) if left != right]
+    for _ in range(30):  # a span of 6 to 20 digits at a random place
+        t, n = f"{draw.getrandbits(128):032x}", draw.randint(6, 20)
+        at = draw.randint(0, 32 - n)
+        rows += [(t, True, False), (f"{draw.getrandbits(128):032x}"[:at] + t[at : at + n] + f"{draw.getrandbits(128):032x}"[at + n :], False, True)]
+    facts = spark.createDataFrame([(f"I{i}", left, right, t) for i, (t, left, right) in enumerate(rows)], "image string, l boolean, r boolean, thumb string")
+    monkeypatch.setattr(overlaps_queries, "image_facts", lambda *_: facts)
+    got = {(rows[int(r.image[1:])][0], r.side): r.covered for r in overlaps_queries.p6_coverage(spark, "").collect()}
+    assert got == plain_aligned_coverage(rows, 8)
+    assert got[base, "l"] == 31 and got[other, "l"] == 11
