@@ -162,6 +162,24 @@ def agg24(spark, sf_dir):
     return ci.select("magnification", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "draws")
 
 
+#: Draws of the reference's evaluation by default.
+DRAWS = 1000
+
+
+@query("agg24_patient_auc_ci")
+def agg24_patients(spark, sf_dir):
+    """As agg24_bootstrap_auc_ci, whose SQL has 40 draws, with those of the reference."""
+    ci = M.bootstrap_auc_by_range(patients(spark, sf_dir), ["magnification"], "patient_id", "y_true", "y_prob", DRAWS, 17)
+    return ci.select("magnification", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "draws")
+
+
+@query("agg24_tile_auc_ci")
+def agg24_tiles(spark, sf_dir):
+    """Each prediction is resampled by itself, with its own label."""
+    ci = M.bootstrap_auc_by_range(predictions(spark, sf_dir), ["model_name", "magnification"], "pred_no", "patient_label", "y_prob", DRAWS, 17)
+    return ci.select("model_name", "magnification", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "draws")
+
+
 @query("agg30_seed_ensemble", f"""
 WITH m AS (SELECT model_name, patient_id, round(avg(y_prob), 9) AS y_prob FROM {PRED} GROUP BY 1, 2)
 SELECT patient_id, round(avg(y_prob), 6) AS y_prob, count(*) AS n_models FROM m GROUP BY 1""")

@@ -87,3 +87,32 @@ def test_strict_lenses(spark, value, lens):
     if lens is None:
         with pytest.raises(Exception, match="invalid lens"):
             spark.createDataFrame([(value,)], "v string").select(X.required(X.strict_lens(F.col("v")), F.col("v"), "lens")).collect()
+
+
+def test_hashed_weights_are_poisson():
+    w = M.hashed_weights(np.random.default_rng(8).integers(-(2**63), 2**63, 400), 1000)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs((w == 0).mean() - np.exp(-1)) < 0.005
+    assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.2 and abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.15
+
+
+@pytest.mark.parametrize("rows", [7, 512])
+def test_bootstrap_by_range_equals_plain_resampling(spark, rows):
+    y, p = sample(9)
+    p[:120] = 0.5  # a tie that spans reads
+    df = frame(spark, y, p).unionByName(frame(spark, 1 - y, p).withColumn("g", F.lit(None).cast("string")))
+    seeds = np.array([r.h for r in df.filter("g = 'g'").orderBy("i").select(F.xxhash64(F.lit(5), F.col("i")).alias("h")).collect()])
+    w = M.hashed_weights(seeds, 200).astype(float)
+    wins = (p[:, None] > p[None, :]) + (p[:, None] == p[None, :]) / 2
+    aucs = [(a := w[:, d] * y) @ wins @ (b := w[:, d] * (1 - y)) / (a.sum() * b.sum()) for d in range(200)]
+    got = {r.g: r for r in M.bootstrap_auc_by_range(df, ["g"], "i", "y", "p", 200, 5, rows=rows).collect()}
+    assert got["g"].draws == 200 and len(got) == 2
+    assert (got["g"].low, got["g"].high) == pytest.approx(tuple(np.quantile(aucs, [0.025, 0.975])))
+    assert (got[None].low, got[None].high) == pytest.approx((1 - got["g"].high, 1 - got["g"].low))
+
+
+def test_registered_intervals_have_the_draws_of_the_reference(spark):
+    from tessella.plans.evaluation import REGISTRY
+
+    for name in ("agg24_patient_auc_ci", "agg24_tile_auc_ci"):
+        got = REGISTRY.queries[name](spark, "/root/testdata/sf0.01").collect()
+        assert got and all(990 <= r.draws <= 1000 and r.low < r.high for r in got)
