@@ -116,15 +116,24 @@ def checksum(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("rows"), F.coalesce(F.sum(digest.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"))
 
 
+def _listing(spark: SparkSession, source: str) -> DataFrame:
+    """(key, bytes, modified) of the files below a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source)
+    return files.select(F.col("_metadata.file_path").alias("key"), F.col("_metadata.file_size").alias("bytes"), F.col("_metadata.file_modification_time").alias("modified"))
+
+
 def compact_parquet(spark: SparkSession, source: str, target: str, target_bytes: int = TARGET_BYTES, chunk_files: int = CHUNK_FILES) -> dict:
     """Rewrite the Parquet files below `source` as few files in the new folder `target`.
 
     The manifest is listed once, written beside the target, and decides what is read:
     files that come later are left out. Neither the list nor the bins pass through the
-    driver. Each bin becomes one file; rows and checksums of all bins are compared with
-    those of their source files, and only then the folder is renamed into place, with
-    manifest and bins in it. Before that nothing is visible; a failed run leaves nothing.
-    Returns the counts. Fails when the target exists or the data do not agree.
+    driver. Columns are those of all files together, null where a file has none; files
+    whose types do not go together are an error. Each bin becomes one file; rows and
+    checksums of all bins are compared with the sums of their source files, the files are
+    listed again, and only then the folder is renamed into place, with manifest and bins
+    in it. Before that nothing is visible; a failed run leaves nothing. Returns the
+    counts. Fails when the target exists, the data do not agree, or a listed file was
+    removed or changed before the end.
     """
     hadoop = spark._jvm.org.apache.hadoop.fs
     system = hadoop.Path(target).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -132,8 +141,7 @@ def compact_parquet(spark: SparkSession, source: str, target: str, target_bytes:
         raise FileExistsError(target)
     staging = f"{target.rstrip('/')}.staging-{uuid.uuid4().hex}"
     try:
-        listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source).select(F.col("_metadata.file_path").alias("key"), F.col("_metadata.file_size").alias("bytes"))
-        listing.withColumn("kind", F.lit("file")).write.parquet(f"{staging}/_manifest")
+        _listing(spark, source).withColumn("kind", F.lit("file")).write.parquet(f"{staging}/_manifest")
         manifest = spark.read.parquet(f"{staging}/_manifest")
         files, total = manifest.count(), 0
         n_bins = 0
@@ -144,14 +152,19 @@ def compact_parquet(spark: SparkSession, source: str, target: str, target_bytes:
             numbers = bins.select("bin").distinct().withColumn("number", F.row_number().over(W.orderBy("bin")) - 1)
             n_bins = numbers.count()
             placed = bins.join(numbers, "bin").select(F.col("key").alias("__file"), F.col("number").alias("__bin"))
-            rows = spark.read.option("recursiveFileLookup", True).parquet(source)
-            tagged = rows.withColumn("__file", F.col("_metadata.file_path")).join(placed, "__file").drop("__file")
+            rows = spark.read.option("recursiveFileLookup", True).option("mergeSchema", True).parquet(source)
+            named = rows.withColumn("__file", F.col("_metadata.file_path"))
+            tagged = named.join(placed, "__file").drop("__file")
             tagged.repartitionById(n_bins, F.col("__bin")).drop("__bin").write.mode("append").parquet(staging)
-            before = checksum(tagged, ["__bin"]).select("rows", "digest")
+            by_file = placed.join(checksum(named, ["__file"]), "__file", "left").filter("rows IS NOT NULL")
+            before = by_file.groupBy("__bin").agg(F.sum("rows").alias("rows"), F.sum(F.col("digest").cast("decimal(38,0)")).cast("string").alias("digest")).select("rows", "digest")
             written = spark.read.parquet(staging).select(*rows.columns, F.col("_metadata.file_path").alias("__file"))
             after = checksum(written, ["__file"]).select("rows", "digest")
             if not before.exceptAll(after).isEmpty() or not after.exceptAll(before).isEmpty():
                 raise RuntimeError("what was written does not agree with the source")
+            lost = manifest.join(_listing(spark, source), ["key", "bytes", "modified"], "left_anti").count()
+            if lost:
+                raise RuntimeError(f"{lost} of the listed files were removed or changed during the run")
             total = after.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
         summary = {"files_in": files, "files_out": n_bins, "rows": total}
         stream = system.create(hadoop.Path(f"{staging}/_summary.json"), True)

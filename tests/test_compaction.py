@@ -79,3 +79,47 @@ def test_a_failed_run_leaves_nothing(spark, tmp_path, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         compact_parquet(spark, source, str(tmp_path / "out"))
     assert [p.name for p in tmp_path.iterdir()] == ["in"]
+
+
+def test_columns_of_all_files_are_kept(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(10).coalesce(1).write.parquet(f"{source}/a")
+    spark.range(10, 20).select("id", F.concat(F.lit("t"), "id").alias("late")).coalesce(1).write.parquet(f"{source}/b")
+    spark.range(20, 30).select((F.col("id") / 2).alias("other"), "id").coalesce(1).write.parquet(f"{source}/c")
+    assert compact_parquet(spark, source, target)["rows"] == 30
+    back = {r.id: (r.late, r.other) for r in spark.read.parquet(target).collect()}
+    assert back == {i: (f"t{i}" if 10 <= i < 20 else None, i / 2 if i >= 20 else None) for i in range(30)}
+
+
+def test_types_that_do_not_go_together_are_an_error(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "in" / "a"))
+    spark.range(5).select(F.col("id").cast("string").alias("id")).write.parquet(str(tmp_path / "in" / "b"))
+    with pytest.raises(Exception, match="(?i)merg"):
+        compact_parquet(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert [p.name for p in tmp_path.iterdir()] == ["in"]
+
+
+@pytest.mark.parametrize("how", ["removed", "changed"])
+def test_listed_files_lost_during_the_run_are_an_error(spark, tmp_path, monkeypatch, how):
+    source = tmp_path / "in"
+    spark.range(50).repartition(5).write.parquet(str(source))
+
+    def pack_and_lose(*args, **kwargs):
+        file = sorted(source.glob("part-*.parquet"))[0]
+        if how == "removed":
+            file.unlink()
+        else:
+            (source / f".{file.name}.crc").unlink()
+            file.write_bytes(sorted(source.glob("part-*.parquet"))[1].read_bytes())
+        return pack_bins(*args, **kwargs)
+
+    monkeypatch.setattr("tessella.operators.compaction.pack_bins", pack_and_lose)
+    with pytest.raises(RuntimeError, match="1 of the listed files"):
+        compact_parquet(spark, str(source), str(tmp_path / "out"))
+    assert [p.name for p in tmp_path.iterdir()] == ["in"]
+
+
+def test_files_without_rows_are_no_loss(spark, tmp_path):
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "in" / "a"))
+    spark.range(0).coalesce(1).write.parquet(str(tmp_path / "in" / "b"))
+    assert compact_parquet(spark, str(tmp_path / "in"), str(tmp_path / "out"))["rows"] == 5
