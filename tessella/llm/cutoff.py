@@ -10,8 +10,9 @@ cut ones are left out, and the last fit is made without them. Then every record
 Length limits are found over all texts: a length, in characters or bytes, that many
 more texts of a source have than any length near it.
 
-The sample for the fit has at most `per_source` texts a source and `sample` in all, the
-ones with the least hashes; everything else covers all texts.
+The sample for the fit has at most `per_source` texts a source and `sample` in all, of
+each source the ones with the least hashes, and as many of each as of any other as long
+as it has them, so that a rare source is not crowded out; everything else covers all texts.
 
 Defined cases: null, empty and blank texts are no records here and get no row; a text
 of a source not seen in the fit is judged by what holds for all; repeated texts get
@@ -188,7 +189,7 @@ def train(texts: DataFrame, sample: int = SAMPLE, per_source: int = PER_SOURCE,
     """Weights from a bounded sample of `texts` (id, source, text, tail, limits, opened)."""
     key = F.xxhash64("id", F.lit(seed))
     ranked = texts.withColumn("key", key).withColumn("place", F.row_number().over(W.partitionBy("source").orderBy("key", "id"))).filter(F.col("place") <= per_source)
-    chosen = ranked.orderBy("key", "id").limit(sample)
+    chosen = ranked.orderBy("place", "key", "id").limit(sample)
     cuts = []
     for turn in range(2):
         place = F.pmod(F.xxhash64("id", F.lit(seed + 1 + turn)), F.greatest(F.length("text") - 1, F.lit(1))).cast("int") + 1

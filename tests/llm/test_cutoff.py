@@ -3,6 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from tessella.llm import cutoff
 from tessella.llm.cutoff import cut_texts, features, fit, length_limits, probabilities, _matrix
 
 SLOTS = {
@@ -72,3 +73,11 @@ def test_no_texts(spark):
     df = spark.createDataFrame([(1, None, "a")], "no long, body string, source string")
     assert cut_texts(df, "no", "body", "source").count() == 0 and cut_texts(df.limit(0), "no", "body", "source").count() == 0
     assert df.filter(F.col("no") < 0).count() == 0
+
+
+def test_rare_sources_are_not_crowded_out_of_the_fit(spark, monkeypatch):
+    got, examples = [], cutoff._examples
+    monkeypatch.setattr(cutoff, "_examples", lambda rows, seed: got.extend(r.source for r in rows) or examples(rows, seed))
+    rows = [(i, f"Some text of number {i}.", "rare" if i < 20 else "ab"[i % 2]) for i in range(2000)]
+    cut_texts(spark.createDataFrame(rows, "no long, body string, source string"), "no", "body", "source", sample=200, per_source=150).count()
+    assert {s: got.count(s) for s in set(got)} == {"rare": 20, "a": 90, "b": 90}
