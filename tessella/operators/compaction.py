@@ -23,14 +23,21 @@ from pyspark.sql import Window as W
 SMALL_TAR_BYTES = 4_194_304
 #: Size that a consolidated file should reach.
 TARGET_BYTES = 134_217_728
+#: Size at which a file of unknown size is packed.
+UNKNOWN_BYTES = 65_536
 #: Files packed by one task; a task's bins are full but for at most a few.
 CHUNK_FILES = 100_000
 
 
-def tar_sizes(members: DataFrame, tar: Column, member: Column, size: Column) -> DataFrame:
-    """(tar, bytes, members): a member counts once per tar with its largest known size."""
+def tar_members(members: DataFrame, tar: Column, member: Column, size: Column) -> DataFrame:
+    """(tar, member, size): a member counts once per tar with its largest known size."""
     each = members.select(tar.alias("tar"), member.alias("member"), size.cast("long").alias("size")).filter("tar IS NOT NULL")
-    each = each.groupBy("tar", "member").agg(F.max("size").alias("size"))
+    return each.groupBy("tar", "member").agg(F.max("size").alias("size"))
+
+
+def tar_sizes(members: DataFrame, tar: Column, member: Column, size: Column) -> DataFrame:
+    """(tar, bytes, members) by `tar_members`."""
+    each = tar_members(members, tar, member, size)
     return each.groupBy("tar").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count("*").alias("members"))
 
 
@@ -88,7 +95,7 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
-def pack_bins(files: DataFrame, kind: str, key: str, size: str, target_bytes: int = TARGET_BYTES, unknown_bytes: int = 65_536, chunk_files: int = CHUNK_FILES) -> DataFrame:
+def pack_bins(files: DataFrame, kind: str, key: str, size: str, target_bytes: int = TARGET_BYTES, unknown_bytes: int = UNKNOWN_BYTES, chunk_files: int = CHUNK_FILES) -> DataFrame:
     """(kind, key, bytes, bin): each file in one bin of at most `target_bytes`.
 
     Files are dealt by key hash into chunks of about `chunk_files`; first-fit

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.identifiers import file_of, tidy_lower, tidy_path, tidy_upper
-from tessella.operators.compaction import checksum, freeze_manifest, pack_bins
+from tessella.operators.compaction import UNKNOWN_BYTES, checksum, freeze_manifest, pack_bins, tar_members
 from tessella.operators.references import Reference, orphan_report, orphans
 from tessella.plans.registry import Registry
-from tessella.session import read
+from tessella.session import cut_lineage, read
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -42,19 +42,34 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p4_bins")
 def p4_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The new file of every small file: first-fit decreasing into files of 128 MiB."""
-    packed = pack_bins(_manifest(spark, sf_dir).filter("action = 'pack'"), "file_kind", "file_key", "bytes")
+    return _bins(cut_lineage(_manifest(spark, sf_dir).filter("action = 'pack'")))
+
+
+def _bins(manifest: DataFrame) -> DataFrame:
+    packed = pack_bins(manifest, "file_kind", "file_key", "bytes")
     return packed.select(F.col("kind").alias("file_kind"), F.col("key").alias("file_key"), "bytes", F.col("bin").alias("new_file"))
 
 
 @query("p4_report")
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per kind: files before and after, and rows and checksum of what goes in and comes out."""
-    before = _manifest(spark, sf_dir).filter("action = 'pack'").select("file_kind", "file_key")
-    after = p4_bins(spark, sf_dir)
-    a = checksum(before, ["file_kind"]).select("file_kind", F.col("rows").alias("rows_in"), F.col("digest").alias("digest_in"))
-    b = checksum(after.select("file_kind", "file_key"), ["file_kind"]).select("file_kind", F.col("rows").alias("rows_out"), F.col("digest").alias("digest_out"))
+    """Per kind: rows and checksum of the planned files, with bytes, before and after they are packed, and of the images in tars.
+
+    The manifest is written once and both sides come from it. Nothing is rewritten here.
+    """
+    manifest = cut_lineage(_manifest(spark, sf_dir).filter("action = 'pack'"))
+    before = manifest.select("file_kind", "file_key", F.coalesce("bytes", F.lit(UNKNOWN_BYTES)).cast("long").alias("bytes"))
+    after = cut_lineage(_bins(manifest))
+    members = tar_members(read(spark, sf_dir, "shards"), file_of(tidy_path("tar_name")), F.col("member"), F.col("byte_size")).withColumnRenamed("tar", "file_key")
+
+    def sums(files: DataFrame, side: str) -> DataFrame:
+        each = checksum(files, ["file_kind"]).select("file_kind", F.col("rows").alias(f"rows_{side}"), F.col("digest").alias(f"digest_{side}"))
+        held = members.join(files.filter("file_kind = 'tar'").select("file_kind", "file_key"), "file_key")
+        held = checksum(held, ["file_kind"]).select("file_kind", F.col("rows").alias(f"members_{side}"), F.col("digest").alias(f"members_digest_{side}"))
+        return each.join(held, "file_kind", "left")
+
     n = after.groupBy("file_kind").agg(F.countDistinct("new_file").alias("new_files"), F.max("bytes").alias("largest_bytes"))
-    return a.join(b, "file_kind", "left").join(n, "file_kind", "left")
+    out = sums(after.select("file_kind", "file_key", "bytes"), "out")
+    return sums(before, "in").join(out, "file_kind", "left").join(n, "file_kind", "left")
 
 
 def _references(spark: SparkSession, sf_dir: str) -> list[Reference]:

@@ -123,3 +123,23 @@ def test_files_without_rows_are_no_loss(spark, tmp_path):
     spark.range(5).coalesce(1).write.parquet(str(tmp_path / "in" / "a"))
     spark.range(0).coalesce(1).write.parquet(str(tmp_path / "in" / "b"))
     assert compact_parquet(spark, str(tmp_path / "in"), str(tmp_path / "out"))["rows"] == 5
+
+
+@pytest.mark.parametrize("wrong", [None, "bytes", "twice", "lost"])
+def test_report_shows_bytes_and_members_that_change(spark, monkeypatch, wrong):
+    from tessella.plans import storage
+
+    def packed(*args):
+        out = pack_bins(*args)
+        first = out.filter("kind = 'tar'").agg(F.min("key")).first()[0]
+        hit = (F.col("kind") == "tar") & (F.col("key") == first)
+        if wrong == "bytes":
+            return out.withColumn("bytes", F.when(hit, F.col("bytes") + 1).otherwise(F.col("bytes")))
+        return {None: out, "twice": out.unionByName(out.filter(hit)), "lost": out.filter(~hit)}[wrong]
+
+    monkeypatch.setattr(storage, "pack_bins", packed)
+    got = {r.file_kind: r for r in storage.p4_report(spark, "/root/testdata/sf0.001").collect()}
+    tar, tile = got["tar"], got["tile"]
+    assert (tar.digest_in == tar.digest_out) == (wrong is None) and tile.digest_in == tile.digest_out
+    same = (tar.members_in, tar.members_digest_in) == (tar.members_out, tar.members_digest_out)
+    assert same == (wrong in (None, "bytes")) and tar.members_in > tar.rows_in
