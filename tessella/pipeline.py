@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import shutil
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,8 @@ METADATA = ["Ten_File", "Ma_Nam", "Ma_So", "Do_Phong_Dai", "Glade", "Ket_Luan",
 #: Lenses of a catalog.
 LENSES = (4, 10, 40)
 _SHA = r"\A[0-9a-f]{64}\z"
+#: Most raw pixel bytes of the patches in one archive; a patch larger than that gets its own.
+PATCH_BYTES = 67_108_864
 
 
 def described(metadata: DataFrame, lenses: tuple[int, ...] = LENSES) -> DataFrame:
@@ -172,7 +175,7 @@ def verify(spark: SparkSession, out: str) -> int:
 
 
 def process(spark: SparkSession, folder: str, out: str, settings: P.Settings | None = None) -> dict:
-    """Quality rows and tiles of a folder of images, published by one rename and a commit file.
+    """Quality rows, tiles and archives of their PNG patches, published by one rename and a commit file.
 
     The output is named by its settings and the images' digests; when it is there
     already, it is reused.
@@ -184,7 +187,7 @@ def process(spark: SparkSession, folder: str, out: str, settings: P.Settings | N
     V.require_unique(facts, ["image_id"], "images")
     config = settings_id(vars(settings))
     total = facts.agg(F.count("*").alias("n"), F.sum(F.conv(F.substring(F.sha2(F.concat_ws("|", "image_id", "sha256"), 256), 1, 15), 16, 10).cast("decimal(38,0)")).cast("string").alias("s")).first()
-    name = hashlib.sha256(f"{config}|{total.n}|{total.s}".encode()).hexdigest()[:32]
+    name = hashlib.sha256(f"{config}|patches|{total.n}|{total.s}".encode()).hexdigest()[:32]
     final = os.path.join(out, name)
     if os.path.exists(os.path.join(final, "commit.json")):
         return {**files.read_object(os.path.join(final, "commit.json")), "reused": True}
@@ -201,9 +204,19 @@ def process(spark: SparkSession, folder: str, out: str, settings: P.Settings | N
     tiles.withColumnRenamed("sha256", "source_sha256").write.mode("overwrite").parquet(os.path.join(staging, "tiles"))
     quality = spark.read.parquet(os.path.join(staging, "quality"))
     stats = quality.agg(F.count("*").alias("images"), F.coalesce(F.sum("tiles_written"), F.lit(0)).alias("tiles"), F.count_if(F.col("status") == "review").alias("review"), F.count_if("duplicate_source_content").alias("duplicates")).first().asDict()
-    n_tiles = spark.read.parquet(os.path.join(staging, "tiles")).count()
+    tiles = spark.read.parquet(os.path.join(staging, "tiles"))
+    n_tiles = tiles.count()
     if n_tiles != stats["tiles"]:
         raise RuntimeError(f"{n_tiles} tiles written, {stats['tiles']} counted")
+    shutil.rmtree(os.path.join(staging, "patches"), ignore_errors=True)
+    each = max(1, PATCH_BYTES // (3 * settings.tile_size**2))
+    part = F.floor((F.col("place") - 1) / each).cast("int")
+    shard = F.concat(F.lit("patches-"), F.substring(F.sha2("image_id", 256), 1, 32), F.format_string("-%06d", part))
+    patches = sinks.write_shards(tiles.select(shard.alias("shard_id"), "place", F.col("patch_member").alias("member"), F.col("png").alias("content")), os.path.join(staging, "patches"))
+    patches.write.mode("overwrite").parquet(os.path.join(staging, "patch_archives"))
+    n_patches = spark.read.parquet(os.path.join(staging, "patch_archives")).agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    if n_patches != n_tiles:
+        raise RuntimeError(f"{n_patches} patches written, {n_tiles} tiles")
     commit = {"processing_id": name, "config_id": config, **stats, "mode": "smoke" if settings.max_tiles else "full"}
     sinks.atomic_json(os.path.join(staging, "commit.json"), commit)
     os.replace(staging, final)

@@ -119,3 +119,26 @@ def test_scoring_with_any_model(spark):
     rows = spark.range(3000).select("id", F.array(F.col("id") / 3000, F.lit(1.0)).alias("v"))
     got = score(rows, lambda: lambda m: m @ np.array([2.0, -1.0]), "v")
     assert got.filter(F.abs(F.col("y_prob") - (2 * F.col("id") / 3000 - 1)) > 1e-9).isEmpty() and got.count() == 3000
+
+
+def test_patches_are_written_to_archives(spark, tmp_path, monkeypatch):
+    import tarfile
+
+    monkeypatch.setattr("tessella.pipeline.PATCH_BYTES", 3 * 16 * 16 * 3)  # three patches an archive
+    (tmp_path / "i").mkdir()
+    draw = np.random.default_rng(2)
+    images = {n: np.clip(np.array([130, 65, 105]) + draw.integers(-20, 20, (32, 32, 3)), 0, 255).astype(np.uint8) for n in ("a", "b")}
+    for name, rgb in images.items():
+        (tmp_path / "i" / f"{name}.png").write_bytes(P.encode_png(rgb))
+    out = tmp_path / "o" / process(spark, str(tmp_path / "i"), str(tmp_path / "o"), P.Settings(tile_size=16, stride=16))["processing_id"]
+    tiles = {f"patches/{r.tile_id}.png": r for r in spark.read.parquet(str(out / "tiles")).collect()}
+    found = {}
+    for path in (out / "patches").glob("*.tar"):
+        with tarfile.open(path) as archive:
+            for m in archive.getmembers():
+                assert m.name not in found
+                found[m.name] = archive.extractfile(m).read()
+    assert len(tiles) == 8 and found.keys() == tiles.keys() and len(list((out / "patches").iterdir())) == 4
+    for name, data in found.items():
+        r = tiles[name]
+        assert data == P.encode_png(images[r.image_id][r.y : r.y + 16, r.x : r.x + 16])
