@@ -42,28 +42,36 @@ class Settings:
                 raise ValueError(f"{name} must be a whole number from {least} to {most}")
 
 
-def stained(density: np.ndarray, s: Settings) -> np.ndarray:
-    """Pixels whose mean density and green excess reach the thresholds."""
-    red, green, blue = density[..., 0], density[..., 1], density[..., 2]
-    return (density.mean(axis=-1) >= s.od_mean) & (green - np.maximum(red, blue) >= s.green_contrast)
+WHITE = np.full(3, 255.0, dtype=np.float32)
+
+
+def tissue_mask(rgb: np.ndarray, ground: np.ndarray, s: Settings) -> np.ndarray:
+    """Stained pixels: dense enough on average, and denser in green than in red and in blue.
+
+    The density of a channel is how far its logarithm lies below that of the ground, and
+    at least 0.
+    """
+    def density(channel: int) -> np.ndarray:
+        return np.maximum(np.log1p(np.float32(ground[channel])) - np.log1p(rgb[..., channel].astype(np.float32)), 0)
+
+    green = density(1)
+    total, excess = green.copy(), None
+    for channel in (0, 2):
+        other = density(channel)
+        total += other
+        excess = green - other if excess is None else np.minimum(excess, green - other)
+    return (total >= 3 * s.od_mean) & (excess >= s.green_contrast)
 
 
 def background(rgb: np.ndarray, s: Settings) -> np.ndarray:
-    """The bright neutral colour of the field; white when no pixel is neutral."""
-    pixels = rgb.reshape(-1, 3)
-    places = np.linspace(0, len(pixels) - 1, num=min(len(pixels), s.sample_pixels), dtype=np.int64)
-    sample = pixels[places].astype(np.float32)
-    chroma = np.ptp(sample, axis=1) / np.maximum(sample.mean(axis=1), 1.0)
-    neutral = sample[(chroma <= s.neutral_chroma) & ~stained(np.log(256.0 / (sample + 1.0)), s)]
-    if not len(neutral):
-        return np.full(3, 255.0, dtype=np.float32)
-    return np.clip(np.percentile(neutral, s.background_percentile, axis=0), 1.0, 255.0).astype(np.float32)
-
-
-def tissue_mask(rgb: np.ndarray, reference: np.ndarray, s: Settings) -> np.ndarray:
-    """Stained pixels of an image, its density being taken against the reference."""
-    density = np.log((reference.astype(np.float32) + 1.0) / (rgb.astype(np.float32) + 1.0))
-    return stained(np.maximum(density, 0.0), s)
+    """The bright colour of the unstained, nearly colourless ones among evenly spaced pixels; white when there are none."""
+    count = rgb.shape[0] * rgb.shape[1]
+    rows, columns = np.divmod(np.linspace(0, count - 1, min(count, s.sample_pixels)).astype(np.int64), rgb.shape[1])
+    probe = rgb[rows, columns]
+    wide = probe.astype(np.float64)
+    colour = (wide.max(axis=1) - wide.min(axis=1)) > s.neutral_chroma * np.maximum(wide.mean(axis=1), 1)
+    plain = wide[~(colour | tissue_mask(probe, WHITE, s))]
+    return np.percentile(plain, s.background_percentile, axis=0).clip(1, 255).astype(np.float32) if plain.size else WHITE.copy()
 
 
 def grey(rgb: np.ndarray) -> np.ndarray:

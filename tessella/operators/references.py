@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessella.operators.skew import copied, dealt, hot_keys
+
 #: The tick after all others; runs without an end reach up to it.
 FOREVER = (1 << 63) - 1
 #: Intervals of one key are merged within blocks of this many ticks first (32 days).
@@ -73,7 +75,7 @@ def orphans(references: list[Reference], hot_rows: int = 200_000) -> DataFrame:
 
     All columns go through one as-of pass. A key with more than `hot_rows` references
     is split into as many parts as that takes, its runs being copied to each part; the
-    list of such keys has at most (references / hot_rows) entries.
+    list of such keys is broadcast, see `hot_keys`.
     """
     refs = reduce(DataFrame.unionByName, [
         r.records.select(F.lit(i).alias("rel"), r.key.alias("key"), F.coalesce(F.unix_micros(r.at.cast("timestamp")), F.lit(FOREVER - 1)).alias("tick"), r.at.cast("timestamp").alias("at"), r.record_no.cast("long").alias("record_no"))
@@ -82,12 +84,8 @@ def orphans(references: list[Reference], hot_rows: int = 200_000) -> DataFrame:
     runs = reduce(DataFrame.unionByName, [
         validity_runs(r.parents, r.parent_key, r.valid_from, r.valid_to).withColumn("rel", F.lit(i)) for i, r in enumerate(references)
     ])
-    hot = refs.groupBy("rel", "key").count().filter(F.col("count") > hot_rows)
-    hot = hot.select("rel", "key", F.ceil(F.col("count") / hot_rows).cast("int").alias("parts"))
-    left = refs.join(hot, ["rel", "key"], "left")
-    left = left.withColumn("part", F.pmod(F.xxhash64("record_no"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    right = runs.join(hot, ["rel", "key"], "left")
-    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    hot = hot_keys(refs, ["rel", "key"], hot_rows)
+    left, right = dealt(refs, hot, ["rel", "key"], "record_no"), copied(runs, hot, ["rel", "key"])
     line = left.select("rel", "key", "part", "tick", F.lit(1).alias("kind"), "record_no", "at", F.lit(None).cast("long").alias("run_end"))
     line = line.unionByName(right.select("rel", "key", "part", F.col("start").alias("tick"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("record_no"), F.lit(None).cast("timestamp").alias("at"), F.col("end").alias("run_end")))
     asof = W.partitionBy("rel", "key", "part").orderBy("tick", "kind").rowsBetween(W.unboundedPreceding, 0)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import shutil
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +18,7 @@ from tessella.operators import validation as V
 from tessella.operators.packing import plan_shards
 from tessella.operators.splitting import balanced_sample
 from tessella.schemas import CATALOG_IMAGE
-from tessella.sources import archives, files, sinks
+from tessella.sources import archives, files, shared, sinks
 from tessella.streaming.commits import settings_id
 
 #: Columns of a metadata table (fixed names).
@@ -98,19 +97,23 @@ def _catalog_id(images: DataFrame, header: dict) -> str:
 
 
 def contents(spark: SparkSession, images: DataFrame, sources: list[tuple[str, str, str]]) -> DataFrame:
-    """(image_id, content) of cataloged images, each read from its own source."""
+    """(image_id, content) of the given images, each read from its own source."""
     archives.register(spark)
     parts = []
     for source_id, kind, path in sources:
         own = images.filter(F.col("source_id") == source_id).select("image_id", "source_member")
         if kind == "directory":
-            rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+            names = [r.source_member for r in own.select("source_member").limit(files.LISTED + 1).collect()]
+            if not names:
+                continue
+            few = len(names) <= files.LISTED  # then nothing but these files is read
+            rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([shared.joined(path, n) for n in names] if few else path)
             root = os.path.abspath(path).strip("/").replace(".", r"\.")
             rows = rows.select(F.regexp_replace("path", r"\Afile:/+" + root + "/", "").alias("source_member"), "content")
         else:
             rows = spark.read.format("zip_members").load(path).select(F.col("member").alias("source_member"), "content")
         parts.append(own.join(rows, "source_member").select("image_id", "content"))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], "image_id string, content binary"))
 
 
 def prepare(spark: SparkSession, metadata: str, sources: list[tuple[str, str, str]], out: str, cap: int = 536_870_912, max_shards: int | None = None, **options) -> dict:
@@ -119,22 +122,22 @@ def prepare(spark: SparkSession, metadata: str, sources: list[tuple[str, str, st
     A shard counts once its row is in release.json, which is replaced atomically; the
     folder is bound to one catalog. Returns the release.
     """
-    os.makedirs(out, exist_ok=True)
+    shared.make_folder(out)
     images, header = build_catalog(spark, metadata, sources, **options)
-    release_path = os.path.join(out, "release.json")
+    release_path = shared.joined(out, "release.json")
     release = {"catalog_id": header["catalog_id"], "max_bytes": cap, "complete": False, "shards": []}
-    if os.path.exists(release_path):
+    if shared.exists(release_path):
         old = files.read_object(release_path)
         if (old["catalog_id"], old["max_bytes"]) != (header["catalog_id"], cap):
             raise ValueError(f"{out} holds another catalog or another size of shards")
         for s in old["shards"]:
-            if sinks.digest(os.path.join(out, s["tar_name"])) != s["tar_sha256"]:
+            if sinks.digest(shared.joined(out, s["tar_name"])) != s["tar_sha256"]:
                 raise ValueError(f"{s['tar_name']} was changed")
         release = old
-    catalog = os.path.join(out, "catalog")
-    if not os.path.exists(os.path.join(catalog, "_SUCCESS")):
+    catalog = shared.joined(out, "catalog")
+    if not shared.exists(shared.joined(catalog, "_SUCCESS")):
         images.write.mode("overwrite").parquet(catalog)
-        sinks.atomic_json(os.path.join(out, "catalog.json"), header)
+        sinks.atomic_json(shared.joined(out, "catalog.json"), header)
     images = spark.read.parquet(catalog)
     member = X.output_member(F.col("image_id"), F.col("file_name"))
     planned = plan_shards(images.select("image_id", "objective_lens", "case_id", member.alias("member"), X.tar_record_bytes(member, F.col("byte_size")).cast("long").alias("record_bytes")), "objective_lens", ["case_id", "image_id"], "record_bytes", cap)
@@ -146,7 +149,7 @@ def prepare(spark: SparkSession, metadata: str, sources: list[tuple[str, str, st
     if not waiting.isEmpty():
         place = F.row_number().over(W.partitionBy("shard_id").orderBy("case_id", "image_id"))
         wanted = planned.join(waiting, ["objective_lens", "shard_no"]).withColumn("place", place)
-        records = wanted.join(contents(spark, images, sources), "image_id")
+        records = wanted.join(contents(spark, images.join(wanted.select("image_id"), "image_id", "left_semi"), sources), "image_id")
         written = sinks.write_shards(records.select("shard_id", "place", "member", "content"), out).collect()
         release["shards"] = sorted(release["shards"] + [r.asDict() for r in written], key=lambda s: s["shard_id"])
     release["complete"] = len(release["shards"]) == names.count()
@@ -156,15 +159,15 @@ def prepare(spark: SparkSession, metadata: str, sources: list[tuple[str, str, st
 
 def verify(spark: SparkSession, out: str) -> int:
     """Compare the release's archives with their digests and the catalog; returns the number of images."""
-    release = files.read_object(os.path.join(out, "release.json"))
+    release = files.read_object(shared.joined(out, "release.json"))
     for s in release["shards"]:
-        if sinks.digest(os.path.join(out, s["tar_name"])) != s["tar_sha256"]:
+        if sinks.digest(shared.joined(out, s["tar_name"])) != s["tar_sha256"]:
             raise ValueError(f"{s['tar_name']} was changed")
     if not release["shards"]:
         return 0
     archives.register(spark)
     members = spark.read.format("tar_members").load(out).select("member", "byte_size")
-    images = spark.read.parquet(os.path.join(out, "catalog")).select(X.output_member(F.col("image_id"), F.col("file_name")).alias("member"), F.col("byte_size").alias("wanted"))
+    images = spark.read.parquet(shared.joined(out, "catalog")).select(X.output_member(F.col("image_id"), F.col("file_name")).alias("member"), F.col("byte_size").alias("wanted"))
     joined = members.join(images, "member", "left")
     V.require_unique(members, ["member"], "release")
     V.require_none(joined, F.col("wanted").isNull() | (F.col("wanted") != F.col("byte_size")), "members that differ from the catalog", "member")
@@ -188,10 +191,10 @@ def process(spark: SparkSession, folder: str, out: str, settings: P.Settings | N
     config = settings_id(vars(settings))
     total = facts.agg(F.count("*").alias("n"), F.sum(F.conv(F.substring(F.sha2(F.concat_ws("|", "image_id", "sha256"), 256), 1, 15), 16, 10).cast("decimal(38,0)")).cast("string").alias("s")).first()
     name = hashlib.sha256(f"{config}|patches|{total.n}|{total.s}".encode()).hexdigest()[:32]
-    final = os.path.join(out, name)
-    if os.path.exists(os.path.join(final, "commit.json")):
-        return {**files.read_object(os.path.join(final, "commit.json")), "reused": True}
-    staging = os.path.join(out, f".{name}.staging")
+    final = shared.joined(out, name)
+    if shared.exists(shared.joined(final, "commit.json")):
+        return {**files.read_object(shared.joined(final, "commit.json")), "reused": True}
+    staging = shared.joined(out, f".{name}.staging")
     twice = facts.groupBy("sha256").agg(F.sort_array(F.collect_set("image_id")).alias("ids")).filter(F.size("ids") > 1)
     frames = imaging.images(spark, folder)
     rows = imaging.quality(frames, settings, strict=True).join(facts, "image_id").join(twice, "sha256", "left")
@@ -199,25 +202,25 @@ def process(spark: SparkSession, folder: str, out: str, settings: P.Settings | N
     reasons = imaging.review_reasons(F.col("tissue_fraction"), F.size(others) > 0, F.col("focus_score"), F.col("tiles_eligible"), settings.blur_threshold)
     written = F.least("tiles_eligible", F.lit(settings.max_tiles)) if settings.max_tiles else F.col("tiles_eligible")
     rows = rows.select("image_id", F.col("sha256").alias("source_sha256"), (F.size(others) > 0).alias("duplicate_source_content"), others.alias("duplicate_source_image_ids"), "background_reference_rgb", "width", "height", "decode_ok", "tissue_fraction", "focus_score", "tiles_eligible", written.alias("tiles_written"), F.when(F.size(reasons) > 0, "review").otherwise("pass").alias("status"), reasons.alias("reasons"))
-    rows.write.mode("overwrite").parquet(os.path.join(staging, "quality"))
+    rows.write.mode("overwrite").parquet(shared.joined(staging, "quality"))
     tiles = imaging.tile_ids(imaging.tiles(frames, settings).join(facts, "image_id"), F.col("sha256"), config)
-    tiles.withColumnRenamed("sha256", "source_sha256").write.mode("overwrite").parquet(os.path.join(staging, "tiles"))
-    quality = spark.read.parquet(os.path.join(staging, "quality"))
+    tiles.withColumnRenamed("sha256", "source_sha256").write.mode("overwrite").parquet(shared.joined(staging, "tiles"))
+    quality = spark.read.parquet(shared.joined(staging, "quality"))
     stats = quality.agg(F.count("*").alias("images"), F.coalesce(F.sum("tiles_written"), F.lit(0)).alias("tiles"), F.count_if(F.col("status") == "review").alias("review"), F.count_if("duplicate_source_content").alias("duplicates")).first().asDict()
-    tiles = spark.read.parquet(os.path.join(staging, "tiles"))
+    tiles = spark.read.parquet(shared.joined(staging, "tiles"))
     n_tiles = tiles.count()
     if n_tiles != stats["tiles"]:
         raise RuntimeError(f"{n_tiles} tiles written, {stats['tiles']} counted")
-    shutil.rmtree(os.path.join(staging, "patches"), ignore_errors=True)
+    shared.remove(shared.joined(staging, "patches"))
     each = max(1, PATCH_BYTES // (3 * settings.tile_size**2))
     part = F.floor((F.col("place") - 1) / each).cast("int")
     shard = F.concat(F.lit("patches-"), F.substring(F.sha2("image_id", 256), 1, 32), F.format_string("-%06d", part))
-    patches = sinks.write_shards(tiles.select(shard.alias("shard_id"), "place", F.col("patch_member").alias("member"), F.col("png").alias("content")), os.path.join(staging, "patches"))
-    patches.write.mode("overwrite").parquet(os.path.join(staging, "patch_archives"))
-    n_patches = spark.read.parquet(os.path.join(staging, "patch_archives")).agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    patches = sinks.write_shards(tiles.select(shard.alias("shard_id"), "place", F.col("patch_member").alias("member"), F.col("png").alias("content")), shared.joined(staging, "patches"))
+    patches.write.mode("overwrite").parquet(shared.joined(staging, "patch_archives"))
+    n_patches = spark.read.parquet(shared.joined(staging, "patch_archives")).agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
     if n_patches != n_tiles:
         raise RuntimeError(f"{n_patches} patches written, {n_tiles} tiles")
     commit = {"processing_id": name, "config_id": config, **stats, "mode": "smoke" if settings.max_tiles else "full"}
-    sinks.atomic_json(os.path.join(staging, "commit.json"), commit)
-    os.replace(staging, final)
+    sinks.atomic_json(shared.joined(staging, "commit.json"), commit)
+    shared.rename(staging, final)
     return {**commit, "reused": False}

@@ -21,6 +21,7 @@ def session(master: str = "local[8]", **conf: str) -> SparkSession:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
@@ -35,19 +36,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder and read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir, which all executors share.
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only a local
-    session without such a setting gets a temporary one; elsewhere that is an error,
-    since a folder of one machine would be lost with it.
+    Only a local session without such a setting gets a temporary one; elsewhere that is
+    an error, since a folder of one machine would be lost with it.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="tessella-checkpoint-")
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="tessella-checkpoint-")
         context.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write `df` to the checkpoint folder and read it from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -7,9 +7,8 @@ leave one by one. Unsafe names, repeated members and encrypted entries are error
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import hashlib
-import os
 import stat
 import tarfile
 import zipfile
@@ -19,6 +18,8 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tessella.sources import shared
+
 #: Suffixes of image files (fixed values).
 IMAGE_SUFFIXES = (".tif", ".tiff", ".png", ".jpg", ".jpeg")
 
@@ -45,8 +46,9 @@ class _Reader(DataSourceReader):
     default_pattern = "*.zip"
 
     def partitions(self) -> list[InputPartition]:
-        paths = [self.folder] if os.path.isfile(self.folder) else sorted(glob.glob(os.path.join(self.folder, self.pattern)))
-        return [_Archive(p) for p in paths]
+        if fnmatch.fnmatch(self.folder.rpartition("/")[2], self.pattern) and shared.is_file(self.folder):
+            return [_Archive(self.folder)]
+        return [_Archive(p) for p in shared.listed(self.folder) if fnmatch.fnmatch(p.rpartition("/")[2], self.pattern)]
 
 
 def _entries(archive: zipfile.ZipFile) -> list[zipfile.ZipInfo]:
@@ -68,14 +70,14 @@ def _entries(archive: zipfile.ZipFile) -> list[zipfile.ZipInfo]:
 
 class ZipInventoryReader(_Reader):
     def read(self, partition) -> Iterator[tuple]:
-        with zipfile.ZipFile(partition.path) as archive:
+        with shared.seekable(partition.path) as file, zipfile.ZipFile(file) as archive:
             for info in _entries(archive):
-                yield partition.path, info.filename, os.path.basename(info.filename), info.file_size, f"zip-crc32:{info.CRC:08x}"
+                yield partition.path, info.filename, info.filename.rpartition("/")[2], info.file_size, f"zip-crc32:{info.CRC:08x}"
 
 
 class ZipMemberReader(_Reader):
     def read(self, partition) -> Iterator[tuple]:
-        with zipfile.ZipFile(partition.path) as archive:
+        with shared.seekable(partition.path) as file, zipfile.ZipFile(file) as archive:
             for info in _entries(archive):
                 content = archive.read(info)  # compares the CRC
                 if len(content) != info.file_size:
@@ -88,7 +90,7 @@ class TarMemberReader(_Reader):
 
     def read(self, partition) -> Iterator[tuple]:
         seen = set()
-        with tarfile.open(partition.path, "r|") as archive:
+        with shared.seekable(partition.path) as file, tarfile.open(fileobj=file, mode="r|") as archive:
             for info in archive:
                 if not info.isreg():
                     raise ValueError(f"not a plain file: {info.name!r}")

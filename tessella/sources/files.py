@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 import json
 import os
 from functools import reduce
@@ -11,16 +12,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.sources import archives, sheets
+from tessella.sources import archives, shared, sheets
 from tessella.sources.archives import IMAGE_SUFFIXES
 
 
+#: Files up to this number are read by name, more by folder.
+LISTED = 10_000
+
+
 def read_strings(spark: SparkSession, path: str) -> DataFrame:
     """A CSV or XLSX table, every column a string and blanks ''."""
     if path.lower().endswith((".xlsx", ".xlsm")):
         sheets.register(spark)
         return spark.read.format("xlsx").load(path)
-    with open(path.removeprefix("file://"), encoding="utf-8-sig", newline="") as file:
+    with shared.seekable(path) as raw, io.TextIOWrapper(raw, encoding="utf-8-sig", newline="") as file:
         names = next(csv.reader(file), [])
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
@@ -39,8 +44,7 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str)
 
 def read_object(path: str) -> dict:
     """One JSON object; anything else is an error."""
-    with open(path, encoding="utf-8") as file:
-        value = json.load(file)
+    value = json.loads(shared.content(path))
     if not isinstance(value, dict):
         raise ValueError(f"{path}: not an object")
     return value
@@ -105,7 +109,7 @@ def inventory(spark: SparkSession, sources: list[tuple[str, str, str]]) -> DataF
     return rows
 
 
-def hashed(spark: SparkSession, paths: DataFrame, folders: list[str], listed: int = 10_000) -> DataFrame:
+def hashed(spark: SparkSession, paths: DataFrame, folders: list[str], listed: int = LISTED) -> DataFrame:
     """(path, sha256) of selected files.
 
     Up to `listed` files are read by name, so no other content is touched; more are read

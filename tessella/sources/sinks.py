@@ -2,56 +2,38 @@
 
 from __future__ import annotations
 
-import hashlib
 import io
 import json
-import os
-import shutil
 import tarfile
-import uuid
+from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.sources import shared
+
 
 def atomic_json(path: str, value) -> None:
-    """Write beside, flush, then rename; NaN is an error."""
-    text = json.dumps(value, ensure_ascii=False, sort_keys=True, indent=2, allow_nan=False)
-    beside = f"{path}.{uuid.uuid4().hex}.tmp"
-    try:
-        with open(beside, "w", encoding="utf-8") as file:
-            file.write(text + "\n")
-            file.flush()
-            os.fsync(file.fileno())
-        os.replace(beside, path)
-    finally:
-        if os.path.exists(beside):
-            os.remove(beside)
-
-
-def digest(path: str, block: int = 1 << 20) -> str:
-    """SHA-256 of a file, read in blocks."""
-    value = hashlib.sha256()
-    with open(path, "rb") as file:
-        while data := file.read(block):
-            value.update(data)
-    return value.hexdigest()
+    """A JSON file that appears whole or not at all; NaN is an error."""
+    shared.put(path, [json.dumps(value, ensure_ascii=False, sort_keys=True, indent=2, allow_nan=False).encode(), b"\n"])
+
+
+digest = shared.digest
 
 
 def verified_copy(source: str, target: str, sha256: str) -> None:
-    """Copy beside the target, compare, rename, compare again."""
-    beside = f"{target}.{uuid.uuid4().hex}.tmp"
-    try:
-        shutil.copyfile(source, beside)
-        if digest(beside) != sha256:
-            raise ValueError(f"{source} does not have the digest {sha256}")
-        os.replace(beside, target)
-    finally:
-        if os.path.exists(beside):
-            os.remove(beside)
-    if digest(target) != sha256:
-        raise OSError(f"{target} changed while it was put in place")
+    """Copy a file that must have this digest, before it is in place and when it is read back."""
+    shared.put(target, shared.blocks(source), expected=sha256)
+    if shared.digest(target) != sha256:
+        raise OSError(f"{target} does not read back as it was written")
+
+
+def _add(archive: tarfile.TarFile, name: str, content: bytes) -> None:
+    info = tarfile.TarInfo(name)
+    info.size, info.mode = len(content), 0o644
+    archive.addfile(info, io.BytesIO(content))
 
 
 def tar_bytes(members: list[tuple[str, bytes]]) -> bytes:
@@ -59,34 +41,35 @@ def tar_bytes(members: list[tuple[str, bytes]]) -> bytes:
     stream = io.BytesIO()
     with tarfile.open(fileobj=stream, mode="w", format=tarfile.PAX_FORMAT) as archive:
         for name, content in members:
-            info = tarfile.TarInfo(name)
-            info.size, info.mode = len(content), 0o644
-            archive.addfile(info, io.BytesIO(content))
+            _add(archive, name, content)
     return stream.getvalue()
 
 
+def _streamed(batches: Iterator[pd.DataFrame], folder: str) -> Iterator[pd.DataFrame]:
+    """Write rows sorted by (shard_id, place) into one archive a shard, member by member."""
+    rows = (r for batch in batches for r in batch[["shard_id", "member", "content"]].itertuples(index=False))
+    for shard, members in groupby(rows, key=lambda r: r.shard_id):
+        with shared.Draft(shared.joined(folder, f"{shard}.tar")) as draft:
+            n = 0
+            with tarfile.open(fileobj=draft, mode="w", format=tarfile.PAX_FORMAT) as archive:
+                for r in members:
+                    _add(archive, r.member, bytes(r.content))
+                    archive.members.clear()  # else it remembers every header
+                    n += 1
+            found = draft.publish()
+        yield pd.DataFrame({"shard_id": [shard], "tar_name": [f"{shard}.tar"], "tar_bytes": [draft.length], "tar_sha256": [found], "members": [n]})
+
+
 def write_shards(records: DataFrame, folder: str) -> DataFrame:
     """Write one TAR for each shard_id and return (shard_id, tar_name, tar_bytes, tar_sha256, members).
 
-    `records` has (shard_id, place, member, content). A shard is one group of bounded
-    size by how it was planned. A file is written beside and renamed, so a task that is
-    run again replaces it with equal bytes.
+    `records` has (shard_id, place, member, content). Members are streamed in order of
+    place, so a task holds one Arrow batch at a time, whatever the size of a shard. A file
+    appears whole under its name; a task that is run again replaces it with equal bytes.
     """
-    os.makedirs(folder, exist_ok=True)
-
-    def write(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("place")
-        shard = part["shard_id"].iloc[0]
-        data = tar_bytes([(m, bytes(c)) for m, c in zip(part["member"], part["content"], strict=True)])
-        beside = os.path.join(folder, f".{shard}.{uuid.uuid4().hex}")
-        with open(beside, "wb") as file:
-            file.write(data)
-            file.flush()
-            os.fsync(file.fileno())
-        os.replace(beside, os.path.join(folder, f"{shard}.tar"))
-        return pd.DataFrame({"shard_id": [shard], "tar_name": [f"{shard}.tar"], "tar_bytes": [len(data)], "tar_sha256": [hashlib.sha256(data).hexdigest()], "members": [len(part)]})
-
-    return records.select("shard_id", "place", "member", "content").groupBy("shard_id").applyInPandas(write, "shard_id string, tar_name string, tar_bytes long, tar_sha256 string, members long")
+    shared.make_folder(folder)
+    rows = records.select("shard_id", "place", "member", "content").repartition("shard_id").sortWithinPartitions("shard_id", "place")
+    return rows.mapInPandas(lambda batches: _streamed(batches, folder), "shard_id string, tar_name string, tar_bytes long, tar_sha256 string, members long")
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.sources import shared
 from tessella.sources.sinks import atomic_json
 
 COMMIT = T.StructType([T.StructField("unit", T.StringType()), T.StructField("batch", T.LongType()), T.StructField("rows", T.LongType())])
@@ -23,7 +23,7 @@ COMMIT = T.StructType([T.StructField("unit", T.StringType()), T.StructField("bat
 
 def committed(spark: SparkSession, folder: str) -> DataFrame:
     """The commit table; empty when nothing was committed yet."""
-    if not os.path.isdir(folder) or not any(n.endswith(".parquet") for n in os.listdir(folder)):
+    if not shared.listed(folder, ".parquet"):
         return spark.createDataFrame([], COMMIT)
     return spark.read.schema(COMMIT).parquet(folder)
 
@@ -77,14 +77,11 @@ def settings_id(settings: dict) -> str:
 
 def lock_settings(folder: str, settings: dict) -> str:
     """Keep a folder to one set of settings; other ones are an error."""
-    os.makedirs(folder, exist_ok=True)
-    path, wanted = os.path.join(folder, "_settings.json"), json.loads(json.dumps(settings))
-    if os.path.exists(path):
-        with open(path, encoding="utf-8") as file:
-            if json.load(file) != wanted:
-                raise ValueError(f"{folder} was made with other settings")
-    else:
+    path, wanted = shared.joined(folder, "_settings.json"), json.loads(json.dumps(settings))
+    if not shared.exists(path):
         atomic_json(path, wanted)
+    elif json.loads(shared.content(path)) != wanted:
+        raise ValueError(f"{folder} was made with other settings")
     return settings_id(wanted)
 
 
