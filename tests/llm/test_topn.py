@@ -1,33 +1,75 @@
 import random
 
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm.topn import LoserTree, merge_runs, merged_batches, top_n
+from tessella.functions.identifiers import tidy_upper
+from tessella.llm import topn
+from tessella.llm.topn import LoserTree, StoredRun, merged, store_runs, top_n
+from tessella.operators.skew import hot_keys
+from tessella.session import read
+from tessella.sources import shared
+
+
+class ListedRun:
+    """A run in memory; counts how often it is passed over."""
+
+    def __init__(self, rows):
+        self.rows, self.at, self.seeks = rows, 0, 0
+
+    def head(self):
+        return self.rows[self.at] if self.at < len(self.rows) else None
+
+    def advance(self):
+        self.at += 1
+
+    def seek_past(self, group):
+        self.seeks += 1
+        while self.head() is not None and self.head()[0] <= group:
+            self.at += 1
 
 
 @pytest.mark.parametrize("seed", range(20))
 def test_merge_equals_sorting(seed):
     draw = random.Random(seed)
-    runs = [sorted((draw.randint(-9, 0) / 2, draw.randint(0, 99)) for _ in range(draw.randint(0, 12))) for _ in range(draw.randint(1, 9))]
-    n = draw.choice([1, 5, 200])
-    assert merge_runs([r[:] for r in runs], n) == sorted(x for r in runs for x in r)[:n]
+    runs = [sorted((draw.choice("abcd"), draw.randint(-9, 0) / 2, draw.randint(0, 99)) for _ in range(draw.randint(0, 30))) for _ in range(draw.randint(1, 9))]
+    n = draw.choice([1, 3, 200])
+    want = []
+    for group in "abcd":
+        best = sorted(x for r in runs for x in r if x[0] == group)[:n]
+        want += [(group, -s, i, k + 1) for k, (_, s, i) in enumerate(best)]
+    assert list(merged([ListedRun(r) for r in runs], n)) == want
+
+
+def test_each_run_is_passed_over_at_most_once_a_group():
+    runs = [ListedRun([("a", -x, k * 1000 + i) for i, x in enumerate(range(1000, 0, -1))] + [("b", -1.0, k)]) for k in range(5)]
+    assert len(list(merged(runs, 5))) == 10 and [r.seeks for r in runs] == [1] * 5
 
 
 def test_tree_of_one_and_of_empty_runs():
-    assert LoserTree([None]).winner == 0 and merge_runs([[], [], []], 5) == []
+    assert LoserTree([None]).winner == 0 and LoserTree([]).heads == [None] and list(merged([ListedRun([])] * 3, 5)) == [] == list(merged([], 5))
+
+
+def test_row_groups_between_are_not_read(spark, tmp_path):
+    rows = spark.range(200_000).select(F.concat(F.lit("g"), (F.col("id") >= 199_990).cast("int").cast("string")).alias("grp"), (-F.col("id")).cast("double").alias("score"), "id")
+    rows.coalesce(1).sortWithinPartitions("grp", F.desc("score"), "id").write.option("parquet.block.size", 1 << 16).parquet(str(tmp_path / "run"))
+    run = StoredRun(shared.listed(str(tmp_path / "run"), ".parquet")[0])
+    assert [i for _, _, i, _ in merged([run], 5)] == [0, 1, 2, 3, 4, 199_990, 199_991, 199_992, 199_993, 199_994]
+    assert run.file.num_row_groups > 8 and run.groups_read <= 3
 
 
-def test_stream_breaks_anywhere():
-    rows = [("a", 0, 0.9, 1), ("a", 0, 0.5, 2), ("a", 1, 0.9, 0), ("b", 0, 0.1, 7), ("c", 3, 0.2, 8), ("c", 4, 0.3, 9)]
-    for size in range(1, 7):
-        batches = [pa.RecordBatch.from_pylist([dict(zip(("grp", "run", "score", "id"), r, strict=True)) for r in rows[i : i + size]]) for i in range(0, len(rows), size)]
-        got = [tuple(r.values()) for b in merged_batches(iter(batches), 2) for r in b.to_pylist()]
-        assert got == [("a", 0, 1), ("a", 1, 2), ("b", 7, 1), ("c", 9, 1), ("c", 8, 2)]
+def test_the_hot_patient_has_several_runs(spark):
+    """At sf0.1 the tree has more than one run to merge for the patient with a tenth of the rows."""
+    rows = read(spark, "/root/testdata/sf0.1", "patient_level_cv").filter("y_prob >= 0 AND y_prob <= 1")
+    rows = rows.select(tidy_upper("patient_id").alias("grp"), F.col("tile_path").alias("item"), F.col("scored_at").alias("version"), F.col("y_prob").alias("score"), F.col("pred_no").alias("id")).filter("grp IS NOT NULL AND item IS NOT NULL")
+    hot = rows.groupBy("grp").count().orderBy(F.desc("count")).first().grp
+    folder, most = store_runs(rows, 4, 4096)
+    stored = spark.read.parquet(folder)
+    assert most >= 2 and stored.filter(F.col("grp") == hot).select("run").distinct().count() == most
+    assert stored.groupBy("bucket", "run").agg(F.countDistinct("_metadata.file_path").alias("n")).filter("n > 1").isEmpty()
 
 
-def test_against_plain_sorting(spark):
+def test_against_plain_sorting(spark, monkeypatch):
     draw = random.Random(1)
     groups = ["hot"] * 6 + [f"g{i}" for i in range(40)] + [None]
     rows = [(i, draw.choice(groups), f"t{draw.randrange(400)}" if draw.random() < 0.97 else None, draw.randrange(5), draw.choice([None, float("nan"), *([round(draw.random(), 1)] * 8)]), 5) for i in range(6000)]
@@ -41,9 +83,10 @@ def test_against_plain_sorting(spark):
     for (g, _), (_, s, i) in newest.items():
         want.setdefault(g, []).append((-s, i))
     want = {g: [i for _, i in sorted(x)[:5]] for g, x in want.items()}
-    for run_rows in (10, 100, 100_000):
+    for run_rows, fan_in in ((10, 128), (10, 2), (100, 3), (100_000, 128)):
+        monkeypatch.setattr(topn, "hot_keys", lambda rows, keys, _, n=run_rows: hot_keys(rows, keys, n))
         got = {}
-        for r in top_n(df, F.col("grp"), F.col("item"), F.col("version"), F.col("score"), F.col("id"), 5, run_rows).orderBy("grp", "place").collect():
+        for r in top_n(df, F.col("grp"), F.col("item"), F.col("version"), F.col("score"), F.col("id"), 5, run_rows, fan_in).orderBy("grp", "place").collect():
             got.setdefault(r.grp, []).append(r.id)
         assert got == want
 
