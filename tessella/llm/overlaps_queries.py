@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.identifiers import tidy_lower, tidy_upper
-from tessella.llm.suffixes import coverage, near_digests
+from tessella.llm.suffixes import coverage, digest_of, digest_suffixes, near_digests, shared_spans
 from tessella.plans.registry import Registry
 from tessella.session import cut_lineage, read
 
@@ -29,40 +29,57 @@ def _digest(column: str) -> Column:
 
 
 def image_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(image, l, r, sha, thumb, others): l in train, r in val or test; the rest is out.
-
-    They are written once, without repeated rows, since every kind of overlap reads them again.
-    """
+    """(image, left, split, source, sha, thumb, others): left in train, else in val or test; the rest is out."""
     splits = patient_splits(read(spark, sf_dir, "patient_level_split")).filter("split IN ('train', 'val', 'test')")
-    rows = read(spark, sf_dir, "processing").select(tidy_upper("image_id").alias("image"), tidy_upper("patient_id").alias("patient"), _digest("source_sha256").alias("sha"), _digest("thumb_hash").alias("thumb"), F.col("duplicate_source_image_ids").alias("others"))
-    return cut_lineage(rows.filter("image IS NOT NULL").join(splits, "patient").select("image", (F.col("split") == "train").alias("l"), (F.col("split") != "train").alias("r"), "sha", "thumb", F.when(F.size("others") > 0, F.col("others")).alias("others")).distinct())
+    rows = read(spark, sf_dir, "processing").select(tidy_upper("image_id").alias("image"), tidy_upper("patient_id").alias("patient"), tidy_lower("source_id").alias("source"), _digest("source_sha256").alias("sha"), _digest("thumb_hash").alias("thumb"), F.col("duplicate_source_image_ids").alias("others"))
+    return rows.filter("image IS NOT NULL").join(splits, "patient").select("image", (F.col("split") == "train").alias("left"), "split", "source", "sha", "thumb", "others")
+
 
+#: Places in the suffix array beyond those of thumbnail digests: texts that must agree as a whole.
+SHA, NAMED, ODD_THUMB = 100, 101, 102
+_HEX = r"\A[0-9a-f]{32}\z"
 
-def _digests(facts: DataFrame) -> DataFrame:
-    """(text, l, r): each thumbnail digest once, with the sides that have it."""
-    whole = facts.filter(F.col("thumb").rlike(r"\A[0-9a-f]{32}\z"))
-    return whole.groupBy(F.col("thumb").alias("text")).agg(F.max("l").alias("l"), F.max("r").alias("r"))
 
+def image_suffixes(facts: DataFrame) -> DataFrame:
+    """(place, suffix, left, id, least, role) of all that tells images to be alike.
+
+    Thumbnail digests give a suffix at each place where a common span may start. Of
+    other texts only the whole counts: digests of the bytes, the ids of images (role
+    `own`) and the ids that an image lists (role `list`), thumbnails that are no digests.
+    """
+    thumbs = digest_suffixes(facts.filter(F.col("thumb").rlike(_HEX)).select(F.col("image").alias("id"), "left", F.col("thumb").alias("text")), BITS)
+    def entry(place: int, text: Column, role: str = "own") -> Column:
+        return F.struct(F.lit(place).alias("place"), text.alias("text"), F.lit(role).alias("role"))
+
+    listed = F.array_distinct(F.coalesce("others", F.array().cast("array<string>")))
+    odd = F.when(~F.col("thumb").rlike(_HEX), F.col("thumb"))
+    whole = F.concat(F.array(entry(SHA, F.col("sha")), entry(NAMED, F.col("image")), entry(ODD_THUMB, odd)), F.transform(listed, lambda x: entry(NAMED, tidy_upper(x), "list")))
+    rows = facts.select("image", "left", F.explode(whole).alias("t")).filter("t.text IS NOT NULL")
+    coded = F.when((F.col("t.place") == SHA) & F.col("t.text").rlike(r"\A[0-9a-f]{64}\z"), F.unhex("t.text")).otherwise(F.col("t.text").cast("binary"))
+    texts = rows.select("t.place", coded.alias("suffix"), "left", F.col("image").alias("id"), F.length(coded).alias("least"), "t.role")
+    return thumbs.withColumn("role", F.lit("own")).unionByName(texts)
 
-def overlaps(facts: DataFrame) -> DataFrame:
-    """(train, other, reason): pairs of images, each once per reason."""
-    train, rest = facts.filter("l"), facts.filter("r")
 
-    def equal(column: str) -> DataFrame:
-        a = train.select(F.col(column).alias("d"), F.col("image").alias("train")).filter("d IS NOT NULL")
-        b = rest.select(F.col(column).alias("d"), F.col("image").alias("other")).filter("d IS NOT NULL")
-        return a.join(b, "d").select("train", "other", F.lit(column).alias("reason"))
+def links(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((reason, a, b), (reason, value, left, id)): values of the two sides that overlap, and the images that have them.
 
-    near = near_digests(_digests(facts), BITS)
-    a = train.select(F.col("thumb").alias("a"), F.col("image").alias("train")).filter("a IS NOT NULL")
-    b = rest.select(F.col("thumb").alias("b"), F.col("image").alias("other")).filter("b IS NOT NULL")
-    alike = near.join(a, "a").join(b, "b").select("train", "other", F.lit("thumb").alias("reason"))
-    listed = facts.select("image", "l", "r", F.explode("others").alias("named")).select("image", "l", "r", tidy_upper("named").alias("named")).filter("named IS NOT NULL").distinct()
-    sides = facts.select(F.col("image").alias("named"), F.col("l").alias("nl"), F.col("r").alias("nr")).distinct()
-    met = listed.join(sides, "named").filter("(l AND nr) OR (r AND nl)")
-    lists = met.select(F.when(F.col("l"), F.col("image")).otherwise(F.col("named")).alias("train"), F.when(F.col("l"), F.col("named")).otherwise(F.col("image")).alias("other"), F.lit("list").alias("reason"))
-    pairs = equal("sha").unionByName(equal("thumb")).unionByName(alike).unionByName(lists)
-    return pairs.filter("train <> other").distinct()
+    Both come from the suffixes that have a long enough prefix in common with the other
+    side. Copies are one value, so a value of many images is no more than one link.
+    """
+    spans = cut_lineage(shared_spans(image_suffixes(facts)))
+    near = near_digests(spans.filter(F.col("place") <= BITS), BITS)
+    place = F.col("place")
+    reason = F.when(place == SHA, "sha").when(place == NAMED, "list").otherwise("thumb")
+    text = F.when(place <= BITS, digest_of(place, F.col("suffix"), BITS)).when(place == NAMED, F.concat_ws(":", "role", F.hex("suffix"))).otherwise(F.concat(F.lit("x"), F.hex("suffix")))
+    members = spans.select(reason.alias("reason"), text.alias("value"), "left", "id").distinct()
+    sides = members.groupBy("reason", "value").agg(F.bool_or("left").alias("l"), F.bool_or(~F.col("left")).alias("r"))
+    equal = sides.filter("l AND r AND reason <> 'list'").select("reason", F.col("value").alias("a"), F.col("value").alias("b"))
+    own = sides.filter("reason = 'list' AND value LIKE 'own:%'").select(F.expr("substring(value, 5)").alias("k"), F.col("l").alias("ol"), F.col("r").alias("orr"))
+    lists = sides.filter("reason = 'list' AND value LIKE 'list:%'").select(F.expr("substring(value, 6)").alias("k"), F.col("l").alias("ll"), F.col("r").alias("lr"))
+    met, named = own.join(lists, "k"), F.concat(F.lit("own:"), "k")
+    ways = F.array(F.when(F.col("ol") & F.col("lr"), F.struct(named.alias("a"), F.concat(F.lit("list:"), "k").alias("b"))), F.when(F.col("orr") & F.col("ll"), F.struct(F.concat(F.lit("list:"), "k").alias("a"), named.alias("b"))))
+    listed = met.select(F.explode(F.array_compact(ways)).alias("w")).select(F.lit("list").alias("reason"), "w.a", "w.b")
+    return equal.unionByName(listed).unionByName(near.select(F.lit("thumb").alias("reason"), "a", "b")), members
 
 
 _SQL = r"""
@@ -81,24 +98,51 @@ SELECT DISTINCT least(i, j) AS image_a, greatest(i, j) AS image_b FROM pairs WHE
 @query("p6_found", sql=_SQL)
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of images of which one is in train and the other in val or test."""
-    pairs = overlaps(image_facts(spark, sf_dir))
+    found, members = links(image_facts(spark, sf_dir))
+    a = members.filter("left").select("reason", F.col("value").alias("a"), F.col("id").alias("train"))
+    b = members.filter(~F.col("left")).select("reason", F.col("value").alias("b"), F.col("id").alias("other"))
+    pairs = found.join(a, ["reason", "a"]).join(b, ["reason", "b"]).filter("train <> other")
     return pairs.select(F.least("train", "other").alias("image_a"), F.greatest("train", "other").alias("image_b")).distinct()
 
 
-@query("p6_report")
+_FACTS = r"""
+WITH sp AS (SELECT upper(trim(patient_id)) AS p, lower(trim(split)) AS split FROM patient_level_split WHERE trim(patient_id) <> '' QUALIFY row_number() OVER (PARTITION BY upper(trim(patient_id)) ORDER BY assigned_at DESC, row_no DESC) = 1),
+f AS (SELECT upper(trim(image_id)) AS i, split = 'train' AS l, split, lower(trim(source_id)) AS src, nullif(regexp_replace(lower(trim(source_sha256)), '^0+$', ''), '') AS sha, nullif(regexp_replace(lower(trim(thumb_hash)), '^0+$', ''), '') AS th, duplicate_source_image_ids AS o
+  FROM processing JOIN sp ON sp.p = upper(trim(patient_id)) WHERE trim(image_id) <> '' AND split IN ('train', 'val', 'test'))"""
+
+
+@query("p6_report", sql=_FACTS + r""",
+s AS (SELECT DISTINCT i, l, sha FROM f WHERE sha IS NOT NULL),
+h AS (SELECT DISTINCT i, l, CAST('0x' || th[1:16] AS UBIGINT) AS a, CAST('0x' || th[17:32] AS UBIGINT) AS b FROM f WHERE th IS NOT NULL),
+named AS (SELECT DISTINCT i, l, upper(trim(unnest(o))) AS n FROM f), own AS (SELECT DISTINCT i, l FROM f),
+lk AS (SELECT 'sha' AS reason, y.i FROM s x JOIN s y ON x.sha = y.sha AND x.l AND NOT y.l
+UNION ALL SELECT 'thumb', y.i FROM h x JOIN h y ON x.l AND NOT y.l WHERE bit_count(xor(x.a, y.a)) + bit_count(xor(x.b, y.b)) <= 3
+UNION ALL SELECT 'list', CASE WHEN x.l THEN y.i ELSE x.i END FROM named x JOIN own y ON x.n = y.i WHERE x.l <> y.l)
+SELECT split, source_id, reason, count(DISTINCT lk.i) AS n_images, count(*) AS n_links FROM lk JOIN (SELECT DISTINCT i, split, nullif(src, '') AS source_id FROM f WHERE NOT l) o ON o.i = lk.i GROUP BY ALL""")
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images of val and test that overlap with training, per split, source and reason."""
-    sources = read(spark, sf_dir, "processing").select(tidy_upper("image_id").alias("other"), tidy_upper("patient_id").alias("patient"), tidy_lower("source_id").alias("source_id")).distinct()
-    splits = patient_splits(read(spark, sf_dir, "patient_level_split")).filter("split IN ('val', 'test')")
-    of = sources.join(splits, "patient").select("other", "split", "source_id").distinct()
-    found = overlaps(image_facts(spark, sf_dir)).join(of, "other")
-    return found.groupBy("split", "source_id", "reason").agg(F.countDistinct("other").alias("n_images"), F.countDistinct("train", "other").alias("n_pairs"))
-
+    """Images of val and test that overlap with training, and their links to it, per split, source and reason.
 
-@query("p6_coverage")
+    A link is an equal or near value, or an entry in a list, that a train image and
+    another have; they are counted by class sizes and never written out.
+    """
+    facts = image_facts(spark, sf_dir)
+    found, members = links(facts)
+    sizes = members.filter("left").groupBy("reason", F.col("value").alias("a")).agg(F.count("*").alias("n"))
+    weights = found.join(sizes, ["reason", "a"]).groupBy("reason", "b").agg(F.sum("n").alias("n"))
+    each = members.filter(~F.col("left")).select("reason", F.col("value").alias("b"), "id").join(weights, ["reason", "b"]).groupBy("reason", "id").agg(F.sum("n").alias("n"))
+    of = facts.filter(~F.col("left")).select(F.col("image").alias("id"), "split", F.col("source").alias("source_id")).distinct()
+    return each.join(of, "id").groupBy("split", "source_id", "reason").agg(F.count("*").alias("n_images"), F.sum("n").cast("long").alias("n_links"))
+
+
+@query("p6_coverage", sql=_FACTS + r""",
+d AS (SELECT DISTINCT i, l, th FROM f WHERE regexp_full_match(th, '[0-9a-f]{32}')),
+s AS (SELECT DISTINCT l, th, p, substr(th, CAST(p AS INT), 8) AS x FROM d, range(1, 26) t(p)),
+b AS (SELECT p, x FROM s GROUP BY p, x HAVING count(DISTINCT l) = 2),
+c AS (SELECT s.l, s.th, count(DISTINCT s.p + k) AS covered FROM s JOIN b USING (p, x), range(0, 8) u(k) GROUP BY s.l, s.th)
+SELECT d.i AS image, CASE WHEN d.l THEN 'train' ELSE 'other' END AS side, c.covered FROM d JOIN c ON c.l = d.l AND c.th = d.th""")
 def p6_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of its 32 thumbnail digits each image shares, in spans of eight or more, with images across."""
-    facts = image_facts(spark, sf_dir)
-    covered = coverage(_digests(facts), 8, aligned=True)
-    images = facts.select("image", F.when(F.col("l"), "l").otherwise("r").alias("side"), F.col("thumb").alias("text")).distinct()
-    return images.join(covered, ["text", "side"]).select("image", "side", "covered")
+    images = image_facts(spark, sf_dir).filter(F.col("thumb").rlike(_HEX)).select("image", "left", "thumb").distinct()
+    covered = coverage(images.select(F.col("thumb").alias("id"), "left", F.col("thumb").alias("text")), 8, aligned=True, ascii_only=True)
+    met = images.join(covered, (F.col("thumb") == F.col("id")) & (images["left"] == covered["left"]))
+    return met.select("image", F.when(images["left"], "train").otherwise("other").alias("side"), "covered")

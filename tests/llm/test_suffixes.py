@@ -1,10 +1,13 @@
+import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import overlaps_queries
-from tessella.llm.suffixes import common_prefix, coverage, differing_bits, near_digests
+from tessella.llm import suffixes
+from tessella.llm.suffixes import coverage, differing_bits, digest_suffixes, near_digests, nearest_shared, shared_spans
 
 
 def flip(digest, bits, draw):
@@ -26,6 +29,14 @@ def digests(seed, n, shared=""):
     return [(t, left, right or not left) for t, (left, right) in out.items()]
 
 
+def records(spark, rows):
+    return spark.createDataFrame([(t, side, t) for t, *sides in rows for side, there in zip((True, False), sides, strict=True) if there], "id string, left boolean, text string")
+
+
+def near_spans(spark, rows, part_rows=100):
+    return shared_spans(digest_suffixes(records(spark, rows), 3), part_rows)
+
+
 def brute(rows, bits=3):
     a, b = [t for t, x, _ in rows if x], [t for t, _, x in rows if x]
     return {(x, y) for x in a for y in b if x != y and (int(x, 16) ^ int(y, 16)).bit_count() <= bits}
@@ -34,7 +45,7 @@ def brute(rows, bits=3):
 @pytest.mark.parametrize("shared,most", [("", 1_000_000), ("", 2), ("0123456789abcdef", 40), ("00000000000000000000000000", 5)])
 def test_all_near_pairs_are_found(spark, shared, most):
     rows = digests(len(shared) + most % 7, 120, shared)
-    got = {(r.a, r.b) for r in near_digests(spark.createDataFrame(rows, "text string, l boolean, r boolean"), most=most).collect()}
+    got = {(r.a, r.b) for r in near_digests(near_spans(spark, rows), most=most).collect()}
     assert got == brute(rows) and got
 
 
@@ -43,10 +54,21 @@ def test_differing_bits(spark):
     assert row.n == 127
 
 
-def test_common_prefix(spark):
-    rows = [("abc", "abd", 2), ("", "x", 0), ("same", "same", 4), ("ăâ" * 50, "ăâ" * 49 + "ăb", 99), ("a", None, 0)]
-    got = spark.createDataFrame(rows, "a string, b string, n int").select(common_prefix(F.col("a"), F.col("b")).alias("p"), "n").collect()
-    assert all((r.p or 0) == r.n for r in got)
+def test_nearest_shared_against_all_pairs():
+    draw = random.Random(3)
+    rows = sorted((draw.randrange(2), bytes(draw.choices(b"ab", k=draw.randint(1, 6))), draw.random() < 0.5) for _ in range(300))
+    width = max(len(t) for _, t, _ in rows)
+    text = np.array([list(t.ljust(width, b"\0")) for _, t, _ in rows], dtype=np.uint8)
+    got = nearest_shared(np.array([p for p, _, _ in rows]), text, np.array([len(t) for _, t, _ in rows]), np.array([x for _, _, x in rows]))
+    for (p, t, x), n in zip(rows, got, strict=True):
+        assert n == max([len(os.path.commonprefix([t, u])) for q, u, y in rows if q == p and y != x], default=0)
+
+
+def test_one_suffix_of_all_records_is_spread_over_partitions(spark):
+    rows = spark.range(5000).select(F.lit(0).alias("place"), F.lit(b"same").alias("suffix"), (F.col("id") % 1000 != 7).alias("left"), "id", F.lit(4).alias("least"))
+    array = suffixes.suffix_array(rows, 1000)
+    assert array.groupBy("part").count().agg(F.max("count")).first()[0] < 2500
+    assert shared_spans(rows, 1000).count() == 5000
 
 
 def plain_coverage(texts, span):
@@ -70,13 +92,23 @@ def test_coverage_by_nearest_suffixes(spark):
     words = ["mô đệm", "tuyến", "benign", "x", "lát cắt 12", "hyperplasia"]
     texts = list({" ".join(draw.choices(words, k=draw.randint(1, 7))): (draw.random() < 0.6, draw.random() < 0.5) for _ in range(60)}.items())
     rows = [(t, a, b) for t, (a, b) in texts]
-    got = {(r.text, r.side): r.covered for r in coverage(spark.createDataFrame(rows, "text string, l boolean, r boolean"), 8).collect()}
+    got = {(r.id, "l" if r.left else "r"): r.covered for r in coverage(records(spark, rows), 8, part_rows=500).collect()}
     assert got == plain_coverage(rows, 8) and got
 
 
 def test_short_null_and_absent_texts(spark):
-    assert coverage(spark.createDataFrame([(None, True, False), ("", True, True), ("abc", True, True)], "text string, l boolean, r boolean"), 8).count() == 0
-    assert near_digests(spark.createDataFrame([], "text string, l boolean, r boolean")).count() == 0
+    odd = [(1, True, None), (2, True, ""), (2, False, ""), (3, True, "abc"), (4, False, "abc")]
+    assert coverage(spark.createDataFrame(odd, "id long, left boolean, text string"), 8).count() == 0
+    assert near_digests(near_spans(spark, [])).count() == 0
+    assert coverage(spark.createDataFrame([], "id long, left boolean, text string"), 8).count() == 0
+
+
+def test_very_long_texts_are_merged_in_blocks(spark):
+    draw = random.Random(9)
+    middle = "".join(draw.choices("abcdefgh ", k=9_000))
+    a, b = "".join(draw.choices("xyz", k=700)) + middle + "q" * 5, "w" * 11 + middle + "".join(draw.choices("ijk", k=300))
+    got = {r.id: r.covered for r in coverage(spark.createDataFrame([(1, True, a), (2, False, b)], "id long, left boolean, text string"), 20, part_rows=4000).collect()}
+    assert got == {1: 9_000, 2: 9_000}
 
 
 def plain_aligned_coverage(texts, span):
@@ -101,8 +133,8 @@ def test_p6_coverage_counts_spans_from_any_digit(spark, monkeypatch):
         t, n = f"{draw.getrandbits(128):032x}", draw.randint(6, 20)
         at = draw.randint(0, 32 - n)
         rows += [(t, True, False), (f"{draw.getrandbits(128):032x}"[:at] + t[at : at + n] + f"{draw.getrandbits(128):032x}"[at + n :], False, True)]
-    facts = spark.createDataFrame([(f"I{i}", left, right, t) for i, (t, left, right) in enumerate(rows)], "image string, l boolean, r boolean, thumb string")
+    facts = spark.createDataFrame([(f"I{i}", left, t) for i, (t, left, _) in enumerate(rows)], "image string, left boolean, thumb string")
     monkeypatch.setattr(overlaps_queries, "image_facts", lambda *_: facts)
-    got = {(rows[int(r.image[1:])][0], r.side): r.covered for r in overlaps_queries.p6_coverage(spark, "").collect()}
+    got = {(rows[int(r.image[1:])][0], {"train": "l", "other": "r"}[r.side]): r.covered for r in overlaps_queries.p6_coverage(spark, "").collect()}
     assert got == plain_aligned_coverage(rows, 8)
     assert got[base, "l"] == 31 and got[other, "l"] == 11
