@@ -4,7 +4,7 @@ For every (field, group, percentile) an interval of values is kept that surely h
 the wanted rank. A pass counts the rows below the midpoints of all intervals at once
 and keeps the part with the rank, drawn in to the values that occur there. The counts
 are sums, so those of partitions or days can be added. It ends when each interval is
-one value, that is, with error 0.
+one value, that is, with error 0. `combined` adds counts of days at shared midpoints.
 
 Defined cases: null values never count, NaN and negative ones are dropped by `readings`;
 a null group is a group of its own; a group without values has no row. Percentiles
@@ -13,8 +13,6 @@ between two ranks are interpolated linearly, as `quantile_cont` does.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -53,12 +51,14 @@ def counts_below(long: DataFrame, intervals: DataFrame, fanout: int, n_intervals
     return rows.groupBy(*keys, cell.alias("cell")).agg(F.count("*").alias("n"), F.min("r.value").alias("vmin"), F.max("r.value").alias("vmax"))
 
 
-def exact_percentiles(long: DataFrame, probs: list[float], fanout: int = 256, max_passes: int = 400) -> DataFrame:
+def exact_percentiles(long: DataFrame, probs: list[float], fanout: int = 256, max_passes: int = 400, by: tuple[str, ...] = ()) -> DataFrame:
     """(field, grp, q, n_values, value, max_error) over the rows of `readings`.
 
     One pass narrows each interval to a 255th or to the values in it, whichever is
     less; most columns take three or four passes, each a scan with a partial aggregate
-    and no shuffle of rows. Midpoints of one pass are shared by all percentiles.
+    and no shuffle of rows. Midpoints of one pass are shared by all percentiles. With
+    `by`, such as a day, each pass first makes the counts of every day between the
+    shared midpoints, and these are added up: no row is looked at across days.
     """
     bounds = long.groupBy("field", "grp").agg(F.count("*").alias("n_values"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     ask = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("q")
@@ -71,7 +71,9 @@ def exact_percentiles(long: DataFrame, probs: list[float], fanout: int = 256, ma
         n = intervals.count()
         if n == 0:
             break
-        cells = counts_below(long, intervals, fanout, n)
+        cells = counts_below(long, intervals, fanout, n, by)
+        if by:
+            cells = combined(cells)
         upto = W.partitionBy("field", "grp", "lo", "hi").orderBy("cell").rowsBetween(W.unboundedPreceding, 0)
         cells = cells.withColumn("upto", F.sum("n").over(upto)).alias("c")
         rank = F.col("s.rank") - F.col("s.below")
@@ -86,31 +88,21 @@ def exact_percentiles(long: DataFrame, probs: list[float], fanout: int = 256, ma
     return out.select("field", "grp", "q", "n_values", F.when(part == 0, F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * part).alias("value"), F.lit(0.0).alias("max_error"))
 
 
-def day_summaries(long: DataFrame, day: str, relative_error: float = 0.01) -> DataFrame:
-    """(day, field, grp, cell, n, vmin, vmax): counts between midpoints fixed beforehand.
-
-    The midpoints are the powers of 1 + relative_error, the same for all data, so that
-    summaries made anywhere at any time combine. Their number follows the range of the
-    values (some 2,300 a factor of 10^10), not their count; zero has a cell of its own.
-    """
-    cell = F.when(F.col("value") == 0, F.lit(-(1 << 30))).when(F.col("value") == float("inf"), F.lit(1 << 30)).otherwise(F.ceil(F.log("value") / F.lit(math.log1p(relative_error))).cast("int"))
-    return long.groupBy(F.col(day).alias("day"), "field", "grp", cell.alias("cell")).agg(F.count("*").alias("n"), F.min("value").alias("vmin"), F.max("value").alias("vmax"))
-
-
-def combine_summaries(summaries: DataFrame) -> DataFrame:
-    """(field, grp, cell, n, vmin, vmax): summaries of several days as one."""
-    return summaries.groupBy("field", "grp", "cell").agg(F.sum("n").alias("n"), F.min("vmin").alias("vmin"), F.max("vmax").alias("vmax"))
+def combined(cells: DataFrame) -> DataFrame:
+    """Counts between the same midpoints, of several days or partitions, as one."""
+    return cells.groupBy("field", "grp", "lo", "hi", "cell").agg(F.sum("n").alias("n"), F.min("vmin").alias("vmin"), F.max("vmax").alias("vmax"))
 
 
-def summary_percentiles(summaries: DataFrame, probs: list[float]) -> DataFrame:
-    """(field, grp, q, n_values, value, max_error) from summaries alone.
+def counts_at(long: DataFrame, percentiles: DataFrame, by: str) -> DataFrame:
+    """(by, field, grp, q, value, n_below, n_upto, n_values): how a day's values lie to the percentiles of all.
 
-    The value is the middle of the range of the cell with the wanted rank (the lower one
-    of two); max_error is half that range, at most relative_error / 2 of the value.
+    Counts of several days add up: the value is the percentile of any set of days for
+    whose sums n_below <= rank < n_upto holds. One row a day, field, group and
+    percentile, however many values there are. `percentiles` is broadcast up to
+    BROADCAST_INTERVALS rows.
     """
-    cells = combine_summaries(summaries)
-    upto = W.partitionBy("field", "grp").orderBy("cell").rowsBetween(W.unboundedPreceding, 0)
-    cells = cells.withColumn("upto", F.sum("n").over(upto)).withColumn("n_values", F.sum("n").over(W.partitionBy("field", "grp")))
-    asked = cells.withColumn("q", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).withColumn("rank", F.floor(F.col("q") * (F.col("n_values") - 1)))
-    hit = asked.filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
-    return hit.select("field", "grp", "q", "n_values", ((F.col("vmin") + F.col("vmax")) / 2).alias("value"), ((F.col("vmax") - F.col("vmin")) / 2).alias("max_error"))
+    points = percentiles.select("field", "grp", "q", "value")
+    points = F.broadcast(points) if points.count() <= BROADCAST_INTERVALS else points
+    rows = long.alias("r").join(points.alias("p"), _same("r", "p"))
+    below, upto = F.count_if(F.col("r.value") < F.col("p.value")), F.count_if(F.col("r.value") <= F.col("p.value"))
+    return rows.groupBy(F.col(f"r.{by}"), F.col("p.field"), F.col("p.grp"), F.col("p.q"), F.col("p.value")).agg(below.alias("n_below"), upto.alias("n_upto"), F.count("*").alias("n_values"))

@@ -6,9 +6,10 @@ once; no edges give no rows. Nodes may be of any orderable type.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.identifiers import unit_interval
 from tessella.session import cut_lineage
 
 
@@ -57,19 +58,52 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
 
 
-def split_of(component: Column, shares: dict[str, float], seed: int = 0) -> Column:
-    """The split whose range of [0, 1) the component's hash falls into.
+#: Components above this share of the records of any kind are placed one by one, so there are at most kinds / LARGE.
+LARGE = 1e-4
 
-    Depends on the component and the seed only, so a new run gives the same answer and
-    records that arrive later for the same component join it.
+
+def placed(sizes: list[tuple], totals: list[int], shares: dict[str, float]) -> tuple[dict, dict[str, float]]:
+    """Splits of the given components, and the share of what is left that each split lacks.
+
+    `sizes` has (component, records of each kind). The largest go first, each to the split
+    that then lacks most of its proportion of the kinds that the component has.
+    """
+    kinds = [i for i, t in enumerate(totals) if t]
+    whole = sum(shares.values())
+    lacks = {name: [share / whole] * len(kinds) for name, share in shares.items()}
+    weights = {row[0]: [row[1 + i] / totals[i] for i in kinds] for row in sizes}
+    out = {}
+    for component, weight in sorted(weights.items(), key=lambda x: (-sum(x[1]), x[0])):
+        split = max(lacks, key=lambda name: sum(w * lack for w, lack in zip(weight, lacks[name], strict=True)))
+        out[component] = split
+        lacks[split] = [lack - w for w, lack in zip(weight, lacks[split], strict=True)]
+    rest = {name: max(0.0, sum(lack)) for name, lack in lacks.items()}
+    left = sum(rest.values())
+    return out, {name: lack / left if left > 1e-9 else shares[name] / whole for name, lack in rest.items()}
+
+
+def proportional_splits(records: DataFrame, component: str, kind: str, kinds: list, shares: dict[str, float], seed: int = 0, large: float = LARGE) -> DataFrame:
+    """`records` with `split`, the same for all records of a component.
+
+    The few components that hold more than `large` of the records of a kind are placed
+    by size; all others by the hash of their id, in ranges set so that the proportions
+    come out. What remains of the error is the size of the largest component, where a
+    single one exceeds its split, or some sqrt(large) / 2. The same records always give
+    the same splits; when records are added, components may move.
     """
-    total, bound = sum(shares.values()), 0.0
-    point = F.pmod(F.xxhash64(component, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    names, out = list(shares), None
+    spark = records.sparkSession
+    counts = [F.count_if(F.col(kind) == k).alias(f"n{i}") for i, k in enumerate(kinds)]
+    totals = list(records.agg(*counts).first())
+    over = " OR ".join(f"n{i} > {large * t!r}" for i, t in enumerate(totals))
+    sizes = records.groupBy(component).agg(*counts).filter(over) if any(totals) else None
+    known, ranges = placed([tuple(r) for r in sizes.collect()] if sizes is not None else [], totals, shares)
+    table = F.broadcast(spark.createDataFrame(list(known.items()), f"`{component}` string, known string"))
+    point, bound, names, hashed = unit_interval(F.col(component), seed=seed), 0.0, list(ranges), None
     for name in names[:-1]:
-        bound += shares[name] / total
-        out = F.when(point < bound, name) if out is None else out.when(point < bound, name)
-    return F.lit(names[0]) if out is None else out.otherwise(names[-1])
+        bound += ranges[name]
+        hashed = F.when(point < bound, name) if hashed is None else hashed.when(point < bound, name)
+    hashed = F.lit(names[0]) if hashed is None else hashed.otherwise(names[-1])
+    return records.join(table, component, "left").withColumn("split", F.coalesce("known", hashed)).drop("known")
 
 
 def group_pairs(members: DataFrame, node: str, component: str) -> DataFrame:

@@ -1,19 +1,25 @@
 """Samples with given category proportions, by controlled rounding and exact quotas.
 
-The wanted table of quotas (share times sample size, by row and column category) is made
-integer by a maximum flow, so that every cell, every row sum, every column sum and the
-total is one of its two neighbouring integers. Then each cell gets exactly its quota:
-the records with the smallest random keys.
-
-Defined cases: a cell with fewer records than its quota gives all it has, and the report
-says so; a cell of the targets that no record has counts as 0 records; records outside
-the targets are never drawn. Equal random keys are told apart by the id. No records
-give an empty sample and a report in which every cell with a minimum is short.
+The wanted table of quotas (share times sample size, by row and column category) is
+first made feasible: no cell below its minimum or above the records there are. What a
+cell lacks goes to the other cells of its row in proportion to what they want, and only
+what the row can't take to other rows. A maximum flow then makes this table integer,
+with its cells, row sums, column sums and total all next to what they were; since cells
+are bounded by whole numbers, minimum and supply hold for the integers too. So the
+quotas always sum to the sample size if there are as many records in the cells, and if
+the minimums alone don't exceed it. Then each cell gives exactly its quota: the records
+with the smallest random keys.
+
+Defined cases: a cell with fewer records than it wants or needs gives all it has, and
+the report says how many it is short of; a cell of the targets that no record has
+counts as 0 records; records outside the targets are never drawn. Equal random keys are
+told apart by the id. No records give an empty sample and a report in which every cell
+with a minimum is short.
 """
 
 from __future__ import annotations
 
-from collections import deque
+from collections import defaultdict, deque
 from fractions import Fraction
 from math import ceil, floor
 
@@ -28,36 +34,48 @@ MAX_CELLS = 100_000
 
 
 def max_flow(arcs: list[list[int]], source: int, sink: int, nodes: int) -> list[int]:
-    """Flow on each (from, to, capacity) arc of a maximum flow, by shortest augmenting paths."""
+    """Flow on each (from, to, capacity) arc of a maximum flow, by blocking flows over levels."""
     heads: list[list[int]] = [[] for _ in range(nodes)]
     to, room = [], []
     for a, b, capacity in arcs:
         heads[a].append(len(to))
-        to.append(b)
-        room.append(capacity)
-        heads[b].append(len(to))
-        to.append(a)
-        room.append(0)
+        heads[b].append(len(to) + 1)
+        to += [b, a]
+        room += [capacity, 0]
     while True:
-        via = [-1] * nodes
-        via[source] = -2
+        level = [-1] * nodes
+        level[source] = 0
         queue = deque([source])
-        while queue and via[sink] == -1:
+        while queue:
             node = queue.popleft()
             for edge in heads[node]:
-                if room[edge] and via[to[edge]] == -1:
-                    via[to[edge]] = edge
+                if room[edge] and level[to[edge]] < 0:
+                    level[to[edge]] = level[node] + 1
                     queue.append(to[edge])
-        if via[sink] == -1:
+        if level[sink] < 0:
             return [room[2 * k + 1] for k in range(len(arcs))]
-        path, node = [], sink
-        while node != source:
-            path.append(via[node])
-            node = to[via[node] ^ 1]
-        step = min(room[edge] for edge in path)
-        for edge in path:
-            room[edge] -= step
-            room[edge ^ 1] += step
+        turn, path, node = [0] * nodes, [], source
+        while True:
+            if node == sink:
+                step = min(room[edge] for edge in path)
+                for edge in path:
+                    room[edge] -= step
+                    room[edge ^ 1] += step
+                path, node = [], source
+                continue
+            while turn[node] < len(heads[node]):
+                edge = heads[node][turn[node]]
+                if room[edge] and level[to[edge]] == level[node] + 1:
+                    break
+                turn[node] += 1
+            else:
+                if not path:
+                    break
+                node = to[path.pop() ^ 1]
+                turn[node] += 1
+                continue
+            path.append(edge)
+            node = to[edge]
 
 
 def controlled_rounding(table: dict[tuple, Fraction]) -> dict[tuple, int]:
@@ -66,62 +84,97 @@ def controlled_rounding(table: dict[tuple, Fraction]) -> dict[tuple, int]:
     A flow with lower bounds: source to rows, rows to columns by the cells, columns to
     sink, and back. The table itself is a fractional flow, so an integer one exists.
     """
-    rows = sorted({r for r, _ in table}, key=repr)
-    columns = sorted({c for _, c in table}, key=repr)
-    row_at = {r: 2 + i for i, r in enumerate(rows)}
-    column_at = {c: 2 + len(rows) + i for i, c in enumerate(columns)}
-    source, sink = 0, 1
-    bounded: list[tuple[int, int, int, int]] = []
+    row_sums, column_sums = defaultdict(Fraction), defaultdict(Fraction)
     for (r, c), value in table.items():
-        bounded.append((row_at[r], column_at[c], floor(value), ceil(value)))
-    for r in rows:
-        total = sum((v for (x, _), v in table.items() if x == r), Fraction(0))
-        bounded.append((source, row_at[r], floor(total), ceil(total)))
-    for c in columns:
-        total = sum((v for (_, x), v in table.items() if x == c), Fraction(0))
-        bounded.append((column_at[c], sink, floor(total), ceil(total)))
-    whole = sum(table.values(), Fraction(0))
-    bounded.append((sink, source, floor(whole), ceil(whole)))
-    nodes = 4 + len(rows) + len(columns)
+        row_sums[r] += value
+        column_sums[c] += value
+    row_at = {r: 2 + i for i, r in enumerate(row_sums)}
+    column_at = {c: 2 + len(row_at) + i for i, c in enumerate(column_sums)}
+    source, sink = 0, 1
+    bounded = [(row_at[r], column_at[c], value) for (r, c), value in table.items()]
+    bounded += [(source, row_at[r], value) for r, value in row_sums.items()]
+    bounded += [(column_at[c], sink, value) for c, value in column_sums.items()]
+    bounded.append((sink, source, sum(table.values(), Fraction(0))))
+    nodes = 4 + len(row_at) + len(column_at)
     supply, demand = nodes - 2, nodes - 1
     excess = [0] * nodes
     arcs = []
-    for a, b, low, high in bounded:
-        arcs.append([a, b, high - low])
-        excess[b] += low
-        excess[a] -= low
-    for node in range(nodes - 2):
-        if excess[node] > 0:
-            arcs.append([supply, node, excess[node]])
-        elif excess[node] < 0:
-            arcs.append([node, demand, -excess[node]])
+    for a, b, value in bounded:
+        arcs.append([a, b, ceil(value) - floor(value)])
+        excess[b] += floor(value)
+        excess[a] -= floor(value)
+    for node, over in enumerate(excess[: nodes - 2]):
+        if over:
+            arcs.append([supply, node, over] if over > 0 else [node, demand, -over])
     flow = max_flow(arcs, supply, demand, nodes)
-    return {cell: bounded[k][2] + flow[k] for k, cell in enumerate(table)}
+    return {cell: floor(value) + flow[k] for k, (cell, value) in enumerate(table.items())}
+
+
+def _poured(amount: Fraction, room: dict, weight: dict) -> dict:
+    """Shares of `amount` in proportion to the weights, none above its room; what has no weight comes last."""
+    out: dict = dict.fromkeys(room, Fraction(0))
+    for cells in ([c for c in room if weight[c] > 0], [c for c in room if weight[c] <= 0]):
+        weights = {c: weight[c] if weight[c] > 0 else Fraction(1) for c in cells}
+        rest = sum(weights.values(), Fraction(0))
+        for c in sorted(cells, key=lambda c: room[c] / weights[c]):
+            out[c] = min(Fraction(room[c]), amount * weights[c] / rest)
+            amount -= out[c]
+            rest -= weights[c]
+    return out
+
+
+def feasible(wanted: dict[tuple, Fraction], least: dict[tuple, int], most: dict[tuple, int], size: int) -> dict[tuple, Fraction]:
+    """The table next to `wanted` with every cell from `least` to `most` and the sum `size`, as far as there can be one.
+
+    Row sums stay as wanted wherever the cells of the row allow it.
+    """
+    low = {c: min(least[c], most[c]) for c in wanted}
+    table = {c: min(max(v, low[c]), Fraction(most[c])) for c, v in wanted.items()}
+    rows = defaultdict(list)
+    for cell in wanted:
+        rows[cell[0]].append(cell)
+
+    def move(cells: list, gap: Fraction) -> None:
+        room = {c: most[c] - table[c] if gap > 0 else table[c] - low[c] for c in cells}
+        for c, part in _poured(min(abs(gap), sum(room.values(), Fraction(0))), room, wanted).items():
+            table[c] += part if gap > 0 else -part
+
+    for cells in rows.values():
+        move(cells, sum((wanted[c] - table[c] for c in cells), Fraction(0)))
+    move(list(wanted), size - sum(table.values(), Fraction(0)))
+    return table
 
 
 def quota_report(usable: DataFrame, targets: DataFrame, rows: str, columns: str, share: str, least: str, fraction: tuple[int, int]) -> DataFrame:
-    """(row, column, target_share, min_rows, available, sample_size, wanted, quota, drawn, met).
+    """(row, column, target_share, min_rows, available, sample_size, wanted, quota, short, met).
 
     The sample size is fraction[0] * usable // fraction[1]. `wanted` is share * size, exact;
-    `quota` its controlled rounding, raised to the minimum; `drawn` what there is of it.
-    `met` is false where fewer records exist than the minimum or than `wanted`. Targets
-    are looked up on the driver; they must have at most MAX_CELLS rows.
+    `quota` what is drawn, by `feasible` and its controlled rounding. A cell needs
+    `wanted`, and its minimum; `short` is by how many records its supply, the upper bound
+    of its arc, falls below that, `met` whether it doesn't. Targets are looked up on the
+    driver; they must have at most MAX_CELLS rows.
     """
     spark = usable.sparkSession
-    asked = targets.select(F.col(rows).alias("r"), F.col(columns).alias("c"), F.col(share).cast("decimal(18,9)").alias("share"), F.col(least).cast("long").alias("least")).limit(MAX_CELLS + 1).collect()
-    if len(asked) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} target cells")
-    counted = cut_lineage(usable.groupBy(F.col(rows).alias("r"), F.col(columns).alias("c")).agg(F.count("*").alias("n")))
+    counted = usable.groupBy(F.col(rows).alias("r"), F.col(columns).alias("c")).agg(F.count("*").alias("n"))
+    counted = cut_lineage(counted)
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     size = fraction[0] * total // fraction[1]
+    goals = targets.select(F.col(rows).alias("r"), F.col(columns).alias("c"), F.col(share).cast("decimal(18,9)").alias("share"), F.col(least).cast("long").alias("least")).limit(MAX_CELLS + 1)
+    met = goals.alias("t").join(counted.alias("n"), F.col("t.r").eqNullSafe(F.col("n.r")) & F.col("t.c").eqNullSafe(F.col("n.c")), "left")
+    asked = met.select("t.r", "t.c", "share", "least", F.coalesce("n", F.lit(0)).alias("n")).collect()
+    if len(asked) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} target cells")
     wanted = {(a.r, a.c): Fraction(a.share or 0) * size for a in asked}
-    quotas = controlled_rounding(wanted) if wanted else {}
-    out = [(a.r, a.c, float(a.share or 0), int(a.least or 0), size, float(wanted[a.r, a.c]), ceil(wanted[a.r, a.c]), max(quotas[a.r, a.c], int(a.least or 0))) for a in asked]
+    minimum, supply = {(a.r, a.c): int(a.least or 0) for a in asked}, {(a.r, a.c): a.n for a in asked}
+    quotas = controlled_rounding(feasible(wanted, minimum, supply, size)) if wanted else {}
+    out = []
+    for a in asked:
+        cell = (a.r, a.c)
+        need = max(minimum[cell], ceil(wanted[cell]))
+        short = need - min(need, supply[cell])
+        out.append((a.r, a.c, float(a.share or 0), minimum[cell], a.n, size, float(wanted[cell]), quotas[cell], short, short == 0))
     kinds = {f.name: f.dataType.simpleString() for f in targets.schema}
-    table = spark.createDataFrame(out, f"r {kinds[rows]}, c {kinds[columns]}, target_share double, min_rows int, sample_size long, wanted double, whole long, quota long")
-    joined = table.alias("t").join(counted.alias("n"), F.col("t.r").eqNullSafe(F.col("n.r")) & F.col("t.c").eqNullSafe(F.col("n.c")), "left")
-    available = F.coalesce("n", F.lit(0))
-    return joined.select(F.col("t.r").alias(rows), F.col("t.c").alias(columns), "target_share", "min_rows", available.alias("available"), "sample_size", "wanted", "quota", F.least("quota", available).alias("drawn"), ((available >= F.col("min_rows")) & (available >= F.col("whole"))).alias("met"))
+    return spark.createDataFrame(out, f"`{rows}` {kinds[rows]}, `{columns}` {kinds[columns]}, target_share double, min_rows int, available long, sample_size long, wanted double, quota long, short long, met boolean")
 
 
 def draw_quotas(usable: DataFrame, record: str, rows: str, columns: str, report: DataFrame, seed: int = 0, buckets: int = 4096) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions.identifiers import stripped, tidy_upper
+from tessella.functions.identifiers import tidy_upper
+from tessella.functions.text import strict_grade, strict_lens
 from tessella.llm.quotas import draw_quotas, quota_report
 from tessella.plans.registry import Registry
 from tessella.session import read
@@ -15,17 +16,11 @@ query = REGISTRY.query
 
 #: Share of the usable images that is drawn.
 FRACTION = (2, 5)
-_LENS = r"\A(4|10|20|40)(?:\.0)?\s*[xX×]?\z"
-_GRADE = r"(?i)\A(?:(?:ISUP|Grade|Glade)\s*[:=]?\s*)?([0-5])(?:\.0)?\z"
-
-
-def _first(column: str, pattern: str) -> Column:
-    return F.nullif(F.regexp_extract(stripped(column), pattern, 1), F.lit("")).cast("int")
 
 
 def usable_images(qc: DataFrame) -> DataFrame:
     """(image_id, objective_lens, isup_grade): each image by its newest row, if that can be used."""
-    rows = qc.select(tidy_upper("image_id").alias("image_id"), F.struct("ingested_at", "row_no", _first("objective_lens", _LENS).alias("lens"), _first("isup_grade", _GRADE).alias("grade")).alias("row")).filter("image_id IS NOT NULL")
+    rows = qc.select(tidy_upper("image_id").alias("image_id"), F.struct("ingested_at", "row_no", strict_lens(F.col("objective_lens")).alias("lens"), strict_grade(F.col("isup_grade")).alias("grade")).alias("row")).filter("image_id IS NOT NULL")
     newest = rows.groupBy("image_id").agg(F.max("row").alias("row"))
     return newest.filter("row.lens IS NOT NULL AND row.grade IS NOT NULL").select("image_id", F.col("row.lens").alias("objective_lens"), F.col("row.grade").alias("isup_grade"))
 

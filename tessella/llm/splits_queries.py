@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.identifiers import folder_of, tidy_path, tidy_upper
-from tessella.llm.components import connected_components, group_pairs, split_of
+from tessella.llm.components import connected_components, group_pairs, proportional_splits
 from tessella.plans.registry import Registry
-from tessella.session import read
+from tessella.session import cut_lineage, read
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -57,8 +57,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("patient_a"), F.col("b").alias("patient_b"))
 
 
-def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(record_kind, record_no, component, split) of every row of both tables.
+def tied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(record_kind, record_no, component) of every row of both tables.
 
     Besides patients, slides that nobody owns are nodes here, so that a tile, its slide
     and its folder never part. A row that refers to nothing is a component of its own.
@@ -75,14 +75,40 @@ def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = slides.unionByName(tiles).join(heads, "slide", "left")
     alone = F.concat_ws(":", F.lit("R"), "record_kind", F.col("record_no").cast("string"))
     rows = rows.select("record_kind", "record_no", F.coalesce("head", F.concat(F.lit("S:"), "slide"), F.concat(F.lit("P:"), "patient"), alone).alias("node"))
-    rows = rows.join(components, "node", "left").select("record_kind", "record_no", F.coalesce("component", "node").alias("component"))
-    return rows.withColumn("split", split_of(F.col("component"), SHARES))
+    return rows.join(components, "node", "left").select("record_kind", "record_no", F.coalesce("component", "node").alias("component"))
+
+
+def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(component, record_kind, record_no, split) of every row of both tables."""
+    return proportional_splits(cut_lineage(tied(spark, sf_dir)), "component", "record_kind", ["slide", "tile"], SHARES)
+
+
+_SLIDE = "nullif(upper(trim(slide_id)), '')"
+_FOLDER = r"nullif(upper(split_part(trim(regexp_replace(regexp_replace(replace(trim(tile_path), '\', '/'), '/+', '/', 'g'), '(^|/)(\./)+', '\1', 'g'), '/'), '/', 1)), '')"
+
+
+@query("p1_components", sql=f"""
+WITH RECURSIVE owners AS (SELECT DISTINCT {_SLIDE} s, nullif(upper(trim(patient_id)), '') p FROM slide_patient_map WHERE trim(slide_id) <> '' AND trim(patient_id) <> ''),
+heads AS (SELECT s, 'P:' || min(p) AS head FROM owners GROUP BY s),
+filed AS (SELECT DISTINCT {_SLIDE} s, {_FOLDER} f FROM tissue_detection WHERE {_SLIDE} <> {_FOLDER}),
+edges AS (SELECT head AS a, 'P:' || p AS b FROM owners JOIN heads USING (s)
+  UNION SELECT coalesce(h.head, 'S:' || filed.s), coalesce(g.head, 'S:' || filed.f) FROM filed LEFT JOIN heads h ON h.s = filed.s LEFT JOIN heads g ON g.s = filed.f),
+sym AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
+reach(a, b) AS (SELECT a, b FROM sym UNION SELECT reach.a, sym.b FROM reach JOIN sym ON reach.b = sym.a),
+comp AS (SELECT a AS node, least(a, min(b)) AS component FROM reach GROUP BY a),
+r AS (SELECT 'slide' AS record_kind, row_no AS record_no, {_SLIDE} AS slide, nullif(upper(trim(patient_id)), '') AS patient FROM slide_patient_map
+  UNION ALL SELECT 'tile', tile_no, coalesce({_SLIDE}, {_FOLDER}), NULL FROM tissue_detection),
+n AS (SELECT record_kind, record_no, coalesce(head, 'S:' || slide, 'P:' || patient, 'R:' || record_kind || ':' || record_no) AS node FROM r LEFT JOIN heads ON heads.s = r.slide)
+SELECT record_kind, record_no, coalesce(component, node) AS component FROM n LEFT JOIN comp USING (node)""")
+def p1_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every slide and tile; what has the same must not be parted."""
+    return tied(spark, sf_dir)
 
 
 @query("p1_splits")
 def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The split of every slide and tile."""
-    return assigned(spark, sf_dir)
+    return assigned(spark, sf_dir).select("record_kind", "record_no", "component", "split")
 
 
 @query("p1_report")

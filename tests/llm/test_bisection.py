@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm.bisection import combine_summaries, counts_below, day_summaries, exact_percentiles, readings, summary_percentiles
+from tessella.llm.bisection import counts_at, counts_below, exact_percentiles, readings
 
 PROBS = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
 SCHEMA = "lens int, v double, day string, value string, cell int, grp string, field string"
@@ -54,18 +54,25 @@ def test_counts_of_parts_add_up(spark):
     assert {r.cell: (r.n, r.vmin, r.vmax) for r in parts.collect()} == whole and sum(n for n, _, _ in whole.values()) == 500
 
 
-def test_summaries_of_days_keep_the_error_bound(spark):
+def test_counts_of_days_give_the_same_percentiles(spark):
     r = np.random.default_rng(1)
     values = np.concatenate([r.lognormal(3, 2, 3000), np.zeros(50)])
-    rows = [(1, float(v), f"d{i % 7}") for i, v in enumerate(values)]
-    days = day_summaries(long(spark, rows), "day")
-    one = {x.q: x for x in summary_percentiles(days, PROBS).collect()}
-    halves = combine_summaries(days.filter("day < 'd3'")).unionByName(combine_summaries(days.filter("day >= 'd3'")))
-    two = {x.q: x for x in summary_percentiles(halves, PROBS).collect()}
-    for q, x in one.items():
-        true = np.sort(values)[int(np.floor(q * (len(values) - 1)))]
-        assert abs(x.value - true) <= x.max_error + 1e-12 and x.max_error <= 0.006 * max(true, 1e-9)
-        assert (two[q].value, two[q].max_error, two[q].n_values) == (x.value, x.max_error, len(values))
+    rows = long(spark, [(1, float(v), f"d{i % 7}") for i, v in enumerate(values)])
+    whole = {x.q: x.value for x in exact_percentiles(rows, PROBS).collect()}
+    assert {x.q: x.value for x in exact_percentiles(rows, PROBS, by=("day",)).collect()} == whole
+    assert whole == pytest.approx({q: float(np.quantile(values, q)) for q in PROBS})
+
+
+def test_counts_at_percentiles_add_up_and_are_few(spark):
+    values = [float(v % 211) for v in range(4000)]
+    rows = long(spark, [(1 if i % 5 else None, v, f"d{i % 4}") for i, v in enumerate(values)])
+    found = exact_percentiles(rows, PROBS)
+    days = counts_at(rows, found, "day")
+    assert days.count() == 4 * 2 * len(PROBS)
+    sums = days.groupBy("grp", "q", "value").agg(F.sum("n_below").alias("a"), F.sum("n_upto").alias("b"), F.sum("n_values").alias("n")).collect()
+    for s in sums:
+        mine = [v for i, v in enumerate(values) if (i % 5 != 0) == (s.grp is not None)]
+        assert (s.a, s.b, s.n) == (sum(v < s.value for v in mine), sum(v <= s.value for v in mine), len(mine)) and s.a <= s.q * (s.n - 1) + 1
 
 
 def test_nothing_to_rank(spark):

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tessella.llm.components import connected_components, group_pairs, split_of
+from tessella.llm.components import connected_components, group_pairs, placed, proportional_splits
 from tessella.llm.splits_queries import SHARES, assigned, patient_ties
 from pyspark.sql import functions as F
 
@@ -54,11 +54,42 @@ def test_ties_need_an_owner_on_both_sides(spark):
     assert got == {("p1", "p2"), ("p3", "p4")}
 
 
-def test_shares_of_splits(spark):
+def shares_of(df):
+    n = df.count()
+    return {r["split"]: r["count"] / n for r in df.groupBy("split").count().collect()}
+
+
+def test_small_components_are_hashed_into_ranges(spark):
+    rows = spark.range(40_000).select(F.col("id").cast("string").alias("c"), F.lit("x").alias("kind"))
+    got = shares_of(proportional_splits(rows, "c", "kind", ["x"], {"train": 7, "val": 1.5, "test": 1.5}))
+    assert all(abs(got[k] - v) < 0.01 for k, v in SHARES.items())
+
+
+def test_large_components_do_not_spoil_the_shares(spark):
+    """Components of 20, 12 and 8 % and of very different kinds, beside small ones."""
     n = 20_000
-    rows = spark.range(n).select(split_of(F.col("id").cast("string"), {"train": 7, "val": 1.5, "test": 1.5}).alias("s")).groupBy("s").count().collect()
-    got = {r["s"]: r["count"] / n for r in rows}
-    assert all(abs(got[k] - v) < 0.02 for k, v in SHARES.items())
+    part = F.when(F.col("id") < 4000, "a").when(F.col("id") < 6400, "b").when(F.col("id") < 8000, "c").otherwise(F.col("id").cast("string"))
+    rows = spark.range(n).select(part.alias("c"), F.when(F.col("id") % 10 == 0, "tile").otherwise("slide").alias("kind"))
+    for seed in range(3):
+        got = proportional_splits(rows, "c", "kind", ["slide", "tile"], SHARES, seed)
+        assert all(abs(shares_of(got)[k] - v) < 0.01 for k, v in SHARES.items())
+        assert got.groupBy("c").agg(F.countDistinct("split").alias("k")).filter("k > 1").isEmpty()
+
+
+def test_one_component_with_nearly_all_goes_where_most_is_wanted():
+    known, rest = placed([("big", 95)], [100], SHARES)
+    assert known == {"big": "train"} and rest == {"train": 0.0, "val": 0.5, "test": 0.5}
+
+
+def test_no_records_to_split(spark):
+    assert proportional_splits(spark.createDataFrame([], "c string, kind string"), "c", "kind", ["x"], SHARES).count() == 0
+
+
+def test_shares_of_the_tables(spark):
+    rows = assigned(spark, "/root/testdata/sf0.1")
+    for kind in ("slide", "tile"):
+        got = shares_of(rows.filter(F.col("record_kind") == kind))
+        assert all(abs(got[k] - v) < 0.01 for k, v in SHARES.items()), got
 
 
 def test_nothing_tied_is_parted(spark):

@@ -81,3 +81,16 @@ def test_rare_sources_are_not_crowded_out_of_the_fit(spark, monkeypatch):
     rows = [(i, f"Some text of number {i}.", "rare" if i < 20 else "ab"[i % 2]) for i in range(2000)]
     cut_texts(spark.createDataFrame(rows, "no long, body string, source string"), "no", "body", "source", sample=200, per_source=150).count()
     assert {s: got.count(s) for s in set(got)} == {"rare": 20, "a": 90, "b": 90}
+
+
+def test_the_sample_has_the_least_hashes_of_each_source(spark):
+    rows = spark.range(30_000).select("id", F.when(F.col("id") % 50 == 0, "rare").when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"))
+    got = cutoff.sampled(rows, 3000, 1400, 5).collect()
+    key = {r.id: r.k for r in rows.select("id", F.xxhash64("id", F.lit(5)).alias("k")).collect()}
+    of = {r.id: r.source for r in rows.collect()}
+    for source, n in (("rare", 600), ("a", 1200), ("b", 1200)):
+        assert {r.id for r in got if r.source == source} == set(sorted((i for i in of if of[i] == source), key=key.get)[:n])
+
+
+def test_fair_level():
+    assert cutoff.fair_level([(5, 2), (100, 1)], 30, 50) == 20 and cutoff.fair_level([(5, 1)], 30, 50) == 50 and cutoff.fair_level([(1, 99)], 3, 50) == 1

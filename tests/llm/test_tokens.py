@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm.mixing import emitted, mix_rates
-from tessella.llm.tokens import TOKENIZERS, boundaries, decode, encode, encoding
+from tessella.llm.text_queries import p8_joined
+from tessella.llm.tokens import CHUNK, TOKENIZERS, boundaries, decode, encode, encoding
 
 PIECES = ["mô đệm ", "tuyến\n", "  ", "\t\n ", "I've ", "don't", "'s", "12345", " 3.5", "ng/ml.", "🔬🔬", "é", "ééé", "<|endoftext|>", "    ", "aaaaaaaaaaaaaaaaaaaaaaaa", "!?!?", "​", "漢字", " "]
 
@@ -50,6 +51,15 @@ def test_whole_documents(spark):
     assert {r.doc_id: list(r.ids) for r in encode(docs, "doc_id", "text", chunk=64, overlap=32).collect()} == want
 
 
+def test_joined_documents_go_through_chunks(spark):
+    """Blocks of the real documents are longer than a chunk, so they are cut, stitched and joined."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.block: list(r.ids) for r in p8_joined(spark, "/root/testdata/sf0.01").collect()}
+    for block, ids in got.items():
+        text = "\n".join(docs[i] for i in sorted(docs) if i // 1024 == block)
+        assert len(text) > 2 * CHUNK and encoding().encode_ordinary(text) == ids
+
+
 def test_chunks_must_exceed_the_overlap(spark):
     with pytest.raises(ValueError):
         encode(frame(spark, ["x"]), "no", "body", chunk=10, overlap=20)
