@@ -13,12 +13,16 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessella.functions.text import tar_record_bytes
+from tessella.sources import archives, shared, sinks
+
 #: Tars below this are too small.
 SMALL_TAR_BYTES = 4_194_304
 #: Size that a consolidated file should reach.
@@ -183,3 +187,67 @@ def compact_parquet(spark: SparkSession, source: str, target: str, target_bytes:
         system.delete(hadoop.Path(staging), True)
         raise
     return summary
+
+
+def _members(spark: SparkSession, tiles: str | None, tars: str | None) -> DataFrame:
+    """(kind, file, member, content) of every tile file and of every member of every TAR.
+
+    The new member's name is the tile's path below its folder, or the TAR's name and the
+    member's.
+    """
+    archives.register(spark)
+    parts = []
+    if tiles:
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(tiles).select("path", "content")
+        root = F.lit(shared.opened(tiles)[1].strip("/") + "/")
+        below = F.regexp_replace("path", F.concat(F.lit(r"\A.*?\Q"), root, F.lit(r"\E")), F.lit(""))
+        parts.append(rows.select(F.lit("tile").alias("kind"), F.col("path").alias("file"), below.alias("member"), "content"))
+    if tars:
+        rows = spark.read.format("tar_members").load(tars).select("archive", "member", "content")
+        stem = F.regexp_extract("archive", r"([^/]+?)(?:\.tar)?\z", 1)
+        parts.append(rows.select(F.lit("tar").alias("kind"), F.col("archive").alias("file"), F.concat_ws("/", stem, "member").alias("member"), F.col("content").cast("binary").alias("content")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def consolidate_files(spark: SparkSession, tiles: str | None, tars: str | None, target: str, target_bytes: int = TARGET_BYTES, small_bytes: int = SMALL_TAR_BYTES, chunk_files: int = CHUNK_FILES) -> dict:
+    """Rewrite tile files and small TARs as few TARs of good size in the new folder `target`.
+
+    The manifest has the size and digest of every tile and of every member of every TAR;
+    it is written first and decides what must come out. Files of at least `small_bytes`
+    are left where they are. Files are packed first-fit decreasing by the bytes they take
+    in an archive, each bin is streamed into one TAR, ordered by file and member, and the
+    TARs are read back: names, sizes and digests must be those of the manifest, each once.
+    Only then the folder is renamed into place, with manifest and bins in it. A file that
+    is lost or replaced during the run is a difference, so the run fails and leaves
+    nothing. A member name that comes from two files is an error; a file without a byte
+    holds no record and stays where it is. Returns the counts.
+    """
+    if shared.exists(target):
+        raise FileExistsError(target)
+    staging = f"{target.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    try:
+        found = _members(spark, tiles, tars)
+        found.select("kind", "file", "member", F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256")).write.parquet(f"{staging}/_manifest")
+        manifest = spark.read.parquet(f"{staging}/_manifest")
+        sizes = manifest.groupBy("kind", "file").agg(F.sum("bytes").alias("bytes"), F.sum(tar_record_bytes(F.col("member"), F.col("bytes"))).cast("long").alias("taken"))
+        small = sizes.filter(F.col("bytes") < small_bytes)
+        packed = pack_bins(small.withColumn("kind", F.lit("bin")), "kind", "file", "taken", target_bytes, chunk_files=chunk_files)
+        packed.select(F.col("key").alias("file"), "bin").write.parquet(f"{staging}/_bins")
+        bins = spark.read.parquet(f"{staging}/_bins")
+        records = _members(spark, tiles, tars).join(bins, "file")
+        place = F.concat_ws("\n", "file", "member")
+        written = sinks.write_shards(records.select(F.col("bin").alias("shard_id"), place.alias("place"), "member", "content"), f"{staging}/tars")
+        written.write.parquet(f"{staging}/_tars")
+        wanted = manifest.join(bins, "file").select("bin", "member", "bytes", "sha256")
+        stem = F.regexp_extract("archive", r"([^/]+)\.tar\z", 1)
+        back = spark.read.format("tar_members").load(f"{staging}/tars").select(stem.alias("bin"), "member", F.col("byte_size").alias("bytes"), "sha256")
+        if not wanted.exceptAll(back).isEmpty() or not back.exceptAll(wanted).isEmpty():
+            raise RuntimeError("what was written does not agree with the manifest")
+        made = spark.read.parquet(f"{staging}/_tars").agg(F.count("*").alias("n"), F.coalesce(F.sum("members"), F.lit(0)).alias("members")).first()
+        summary = {"files_in": bins.count(), "files_kept": sizes.count() - bins.count(), "files_out": made.n, "members": made.members}
+        sinks.atomic_json(f"{staging}/_summary.json", summary)
+        shared.rename(staging, target)
+    except BaseException:
+        shared.remove(staging)
+        raise
+    return summary

@@ -7,6 +7,7 @@ more than one range of one group.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,27 +137,23 @@ def calibration_bins(df: DataFrame, by: list[str], label: str, score: str, bins:
     return df.withColumn("bin", F.coalesce(*inside)).filter("bin IS NOT NULL").groupBy(*by, "bin").agg(F.avg(score).alias("mean_score"), F.avg(F.col(label).cast("double")).alias("fraction_pos"), F.count("*").alias("n"))
 
 
-def poisson_weight(*keys: Column) -> Column:
-    """A Poisson(1) count from the md5 of the keys: each row's repetitions in one resample."""
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", *keys)), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    steps = POISSON_STEPS
-    return sum((F.when(u >= F.lit(s), 1).otherwise(0) for s in steps[1:]), F.when(u >= F.lit(steps[0]), 1).otherwise(0))
-
-
 #: Cumulative probabilities of the Poisson distribution with mean 1.
 POISSON_STEPS = [0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675885, 0.99998975080, 0.99999887480]
 
 
-def bootstrap_auc(df: DataFrame, by: list[str], key: str, label: str, score: str, draws: int, seed: int, alpha: float = 0.05) -> DataFrame:
-    """(*by, low, high, draws): percentile interval of the AUC over resamples.
+def _poisson(u: np.ndarray) -> np.ndarray:
+    """Poisson(1) counts of 32-bit random numbers."""
+    out = np.zeros(u.shape, np.int64)
+    for step in POISSON_STEPS:
+        out += u >= step * 4294967296.0
+    return out
 
-    Rows are repeated Poisson(1) times in each draw, decided by hashes, which needs no
-    shared random stream and no lookup of rows by position. Draws of one class are left out.
-    """
-    spread = df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    spread = spread.withColumn("w", poisson_weight(F.lit(str(seed)), F.col("draw").cast("string"), F.col(key))).filter("w > 0")
-    each = auc(spread, [*by, "draw"], label, score, F.col("w")).filter("auc IS NOT NULL")
-    return each.groupBy(*by).agg(F.expr(f"percentile(auc, {alpha / 2})").alias("low"), F.expr(f"percentile(auc, {1 - alpha / 2})").alias("high"), F.count("*").alias("draws"))
+
+def digest_weights(keys: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """(row, draw): Poisson(1) counts of draws 1 to `draws`, by MD5 of seed, draw // 4 and key; a digest serves four draws."""
+    blocks = [f"{seed}|{b}|" for b in range(draws // 4 + 1)]
+    data = b"".join(hashlib.md5((block + key).encode(), usedforsecurity=False).digest() for key in keys for block in blocks)
+    return _poisson(np.frombuffer(data, dtype=">u4").reshape(len(keys), 4 * len(blocks))[:, 1 : draws + 1])
 
 
 def hashed_weights(seeds: np.ndarray, draws: int) -> np.ndarray:
@@ -164,11 +161,7 @@ def hashed_weights(seeds: np.ndarray, draws: int) -> np.ndarray:
     z = seeds.astype(np.int64).view(np.uint64)[:, None] + np.arange(1, draws + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    u = ((z ^ (z >> np.uint64(31))) >> np.uint64(32)).astype(np.uint32)
-    out = np.zeros(u.shape, np.int64)
-    for step in POISSON_STEPS:
-        out += u >= np.uint32(step * 4294967296.0)
-    return out
+    return _poisson(((z ^ (z >> np.uint64(31))) >> np.uint64(32)).astype(np.uint32))
 
 
 class _RangeSums:
@@ -202,15 +195,17 @@ class _RangeSums:
             self.tie = None
 
 
-def bootstrap_auc_by_range(df: DataFrame, by: list[str], key: str, label: str, score: str, draws: int, seed: int, alpha: float = 0.05, ranges: int = 256, rows: int = 512) -> DataFrame:
-    """(*by, low, high, draws): as `bootstrap_auc`, for many draws or rows.
+def bootstrap_auc(df: DataFrame, by: list[str], key: str, label: str, score: str, draws: int, seed: int, alpha: float = 0.05, by_digest: bool = False, ranges: int = 256, rows: int = 512) -> DataFrame:
+    """(*by, low, high, draws): percentile interval of the AUC over resamples.
 
-    Rows are shuffled once, not once a draw: each score range is read in score order, at
-    most `rows` of them at a time, with all draws as vectors, and gives its sums. Draws
-    are joined from the sums of ranges. Repetitions come from other hashes of the key.
+    Rows are repeated Poisson(1) times in each draw, decided by hashes of the key (MD5
+    with `by_digest`, as SQL can too), which needs no shared random stream and no lookup
+    of rows by position. Draws of one class are left out. Rows are shuffled once, not
+    once a draw: each score range is read in score order, at most `rows` of them at a
+    time, with all draws as vectors, and gives its sums; draws are joined from those.
     """
     cell = F.least(F.floor(F.col(score) * ranges), F.lit(ranges - 1)).cast("int")
-    marked = df.filter(F.col(label).isin(0, 1)).select(*by, cell.alias("__range"), F.col(score).cast("double").alias("__s"), (F.col(label) == 1).alias("__y"), F.xxhash64(F.lit(seed), F.col(key)).alias("__h"))
+    marked = df.filter(F.col(label).isin(0, 1)).select(*by, cell.alias("__range"), F.col(score).cast("double").alias("__s"), (F.col(label) == 1).alias("__y"), (F.col(key).cast("string") if by_digest else F.xxhash64(F.lit(seed), F.col(key))).alias("__h"))
     order = [*by, "__range"]
     vectors = [T.StructField(c, T.ArrayType(T.LongType())) for c in ("p", "n", "u")]
     schema = T.StructType([*[marked.schema[c] for c in order], *vectors])
@@ -236,7 +231,7 @@ def bootstrap_auc_by_range(df: DataFrame, by: list[str], key: str, label: str, s
                     if kept is not None:
                         yield done()
                     at, kept = places[low], _RangeSums(draws)
-                kept.add(s[low:high], y[low:high].astype(bool), hashed_weights(h[low:high], draws))
+                kept.add(s[low:high], y[low:high].astype(bool), digest_weights(h[low:high], draws, seed) if by_digest else hashed_weights(h[low:high], draws))
                 low = high
         if kept is not None:
             yield done()

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.identifiers import file_of, tidy_lower, tidy_path, tidy_upper
-from tessella.operators.compaction import UNKNOWN_BYTES, checksum, freeze_manifest, pack_bins, tar_members
+from tessella.operators.compaction import checksum, freeze_manifest, pack_bins, tar_members
 from tessella.operators.references import Reference, orphan_report, orphans
 from tessella.plans.registry import Registry
-from tessella.session import cut_lineage, read
+from tessella.session import cut_lineage, read, shared_folder
+from tessella.sources.shared import joined
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -32,11 +35,11 @@ t AS (SELECT tile_no, min(tile_no) OVER (PARTITION BY {_TILE_FILE}) AS f FROM ti
 SELECT 'tar' AS file_kind, k AS file_key FROM m GROUP BY k HAVING coalesce(sum(b), 0) < 4194304
 UNION ALL SELECT 'tile', CAST(tile_no AS VARCHAR) FROM t WHERE tile_no > f""")
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tars too small to stand alone, and tile rows naming a file that is listed already."""
+    """Tars too small to stand alone, as they are packed, and tile rows naming a file that is listed already."""
     manifest = _manifest(spark, sf_dir)
-    small = (F.col("file_kind") == "tar") & (F.col("action") == "pack")
-    again = (F.col("file_kind") == "tile") & (F.col("action") == "drop")
-    return manifest.filter(small | again).select("file_kind", "file_key")
+    tars = _bins(cut_lineage(manifest.filter("file_kind = 'tar' AND action = 'pack'")))
+    again = manifest.filter("file_kind = 'tile' AND action = 'drop'")
+    return tars.select("file_kind", "file_key").unionByName(again.select("file_kind", "file_key"))
 
 
 @query("p4_bins")
@@ -50,26 +53,38 @@ def _bins(manifest: DataFrame) -> DataFrame:
     return packed.select(F.col("kind").alias("file_kind"), F.col("key").alias("file_key"), "bytes", F.col("bin").alias("new_file"))
 
 
-@query("p4_report")
+@query("p4_report", sql=rf"""
+WITH m AS (SELECT {_TAR_KEY} AS k, member, max(byte_size) AS b FROM shards WHERE trim(tar_name) <> '' GROUP BY 1, 2),
+small AS (SELECT k, coalesce(sum(b), 0) AS b FROM m GROUP BY k HAVING coalesce(sum(b), 0) < 4194304),
+t AS (SELECT tile_no, png_bytes, min(tile_no) OVER (PARTITION BY {_TILE_FILE}) AS f FROM tissue_detection WHERE trim(tile_path) <> ''),
+r AS (SELECT 'tar' AS file_kind, k AS file, coalesce(m.b, 0) AS b FROM m JOIN small USING (k)
+  UNION ALL SELECT 'tile', CAST(tile_no AS VARCHAR), coalesce(png_bytes, 0) FROM t WHERE tile_no = f AND coalesce(png_bytes, 0) < 4194304)
+SELECT file_kind, count(DISTINCT file) AS n_files, count(*) AS records_in, count(*) AS records_out, CAST(sum(b) AS BIGINT) AS bytes_in, CAST(sum(b) AS BIGINT) AS bytes_out, true AS agree FROM r GROUP BY file_kind""")
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per kind: rows and checksum of the planned files, with bytes, before and after they are packed, and of the images in tars.
+    """Per kind: records (tiles, images of tars) and bytes in the manifest, and in the regrouped files that were written.
 
-    The manifest is written once and both sides come from it. Nothing is rewritten here.
+    The manifest is written once, its files are packed, and the records are rewritten as
+    one file a bin in the shared folder. `agree` compares checksums over all records.
     """
-    manifest = cut_lineage(_manifest(spark, sf_dir).filter("action = 'pack'"))
-    before = manifest.select("file_kind", "file_key", F.coalesce("bytes", F.lit(UNKNOWN_BYTES)).cast("long").alias("bytes"))
-    after = cut_lineage(_bins(manifest))
-    members = tar_members(read(spark, sf_dir, "shards"), file_of(tidy_path("tar_name")), F.col("member"), F.col("byte_size")).withColumnRenamed("tar", "file_key")
-
-    def sums(files: DataFrame, side: str) -> DataFrame:
-        each = checksum(files, ["file_kind"]).select("file_kind", F.col("rows").alias(f"rows_{side}"), F.col("digest").alias(f"digest_{side}"))
-        held = members.join(files.filter("file_kind = 'tar'").select("file_kind", "file_key"), "file_key")
-        held = checksum(held, ["file_kind"]).select("file_kind", F.col("rows").alias(f"members_{side}"), F.col("digest").alias(f"members_digest_{side}"))
-        return each.join(held, "file_kind", "left")
-
-    n = after.groupBy("file_kind").agg(F.countDistinct("new_file").alias("new_files"), F.max("bytes").alias("largest_bytes"))
-    out = sums(after.select("file_kind", "file_key", "bytes"), "out")
-    return sums(before, "in").join(out, "file_kind", "left").join(n, "file_kind", "left")
+    tiles = _manifest(spark, sf_dir).filter("file_kind = 'tile' AND action = 'pack'").select("file_kind", "file_key", F.col("file_key").alias("record"), F.coalesce("bytes", F.lit(0)).cast("long").alias("record_bytes"))
+    small = _manifest(spark, sf_dir).filter("file_kind = 'tar' AND action = 'pack'").select("file_kind", "file_key")
+    members = tar_members(read(spark, sf_dir, "shards"), file_of(tidy_path("tar_name")), F.col("member"), F.col("byte_size"))
+    held = small.join(members.select(F.col("tar").alias("file_key"), F.col("member").alias("record"), F.coalesce("size", F.lit(0)).alias("record_bytes")), "file_key").select(*tiles.columns)
+    frozen = cut_lineage(tiles.unionByName(held))
+    files = frozen.groupBy("file_kind", "file_key").agg(F.sum("record_bytes").alias("bytes"))
+    bins = cut_lineage(_bins(files))
+    folder = joined(shared_folder(spark), f"regrouped-{uuid.uuid4().hex}")
+    placed = frozen.join(bins.select("file_kind", "file_key", "new_file"), ["file_kind", "file_key"])
+    placed.repartition("new_file").sortWithinPartitions("new_file", "file_key", "record").write.partitionBy("new_file").parquet(folder)
+    written = spark.read.parquet(folder).select(*frozen.columns)
+
+    def sums(rows: DataFrame, side: str) -> DataFrame:
+        totals = rows.groupBy("file_kind").agg(F.sum("record_bytes").alias(f"bytes_{side}"), F.countDistinct("file_key").alias(f"n_{side}"))
+        return checksum(rows, ["file_kind"]).join(totals, "file_kind").select("file_kind", F.col("rows").alias(f"records_{side}"), f"bytes_{side}", f"n_{side}", F.col("digest").alias(f"digest_{side}"))
+
+    both = sums(frozen, "in").join(sums(written, "out"), "file_kind", "left")
+    agree = F.coalesce((F.col("digest_in") == F.col("digest_out")) & (F.col("n_in") == F.col("n_out")), F.lit(False))
+    return both.select("file_kind", F.col("n_in").alias("n_files"), "records_in", F.coalesce("records_out", F.lit(0)).alias("records_out"), "bytes_in", F.coalesce("bytes_out", F.lit(0)).alias("bytes_out"), agree.alias("agree"))
 
 
 def _references(spark: SparkSession, sf_dir: str) -> list[Reference]:

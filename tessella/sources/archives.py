@@ -1,8 +1,8 @@
 """ZIP and TAR archives as DataFrame sources, through the Python data source API.
 
 `zip_inventory` reads central directories only. `zip_members` and `tar_members` give the
-bytes, checked against their CRC or length. Each archive is one partition, and members
-leave one by one. Unsafe names, repeated members and encrypted entries are errors.
+bytes, checked against their CRC or length. Small archives share a partition, and
+members leave one by one. Unsafe names, repeated members and encrypted entries are errors.
 """
 
 from __future__ import annotations
@@ -32,10 +32,27 @@ def checked_member(name: str) -> str:
     return name
 
 
-class _Archive(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
+#: Archives read by one task: up to so many bytes, or so many archives.
+TASK_BYTES, TASK_FILES = 134_217_728, 1_024
+
+
+class _Archives(InputPartition):
+    def __init__(self, paths: list[str]):
+        super().__init__(paths)
+        self.paths = paths
+
+
+def _tasks(files: list[tuple[str, int]]) -> list[_Archives]:
+    """Archives (path, bytes) in order, small ones together."""
+    out: list[list[str]] = []
+    held = 0
+    for path, size in files:
+        if not out or held + size > TASK_BYTES or len(out[-1]) == TASK_FILES:
+            out.append([])
+            held = 0
+        out[-1].append(path)
+        held += size
+    return [_Archives(paths) for paths in out]
 
 
 class _Reader(DataSourceReader):
@@ -47,8 +64,13 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         if fnmatch.fnmatch(self.folder.rpartition("/")[2], self.pattern) and shared.is_file(self.folder):
-            return [_Archive(self.folder)]
-        return [_Archive(p) for p in shared.listed(self.folder) if fnmatch.fnmatch(p.rpartition("/")[2], self.pattern)]
+            return [_Archives([self.folder])]
+        return _tasks([(p, n) for p, n in shared.sized(self.folder) if fnmatch.fnmatch(p.rpartition("/")[2], self.pattern)])
+
+    def read(self, partition) -> Iterator[tuple]:
+        for path in partition.paths if partition else []:  # without any archive there is one task without a partition
+            with shared.seekable(path) as file:
+                yield from self.rows(path, file)
 
 
 def _entries(archive: zipfile.ZipFile) -> list[zipfile.ZipInfo]:
@@ -69,28 +91,28 @@ def _entries(archive: zipfile.ZipFile) -> list[zipfile.ZipInfo]:
 
 
 class ZipInventoryReader(_Reader):
-    def read(self, partition) -> Iterator[tuple]:
-        with shared.seekable(partition.path) as file, zipfile.ZipFile(file) as archive:
+    def rows(self, path: str, file) -> Iterator[tuple]:
+        with zipfile.ZipFile(file) as archive:
             for info in _entries(archive):
-                yield partition.path, info.filename, info.filename.rpartition("/")[2], info.file_size, f"zip-crc32:{info.CRC:08x}"
+                yield path, info.filename, info.filename.rpartition("/")[2], info.file_size, f"zip-crc32:{info.CRC:08x}"
 
 
 class ZipMemberReader(_Reader):
-    def read(self, partition) -> Iterator[tuple]:
-        with shared.seekable(partition.path) as file, zipfile.ZipFile(file) as archive:
+    def rows(self, path: str, file) -> Iterator[tuple]:
+        with zipfile.ZipFile(file) as archive:
             for info in _entries(archive):
                 content = archive.read(info)  # compares the CRC
                 if len(content) != info.file_size:
                     raise ValueError(f"{info.filename}: {len(content)} bytes of {info.file_size}")
-                yield partition.path, info.filename, len(content), f"{zlib.crc32(content):08x}", bytearray(content)
+                yield path, info.filename, len(content), f"{zlib.crc32(content):08x}", bytearray(content)
 
 
 class TarMemberReader(_Reader):
     default_pattern = "*.tar"
 
-    def read(self, partition) -> Iterator[tuple]:
+    def rows(self, path: str, file) -> Iterator[tuple]:
         seen = set()
-        with shared.seekable(partition.path) as file, tarfile.open(fileobj=file, mode="r|") as archive:
+        with tarfile.open(fileobj=file, mode="r|") as archive:
             for info in archive:
                 if not info.isreg():
                     raise ValueError(f"not a plain file: {info.name!r}")
@@ -99,7 +121,7 @@ class TarMemberReader(_Reader):
                     raise ValueError(f"member twice: {name}")
                 seen.add(name)
                 content = archive.extractfile(info).read()
-                yield partition.path, name, len(content), hashlib.sha256(content).hexdigest(), bytearray(content)
+                yield path, name, len(content), hashlib.sha256(content).hexdigest(), bytearray(content)
 
 
 class ZipInventory(DataSource):

@@ -48,11 +48,16 @@ def seekable(location: str):
     return system.open_input_file(path)
 
 
-def listed(folder: str, suffix: str = "") -> list[str]:
-    """Sorted locations of the plain files right in a folder; none when there is no folder."""
+def sized(folder: str) -> list[tuple[str, int]]:
+    """Sorted (location, bytes) of the plain files right in a folder; none when there is no folder."""
     system, path = opened(folder)
     found = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
-    return sorted(joined(folder, f.base_name) for f in found if f.type == fs.FileType.File and f.base_name.endswith(suffix))
+    return sorted((joined(folder, f.base_name), f.size) for f in found if f.type == fs.FileType.File)
+
+
+def listed(folder: str, suffix: str = "") -> list[str]:
+    """The locations of `sized` that end so."""
+    return [p for p, _ in sized(folder) if p.endswith(suffix)]
 
 
 def make_folder(folder: str) -> None:

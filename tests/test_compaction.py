@@ -1,10 +1,12 @@
 import random
+import tarfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions.identifiers import tidy_path
-from tessella.operators.compaction import compact_parquet, first_fit_decreasing, freeze_manifest, pack_bins
+from tessella.operators.compaction import compact_parquet, consolidate_files, first_fit_decreasing, freeze_manifest, pack_bins
+from tessella.sources.sinks import tar_bytes
 
 
 def plain_first_fit(sizes, capacity):
@@ -125,21 +127,69 @@ def test_files_without_rows_are_no_loss(spark, tmp_path):
     assert compact_parquet(spark, str(tmp_path / "in"), str(tmp_path / "out"))["rows"] == 5
 
 
-@pytest.mark.parametrize("wrong", [None, "bytes", "twice", "lost"])
-def test_report_shows_bytes_and_members_that_change(spark, monkeypatch, wrong):
+@pytest.mark.parametrize("wrong", [None, "twice", "lost"])
+def test_report_is_made_from_the_written_files(spark, monkeypatch, wrong):
     from tessella.plans import storage
 
     def packed(*args):
         out = pack_bins(*args)
-        first = out.filter("kind = 'tar'").agg(F.min("key")).first()[0]
-        hit = (F.col("kind") == "tar") & (F.col("key") == first)
-        if wrong == "bytes":
-            return out.withColumn("bytes", F.when(hit, F.col("bytes") + 1).otherwise(F.col("bytes")))
+        hit = (F.col("kind") == "tar") & (F.col("key") == out.filter("kind = 'tar'").agg(F.min("key")).first()[0])
         return {None: out, "twice": out.unionByName(out.filter(hit)), "lost": out.filter(~hit)}[wrong]
 
     monkeypatch.setattr(storage, "pack_bins", packed)
     got = {r.file_kind: r for r in storage.p4_report(spark, "/root/testdata/sf0.001").collect()}
-    tar, tile = got["tar"], got["tile"]
-    assert (tar.digest_in == tar.digest_out) == (wrong is None) and tile.digest_in == tile.digest_out
-    same = (tar.members_in, tar.members_digest_in) == (tar.members_out, tar.members_digest_out)
-    assert same == (wrong in (None, "bytes")) and tar.members_in > tar.rows_in
+    assert got["tar"].agree == (wrong is None) and got["tile"].agree
+    assert (got["tar"].records_in == got["tar"].records_out) == (wrong is None) and got["tar"].records_in > got["tar"].n_files
+
+
+def small_files(spark, root):
+    """30 tiles in 3 folders, one of them empty, 12 small TARs and one of good size."""
+    for i in range(30):
+        folder = root / "tiles" / f"s{i % 3}"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{i}.png").write_bytes(bytes([i]) * (i * 10))
+    (root / "tars").mkdir()
+    for i in range(13):
+        members = [(f"images/{i}-{k}.png", bytes([i + k]) * (50_000 if i == 12 else 100)) for k in range(1 + i % 4)]
+        (root / "tars" / f"t{i:02d}.tar").write_bytes(tar_bytes(members))
+    return {f"s{i % 3}/{i}.png": bytes([i]) * (i * 10) for i in range(1, 30)} | {f"t{i:02d}/images/{i}-{k}.png": bytes([i + k]) * 100 for i in range(12) for k in range(1 + i % 4)}
+
+
+def test_tiles_and_tars_come_out_in_few_tars_each_once(spark, tmp_path):
+    want = small_files(spark, tmp_path)
+    target = f"file://{tmp_path}/out"
+    summary = consolidate_files(spark, str(tmp_path / "tiles"), f"file://{tmp_path}/tars", target, target_bytes=20_000, small_bytes=40_000)
+    assert summary["files_in"] == 41 and summary["files_kept"] == 1 and summary["members"] == len(want) and summary["files_out"] < 10
+    got = {}
+    for path in sorted((tmp_path / "out" / "tars").glob("*.tar")):
+        with tarfile.open(path) as archive:
+            assert path.stat().st_size <= 20_000 + 10_240
+            for info in archive:
+                assert info.name not in got
+                got[info.name] = archive.extractfile(info).read()
+    assert got == want
+    again = consolidate_files(spark, str(tmp_path / "tiles"), str(tmp_path / "tars"), str(tmp_path / "again"), target_bytes=20_000, small_bytes=40_000)
+    digests = [sorted(r.tar_sha256 for r in spark.read.parquet(str(tmp_path / name / "_tars")).collect()) for name in ("out", "again")]
+    assert again == summary and digests[0] == digests[1]
+    with pytest.raises(FileExistsError):
+        consolidate_files(spark, str(tmp_path / "tiles"), None, target)
+
+
+@pytest.mark.parametrize("how", ["removed", "replaced"])
+def test_a_tile_lost_between_manifest_and_rewrite_fails_the_run(spark, tmp_path, monkeypatch, how):
+    small_files(spark, tmp_path)
+
+    def pack_and_lose(*args, **kwargs):
+        file = tmp_path / "tiles" / "s1" / "7.png"
+        file.unlink() if how == "removed" else file.write_bytes(b"other")
+        return pack_bins(*args, **kwargs)
+
+    monkeypatch.setattr("tessella.operators.compaction.pack_bins", pack_and_lose)
+    with pytest.raises(RuntimeError, match="does not agree"):
+        consolidate_files(spark, str(tmp_path / "tiles"), str(tmp_path / "tars"), str(tmp_path / "out"))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["tars", "tiles"]
+
+
+def test_only_tars_and_nothing_small(spark, tmp_path):
+    small_files(spark, tmp_path)
+    assert consolidate_files(spark, None, str(tmp_path / "tars"), str(tmp_path / "out"), small_bytes=1)["files_out"] == 0

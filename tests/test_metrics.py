@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -95,6 +97,13 @@ def test_hashed_weights_are_poisson():
     assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.2 and abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.15
 
 
+def test_digest_weights_are_poisson_and_those_of_the_text():
+    w = M.digest_weights(np.array([f"p{i}" for i in range(400)]), 1000, 17)
+    assert w.shape == (400, 1000) and abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
+    u = int(hashlib.md5(b"17|250|p3").hexdigest()[:8], 16) / 2**32
+    assert w[3, 999] == sum(u >= s for s in M.POISSON_STEPS)
+
+
 @pytest.mark.parametrize("rows", [7, 512])
 def test_bootstrap_by_range_equals_plain_resampling(spark, rows):
     y, p = sample(9)
@@ -104,7 +113,7 @@ def test_bootstrap_by_range_equals_plain_resampling(spark, rows):
     w = M.hashed_weights(seeds, 200).astype(float)
     wins = (p[:, None] > p[None, :]) + (p[:, None] == p[None, :]) / 2
     aucs = [(a := w[:, d] * y) @ wins @ (b := w[:, d] * (1 - y)) / (a.sum() * b.sum()) for d in range(200)]
-    got = {r.g: r for r in M.bootstrap_auc_by_range(df, ["g"], "i", "y", "p", 200, 5, rows=rows).collect()}
+    got = {r.g: r for r in M.bootstrap_auc(df, ["g"], "i", "y", "p", 200, 5, rows=rows).collect()}
     assert got["g"].draws == 200 and len(got) == 2
     assert (got["g"].low, got["g"].high) == pytest.approx(tuple(np.quantile(aucs, [0.025, 0.975])))
     assert (got[None].low, got[None].high) == pytest.approx((1 - got["g"].high, 1 - got["g"].low))
@@ -113,6 +122,6 @@ def test_bootstrap_by_range_equals_plain_resampling(spark, rows):
 def test_registered_intervals_have_the_draws_of_the_reference(spark):
     from tessella.plans.evaluation import REGISTRY
 
-    for name in ("agg24_patient_auc_ci", "agg24_tile_auc_ci"):
+    for name in ("agg24_bootstrap_auc_ci", "agg24_patient_auc_ci", "agg24_tile_auc_ci"):
         got = REGISTRY.queries[name](spark, "/root/testdata/sf0.01").collect()
         assert got and all(990 <= r.draws <= 1000 and r.low < r.high for r in got)
