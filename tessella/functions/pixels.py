@@ -193,3 +193,112 @@ def encode_png(rgb: np.ndarray) -> bytes:
     height, width = rgb.shape[:2]
     rows = np.concatenate([np.zeros((height, 1), dtype=np.uint8), np.ascontiguousarray(rgb).reshape(height, width * 3)], axis=1)
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + chunk(b"IEND", b"")
+
+
+def decode_png(data: bytes) -> np.ndarray:
+    """The pixels of a PNG as `encode_png` writes it."""
+    at, parts, size = 8, [], None
+    while at < len(data):
+        length, kind = struct.unpack(">I4s", data[at : at + 8])
+        body = data[at + 8 : at + 8 + length]
+        if struct.unpack(">I", data[at + 8 + length : at + 12 + length])[0] != zlib.crc32(kind + body):
+            raise ValueError("a chunk of the PNG is damaged")
+        if kind == b"IHDR":
+            size = struct.unpack(">IIBBBBB", body)
+        elif kind == b"IDAT":
+            parts.append(body)
+        at += 12 + length
+    if size is None or size[2:] != (8, 2, 0, 0, 0):
+        raise ValueError("not a PNG of 8-bit RGB pixels")
+    rows = np.frombuffer(zlib.decompress(b"".join(parts)), dtype=np.uint8).reshape(size[1], 1 + 3 * size[0])
+    if rows[:, 0].any():
+        raise ValueError("the PNG has filtered rows")
+    return rows[:, 1:].reshape(size[1], size[0], 3)
+
+
+def frame_count(data: bytes) -> int:
+    """Pictures in a PNG or TIFF file; 1 for any other file."""
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        at = 8
+        while at + 8 <= len(data):
+            length, kind = struct.unpack(">I4s", data[at : at + 8])
+            if kind == b"acTL":
+                return max(1, struct.unpack(">I", data[at + 8 : at + 12])[0])
+            if kind == b"IDAT":
+                return 1
+            at += 12 + length
+        return 1
+    if data[:4] not in (b"II*\0", b"MM\0*"):
+        return 1
+    order = "<" if data[:2] == b"II" else ">"
+    place, seen = struct.unpack(order + "I", data[4:8])[0], set()
+    while place and place not in seen and place + 2 <= len(data):
+        seen.add(place)
+        end = place + 2 + 12 * struct.unpack(order + "H", data[place : place + 2])[0]
+        if end + 4 > len(data):
+            break
+        place = struct.unpack(order + "I", data[end : end + 4])[0]
+    return max(1, len(seen))
+
+
+def turned(rgb: np.ndarray, mirror: bool = False, flip: bool = False, turns: int = 0) -> np.ndarray:
+    """Left and right, then top and bottom exchanged, then so many quarter turns against the clock."""
+    out = rgb[:, ::-1] if mirror else rgb
+    out = out[::-1] if flip else out
+    return np.ascontiguousarray(np.rot90(out, turns % 4))
+
+
+#: Mean and deviation of the channels of a well-known image collection (fixed values).
+CHANNEL_MEAN, CHANNEL_DEVIATION = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+
+
+def normalised(rgb: np.ndarray) -> np.ndarray:
+    """Channels first, scaled to 0..1, less the mean, by the deviation."""
+    scaled = np.moveaxis(rgb, -1, 0).astype(np.float32) / np.float32(255)
+    return (scaled - np.array(CHANNEL_MEAN, dtype=np.float32)[:, None, None]) / np.array(CHANNEL_DEVIATION, dtype=np.float32)[:, None, None]
+
+
+def resize_bilinear(rgb: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Resize between the centres of the four nearest pixels, borders being repeated."""
+    def along(n: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.clip((np.arange(size) + 0.5) * (n / size) - 0.5, 0, n - 1)
+        low = np.floor(at).astype(np.int64)
+        return low, np.minimum(low + 1, n - 1), at - low
+
+    y0, y1, fy = along(rgb.shape[0], height)
+    x0, x1, fx = along(rgb.shape[1], width)
+    wide = rgb.astype(np.float64)
+    rows = wide[y0] * (1 - fy)[:, None, None] + wide[y1] * fy[:, None, None]
+    return np.rint(rows[:, x0] * (1 - fx)[None, :, None] + rows[:, x1] * fx[None, :, None]).astype(np.uint8)
+
+
+#: From linear RGB with white D65 to XYZ over that white (fixed values of the sRGB standard).
+_TO_XYZ = np.array([[0.4124564, 0.3575761, 0.1804375], [0.2126729, 0.7151522, 0.0721750], [0.0193339, 0.1191920, 0.9503041]])
+_WHITE_XYZ = np.array([0.95047, 1.0, 1.08883])
+
+
+def to_lab(rgb: np.ndarray) -> np.ndarray:
+    """CIE L*, a*, b* of sRGB pixels; L* from 0 to 100."""
+    c = rgb / 255.0
+    linear = np.where(c <= 0.04045, c / 12.92, ((c + 0.055) / 1.055) ** 2.4)
+    t = linear @ _TO_XYZ.T / _WHITE_XYZ
+    f = np.where(t > (6 / 29) ** 3, np.cbrt(t), t / (3 * (6 / 29) ** 2) + 4 / 29)
+    return np.stack([116 * f[..., 1] - 16, 500 * (f[..., 0] - f[..., 1]), 200 * (f[..., 1] - f[..., 2])], axis=-1)
+
+
+def from_lab(lab: np.ndarray) -> np.ndarray:
+    """sRGB pixels of CIE L*, a*, b*."""
+    y = (lab[..., 0] + 16) / 116
+    f = np.stack([y + lab[..., 1] / 500, y, y - lab[..., 2] / 200], axis=-1)
+    t = np.where(f > 6 / 29, f**3, 3 * (6 / 29) ** 2 * (f - 4 / 29))
+    linear = np.clip(t * _WHITE_XYZ @ np.linalg.inv(_TO_XYZ).T, 0, 1)
+    c = np.where(linear <= 0.0031308, linear * 12.92, 1.055 * linear ** (1 / 2.4) - 0.055)
+    return np.rint(c * 255).clip(0, 255).astype(np.uint8)
+
+
+def equalise_lightness(rgb: np.ndarray, clip: float = 2.0, grid: int = 8) -> np.ndarray:
+    """`equalise_locally` on the lightness alone; colours keep their a* and b*."""
+    lab = to_lab(rgb)
+    shade = np.rint(lab[..., 0] * 2.55).clip(0, 255).astype(np.uint8)
+    lab[..., 0] = equalise_locally(shade, clip, grid) / 2.55
+    return from_lab(lab)

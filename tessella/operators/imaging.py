@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 from tessella.functions import pixels as P
 from tessella.functions.text import fingerprint
 
-QC_SCHEMA = "image_id string, decode_ok boolean, width int, height int, background_reference_rgb array<double>, tissue_fraction double, focus_score double, tiles_eligible int"
+QC_SCHEMA = "image_id string, decode_ok boolean, width int, height int, background_reference_rgb array<double>, tissue_fraction double, focus_score double, tiles_eligible int, status string"
 TILE_SCHEMA = "image_id string, x int, y int, w int, h int, valid_w int, valid_h int, tissue_fraction double, place int, png binary"
 
 
 def decoded(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
     """RGB from the source's rows; grey becomes three channels, alpha goes on white."""
+    if channels not in (1, 3, 4) or height < 1 or width < 1 or len(data) != height * width * channels:
+        raise ValueError(f"{len(data)} bytes for {height} x {width} pixels of {channels} channels")
     flat = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)
     if channels == 1:
         return np.repeat(flat, 3, axis=2)
@@ -37,6 +39,15 @@ def images(spark, path: str) -> DataFrame:
     return rows.select(F.regexp_extract(origin, r"([^/\\]+?)(?:\.[^./\\]*)?\z", 1).alias("image_id"), origin.alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("n_channels"), "image.data")
 
 
+def several_frames(contents: DataFrame) -> DataFrame:
+    """(path, frames) of the files (path, content) that hold more than one picture."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["path"], "frames": [P.frame_count(bytes(c)) for c in batch["content"]]})
+
+    return contents.select("path", "content").mapInPandas(count, "path string, frames int").filter("frames > 1")
+
+
 def quality(frames: DataFrame, settings: P.Settings, strict: bool = False) -> DataFrame:
     """One quality row for each image."""
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -46,14 +57,14 @@ def quality(frames: DataFrame, settings: P.Settings, strict: bool = False) -> Da
                 if r.height is None or r.height <= 0:
                     if strict:
                         raise ValueError(f"cannot decode {r.image_id}")
-                    out.append((r.image_id, False, None, None, None, None, None, None))
+                    out.append((r.image_id, False, None, None, None, None, None, 0, "read_error"))
                     continue
                 rgb = decoded(int(r.height), int(r.width), int(r.n_channels), r.data)
                 ground = P.background(rgb, settings)
                 mask = P.tissue_mask(rgb, ground, settings)
                 eligible = sum(f > 0 and f >= settings.min_tissue for *_, f in P.tile_fractions(mask, settings))
-                out.append((r.image_id, True, int(r.width), int(r.height), [float(v) for v in ground], float(mask.mean()), P.focus(rgb), int(eligible)))
-            yield pd.DataFrame(out, columns=["image_id", "decode_ok", "width", "height", "background_reference_rgb", "tissue_fraction", "focus_score", "tiles_eligible"])
+                out.append((r.image_id, True, int(r.width), int(r.height), [float(v) for v in ground], float(mask.mean()), P.focus(rgb), int(eligible), "ok"))
+            yield pd.DataFrame(out, columns=["image_id", "decode_ok", "width", "height", "background_reference_rgb", "tissue_fraction", "focus_score", "tiles_eligible", "status"])
 
     return frames.select("image_id", "height", "width", "n_channels", "data").mapInPandas(work, QC_SCHEMA)
 

@@ -185,7 +185,9 @@ def process(spark: SparkSession, folder: str, out: str, settings: P.Settings | N
     """
     settings = settings or P.Settings()
     listed = files.image_files(spark, folder)
-    digests = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.sha2("content", 256).alias("sha256"))
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    digests = whole.select("path", F.sha2("content", 256).alias("sha256"))
+    V.require_none(imaging.several_frames(whole), F.lit(True), "files with several pictures", "path")
     facts = listed.join(digests, "path").select(F.col("stem").alias("image_id"), "sha256")
     V.require_unique(facts, ["image_id"], "images")
     config = settings_id(vars(settings))

@@ -178,6 +178,40 @@ def agg24_tiles(spark, sf_dir):
     return ci.select("model_name", "magnification", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "draws")
 
 
+#: Fold whose patients choose the threshold of a run; the others test it.
+VALIDATION = 0
+_POOLED = f"(SELECT model_name, magnification, fold = {VALIDATION} AS chooses, p.patient_id, l.y_true, round(avg(p.y_prob), 9) AS y_prob FROM {PRED} p JOIN (SELECT patient_id, max(patient_label) AS y_true FROM {PRED} GROUP BY 1) l USING (patient_id) WHERE fold IS NOT NULL GROUP BY ALL)"
+
+
+def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per model and magnification: the threshold with the best F1 on the validation fold, frozen with its digest, and the test folds judged by it."""
+    rows = predictions(spark, sf_dir).filter("fold IS NOT NULL").withColumn("chooses", F.col("fold") == VALIDATION)
+    run = ["model_name", "magnification"]
+    pooled = M.mean_pool(rows, [*run, "chooses", "patient_id"]).join(M.patient_labels(predictions(spark, sf_dir)), "patient_id")
+    best = M.best_threshold(M.threshold_grid(pooled.filter("chooses"), run, "y_true", "y_prob"), run, "f1")
+    frozen = best.select(*run, "threshold", F.round("f1", 6).alias("validation_f1"), F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in run], F.round(F.col("threshold") * 100).cast("int").cast("string")), 256).alias("frozen_sha256"))
+    test = pooled.filter("NOT chooses")
+    judged = M.rates(test.join(F.broadcast(frozen), run).groupBy(*run).agg(*M.confusion("y_true", F.col("y_prob") >= F.col("threshold"))))
+    auc = M.auc(test, run, "y_true", "y_prob").select(*run, F.round("auc", 6).alias("test_auc"))
+    return frozen.join(judged, run).join(auc, run).select(*run, F.round("threshold", 2).alias("threshold"), "validation_f1", "frozen_sha256", "tp", "tn", "fp", "fn", F.round("sensitivity", 6).alias("test_sensitivity"), F.round("specificity", 6).alias("test_specificity"), "test_auc")
+
+
+@query("ml05_run_report", f"""
+WITH g AS (SELECT model_name, magnification, t.i, count(*) FILTER (y_prob >= t.i * 0.01e0 AND y_true = 1) AS tp, count(*) FILTER (y_prob >= t.i * 0.01e0 AND y_true = 0) AS fp, count(*) FILTER (y_prob < t.i * 0.01e0 AND y_true = 1) AS fn
+  FROM {_POOLED}, range(101) t(i) WHERE chooses GROUP BY 1, 2, 3),
+f AS (SELECT *, round(2 * p * s / greatest(1e-8, p + s), 12) AS f1 FROM (SELECT *, tp / greatest(1, tp + fp) AS p, tp / greatest(1, tp + fn) AS s FROM g)),
+b AS (SELECT model_name, magnification, i, f1 FROM f QUALIFY row_number() OVER (PARTITION BY model_name, magnification ORDER BY f1 DESC, abs(i - 50), i) = 1),
+t AS (SELECT * FROM {_POOLED} WHERE NOT chooses),
+k AS (SELECT model_name, magnification, count(*) FILTER (y_prob >= i * 0.01e0 AND y_true = 1) AS tp, count(*) FILTER (y_prob < i * 0.01e0 AND y_true = 0) AS tn, count(*) FILTER (y_prob >= i * 0.01e0 AND y_true = 0) AS fp, count(*) FILTER (y_prob < i * 0.01e0 AND y_true = 1) AS fn
+  FROM t JOIN b USING (model_name, magnification) GROUP BY 1, 2),
+r AS (SELECT *, (count(*) OVER (PARTITION BY model_name, magnification ORDER BY y_prob RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + count(*) OVER (PARTITION BY model_name, magnification ORDER BY y_prob RANGE UNBOUNDED PRECEDING EXCLUDE GROUP) + 1) / 2 AS place FROM t),
+a AS (SELECT model_name, magnification, round((sum(place) FILTER (y_true = 1) - count(*) FILTER (y_true = 1) * (count(*) FILTER (y_true = 1) + 1) / 2) / (count(*) FILTER (y_true = 1) * count(*) FILTER (y_true = 0)), 6) AS test_auc FROM r GROUP BY 1, 2)
+SELECT model_name, magnification, round(i * 0.01e0, 2) AS threshold, round(f1, 6) AS validation_f1, sha256(model_name || '|' || magnification || '|' || i) AS frozen_sha256, tp, tn, fp, fn,
+round(tp / greatest(1, tp + fn), 6) AS test_sensitivity, round(tn / greatest(1, tn + fp), 6) AS test_specificity, test_auc FROM b JOIN k USING (model_name, magnification) JOIN a USING (model_name, magnification)""")
+def ml05(spark, sf_dir):
+    return run_report(spark, sf_dir)
+
+
 @query("agg30_seed_ensemble", f"""
 WITH m AS (SELECT model_name, patient_id, round(avg(y_prob), 9) AS y_prob FROM {PRED} GROUP BY 1, 2)
 SELECT patient_id, round(avg(y_prob), 6) AS y_prob, count(*) AS n_models FROM m GROUP BY 1""")

@@ -1,4 +1,4 @@
-"""Queries of tile grids, eligibility, caps, review reasons and small pixel arrays."""
+"""Queries of tile grids, eligibility, caps and review reasons."""
 
 from __future__ import annotations
 
@@ -90,49 +90,3 @@ def agg32(spark, sf_dir):
 @query("flt19_output_checks", """SELECT count(*) FILTER (tiles_written > tiles_eligible) AS more_written, count(*) FILTER (decode_ok AND (width <= 0 OR height <= 0)) AS bad_geometry, count(*) FILTER (NOT regexp_full_match(lower(source_sha256), '[0-9a-f]{64}')) AS bad_digest, count(*) FILTER (status = 'pass' AND len(reasons) > 0) AS pass_with_reasons FROM processing""")
 def flt19(spark, sf_dir):
     return read(spark, sf_dir, "processing").agg(F.count_if(F.col("tiles_written") > F.col("tiles_eligible")).alias("more_written"), F.count_if(F.col("decode_ok") & ((F.col("width") <= 0) | (F.col("height") <= 0))).alias("bad_geometry"), F.count_if(~F.lower("source_sha256").rlike(r"\A[0-9a-f]{64}\z")).alias("bad_digest"), F.count_if((F.col("status") == "pass") & (F.size("reasons") > 0)).alias("pass_with_reasons"))
-
-
-@query("img16_array_brightness", "SELECT vec_id, round(list_avg(embedding::DOUBLE[]), 6) AS mean, round(list_stddev_pop(embedding::DOUBLE[]), 6) AS std FROM embeddings")
-def img16(spark, sf_dir):
-    """Mean and population deviation of each 8 x 8 array, by folds on the JVM."""
-    a = F.transform("embedding", lambda v: v.cast("double"))
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", a.alias("a"))
-    mean = F.aggregate("a", F.lit(0.0), lambda s, v: s + v) / F.size("a")
-    rows = rows.withColumn("mean", mean)
-    var = F.aggregate("a", F.lit(0.0), lambda s, v: s + (v - F.col("mean")) * (v - F.col("mean"))) / F.size("a")
-    return rows.select("vec_id", F.round("mean", 6).alias("mean"), F.round(F.sqrt(var), 6).alias("std"))
-
-
-@query("img13_array_stretch", """WITH q AS (SELECT vec_id, embedding::DOUBLE[] AS a, list_aggregate(embedding::DOUBLE[], 'quantile_cont', 0.01) AS lo, list_aggregate(embedding::DOUBLE[], 'quantile_cont', 0.99) AS hi FROM embeddings)
-SELECT vec_id, list_transform(a, lambda v: CAST(trunc(greatest(0, least(1, (v - lo) / (hi - lo))) * 255) AS INT)) AS stretched FROM q WHERE hi - lo >= 1e-6""")
-def img13(spark, sf_dir):
-    """Percentile stretch of each array to 0..255."""
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("a"))
-    ordered = rows.withColumn("s", F.sort_array("a"))
-
-    def quantile(p: float):
-        place = (F.size("s") - 1) * F.lit(p)
-        low, high = F.element_at("s", F.floor(place).cast("int") + 1), F.element_at("s", F.ceil(place).cast("int") + 1)
-        return low + (high - low) * (place - F.floor(place))
-
-    ends = ordered.withColumn("lo", quantile(0.01)).withColumn("hi", quantile(0.99)).filter("hi - lo >= 1e-6")
-    return ends.select("vec_id", F.transform("a", lambda v: (F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - F.col("lo")) / (F.col("hi") - F.col("lo")))) * 255).cast("int")).alias("stretched"))
-
-
-@query("img05_array_focus", """WITH a AS (SELECT vec_id, embedding::DOUBLE[] AS a FROM embeddings), c AS (SELECT vec_id, a, unnest(range(64)) AS i FROM a),
-l AS (SELECT vec_id, a[greatest(0, i // 8 - 1) * 8 + i % 8 + 1] + a[least(7, i // 8 + 1) * 8 + i % 8 + 1] + a[i // 8 * 8 + greatest(0, i % 8 - 1) + 1] + a[i // 8 * 8 + least(7, i % 8 + 1) + 1] - 4 * a[i + 1] AS v FROM c)
-SELECT vec_id, round(var_pop(v), 6) AS focus FROM l GROUP BY 1""")
-def img05(spark, sf_dir):
-    """Variance of the Laplacian of each 8 x 8 array with replicated borders, without leaving the JVM."""
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("a"))
-
-    def at(r, c):
-        return F.element_at("a", (F.greatest(F.lit(0), F.least(F.lit(7), r)) * 8 + F.greatest(F.lit(0), F.least(F.lit(7), c)) + 1).cast("int"))
-
-    def lap(i):
-        r, c = F.floor(i / 8).cast("int"), i % 8
-        return at(r - 1, c) + at(r + 1, c) + at(r, c - 1) + at(r, c + 1) - 4 * at(r, c)
-
-    values = rows.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(63)), lap).alias("l"))
-    values = values.withColumn("m", F.aggregate("l", F.lit(0.0), lambda s, v: s + v) / 64)
-    return values.select("vec_id", F.round(F.aggregate("l", F.lit(0.0), lambda s, v: s + (v - F.col("m")) * (v - F.col("m"))) / 64, 6).alias("focus"))

@@ -32,6 +32,11 @@ def read_strings(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names])
 
 
+def read_inferred(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV table with types found in its values; blanks are null."""
+    return spark.read.option("header", True).option("inferSchema", True).option("multiLine", True).option("escape", '"').csv(path)
+
+
 def read_typed(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """A CSV table with a declared schema; a value that does not fit is an error."""
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)

@@ -11,6 +11,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
+from tessella.sources import shared
+
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 _PACKAGE = "{http://schemas.openxmlformats.org/package/2006/relationships}Relationship"
@@ -30,11 +32,11 @@ def _text(node: ET.Element | None) -> str:
 
 def sheet_rows(path: str) -> Iterator[list[str]]:
     """The rows of the first sheet; absent cells are '' and booleans TRUE or FALSE."""
-    with zipfile.ZipFile(path) as book:
+    with shared.seekable(path) as file, zipfile.ZipFile(file) as book:
         names = set(book.namelist())
-        shared = []
+        words = []
         if "xl/sharedStrings.xml" in names:
-            shared = [_text(item) for item in ET.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
+            words = [_text(item) for item in ET.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
         first = next(ET.fromstring(book.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"))
         links = {r.get("Id"): r.get("Target") for r in ET.fromstring(book.read("xl/_rels/workbook.xml.rels")).iter(_PACKAGE)}
         target = links[first.get(_REL)].lstrip("/")
@@ -48,7 +50,7 @@ def sheet_rows(path: str) -> Iterator[list[str]]:
                     kind, value = cell.get("t"), cell.find(f"{_MAIN}v")
                     raw = "" if value is None else value.text or ""
                     if kind == "s":
-                        raw = shared[int(raw)] if raw else ""
+                        raw = words[int(raw)] if raw else ""
                     elif kind == "inlineStr":
                         raw = _text(cell.find(f"{_MAIN}is"))
                     elif kind == "b":

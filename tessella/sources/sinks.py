@@ -5,7 +5,8 @@ from __future__ import annotations
 import io
 import json
 import tarfile
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 
 import pandas as pd
@@ -45,6 +46,27 @@ def tar_bytes(members: list[tuple[str, bytes]]) -> bytes:
     return stream.getvalue()
 
 
+def put_tar(location: str, members: Iterable[tuple[str, bytes]]) -> str:
+    """Stream members into an archive that appears whole or not at all; returns its SHA-256."""
+    with shared.Draft(location) as draft:
+        with tarfile.open(fileobj=draft, mode="w", format=tarfile.PAX_FORMAT) as archive:
+            for name, content in members:
+                _add(archive, name, content)
+                archive.members.clear()  # else it remembers every header
+        return draft.publish()
+
+
+def put_zip(location: str, members: Iterable[tuple[str, bytes]]) -> str:
+    """A ZIP file whose bytes depend on names and contents only; returns its SHA-256."""
+    stream = io.BytesIO()
+    with zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED) as archive:
+        for name, content in sorted(members):
+            info = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
+            info.compress_type, info.external_attr = zipfile.ZIP_DEFLATED, 0o644 << 16
+            archive.writestr(info, content)
+    return shared.put(location, [stream.getvalue()])
+
+
 def _streamed(batches: Iterator[pd.DataFrame], folder: str) -> Iterator[pd.DataFrame]:
     """Write rows sorted by (shard_id, place) into one archive a shard, member by member."""
     rows = (r for batch in batches for r in batch[["shard_id", "member", "content"]].itertuples(index=False))

@@ -1,8 +1,10 @@
+import struct
+
 import numpy as np
 import pytest
 
 from tessella.functions import pixels as P
-from tessella.operators.imaging import images, quality, tile_ids, tiles
+from tessella.operators.imaging import decoded, images, quality, several_frames, tile_ids, tiles
 from pyspark.sql import functions as F
 
 TISSUE = (130, 65, 105)
@@ -92,3 +94,72 @@ def test_older_kernels():
 def test_settings_are_checked(wrong):
     with pytest.raises(ValueError):
         P.Settings(**wrong)
+
+
+def test_png_round_trip_and_damage():
+    rgb = np.random.default_rng(4).integers(0, 256, (7, 5, 3), dtype=np.uint8)
+    data = P.encode_png(rgb)
+    assert (P.decode_png(data) == rgb).all() and P.frame_count(data) == 1
+    with pytest.raises(ValueError, match="damaged"):
+        P.decode_png(data[:40] + bytes([data[40] ^ 1]) + data[41:])
+
+
+def tiff(frames, order="<"):
+    out, place = (b"II*\0" if order == "<" else b"MM\0*"), 8
+    out += struct.pack(order + "I", 8)
+    for i in range(frames):
+        size = 2 + 12 + 4
+        out += struct.pack(order + "HHHII", 1, 256, 4, 1, 5) + struct.pack(order + "I", place + size if i < frames - 1 else 0)
+        place += size
+    return out
+
+
+def test_pictures_of_a_file_are_counted():
+    assert [P.frame_count(tiff(n, o)) for n in (1, 2, 5) for o in "<>"] == [1, 1, 2, 2, 5, 5]
+    looped = tiff(2)[:-4] + struct.pack("<I", 8)
+    assert P.frame_count(looped) == 2 and P.frame_count(b"") == P.frame_count(b"GIF89a") == P.frame_count(tiff(2)[:12]) == 1
+    png = P.encode_png(solid(2, 2, TISSUE))
+    moving = png[:33] + struct.pack(">I4sIII", 8, b"acTL", 3, 0, 0) + png[33:]
+    assert P.frame_count(moving) == 3
+
+
+def test_resizing_keeps_flat_fields_and_ramps():
+    assert (P.resize_bilinear(solid(5, 3, TISSUE), 9, 4) == TISSUE).all()
+    ramp = np.repeat(np.arange(0, 250, 10, dtype=np.uint8)[None, :, None], 3, axis=2).repeat(2, axis=0)
+    assert (P.resize_bilinear(ramp, 2, 25) == ramp).all()
+    double = P.resize_bilinear(ramp, 2, 50)[0, :, 0].astype(int)
+    assert (np.diff(double) >= 0).all() and double[1] == 2 and double[2] == 8
+
+
+def test_lab_goes_there_and_back():
+    rgb = np.random.default_rng(5).integers(0, 256, (20, 20, 3), dtype=np.uint8)
+    lab = P.to_lab(rgb)
+    assert np.abs(P.from_lab(lab).astype(int) - rgb).max() <= 1
+    assert np.allclose(P.to_lab(np.array([[[255, 255, 255], [0, 0, 0]]], dtype=np.uint8)), [[[100, 0, 0], [0, 0, 0]]], atol=0.02)
+    dull = np.clip(rgb // 8 + 100, 0, 255).astype(np.uint8)
+    out = P.equalise_lightness(dull, clip=40.0, grid=2)
+    assert out.shape == dull.shape and P.to_lab(out)[..., 0].std() > P.to_lab(dull)[..., 0].std()
+
+
+def test_turned_and_normalised():
+    rgb = np.arange(24, dtype=np.uint8).reshape(2, 4, 3)
+    assert (P.turned(rgb) == rgb).all() and (P.turned(rgb, turns=4) == rgb).all() and P.turned(rgb, turns=1).shape == (4, 2, 3)
+    assert (P.turned(rgb, mirror=True, flip=True) == P.turned(rgb, turns=2)).all()
+    assert P.normalised(rgb).shape == (3, 2, 4) and P.normalised(rgb)[0, 0, 0] == pytest.approx(-0.485 / 0.229)
+
+
+def test_odd_geometry_is_refused_and_unreadable_files_have_a_status(spark, tmp_path):
+    for height, width, channels, size in ((2, 2, 3, 11), (2, 2, 2, 8), (0, 2, 3, 0)):
+        with pytest.raises(ValueError, match="bytes for"):
+            decoded(height, width, channels, bytes(size))
+    save(tmp_path / "i", "a.png", solid(5, 3, TISSUE))
+    (tmp_path / "i" / "bad.png").write_bytes(b"no")
+    got = {r.image_id: (r.status, r.tiles_eligible) for r in quality(images(spark, str(tmp_path / "i")), P.Settings(tile_size=4, stride=4)).collect()}
+    assert got == {"a": ("ok", 2), "bad": ("read_error", 0)}
+
+
+def test_files_with_several_pictures_are_named(spark, tmp_path):
+    (tmp_path / "a.tif").write_bytes(tiff(3))
+    (tmp_path / "b.tif").write_bytes(tiff(1))
+    rows = several_frames(spark.read.format("binaryFile").load(str(tmp_path))).collect()
+    assert [(r.path.rpartition("/")[2], r.frames) for r in rows] == [("a.tif", 3)]
