@@ -252,10 +252,10 @@ def turned(rgb: np.ndarray, mirror: bool = False, flip: bool = False, turns: int
 CHANNEL_MEAN, CHANNEL_DEVIATION = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 
 
-def normalised(rgb: np.ndarray) -> np.ndarray:
+def normalised(rgb: np.ndarray, kind: type = np.float32) -> np.ndarray:
     """Channels first, scaled to 0..1, less the mean, by the deviation."""
-    scaled = np.moveaxis(rgb, -1, 0).astype(np.float32) / np.float32(255)
-    return (scaled - np.array(CHANNEL_MEAN, dtype=np.float32)[:, None, None]) / np.array(CHANNEL_DEVIATION, dtype=np.float32)[:, None, None]
+    scaled = np.moveaxis(rgb, -1, 0).astype(kind) / kind(255)
+    return (scaled - np.array(CHANNEL_MEAN, dtype=kind)[:, None, None]) / np.array(CHANNEL_DEVIATION, dtype=kind)[:, None, None]
 
 
 def resize_bilinear(rgb: np.ndarray, height: int, width: int) -> np.ndarray:

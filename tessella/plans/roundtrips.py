@@ -412,7 +412,7 @@ def img17(spark, sf_dir):
 @query("img18_normalised", f"WITH {_PIXELS} SELECT vec_id, round((avg(r) / 255 - 0.485) / 0.229, 4) AS red, round((avg(g) / 255 - 0.456) / 0.224, 4) AS green, round((avg(b) / 255 - 0.406) / 0.225, 4) AS blue FROM px GROUP BY 1")
 def img18(spark, sf_dir):
     """The mean of each channel, channels being first."""
-    got = _kernel(pictures(spark, sf_dir), lambda a: tuple(float(v) for v in P.normalised(a).astype(np.float64).mean(axis=(1, 2))), "red double, green double, blue double")
+    got = _kernel(pictures(spark, sf_dir), lambda a: tuple(float(v) for v in P.normalised(a, np.float64).mean(axis=(1, 2))), "red double, green double, blue double")
     return got.select("vec_id", *[F.round(c, 4).alias(c) for c in ("red", "green", "blue")])
 
 
