@@ -76,7 +76,7 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = joined(shared_folder(spark), f"regrouped-{uuid.uuid4().hex}")
     placed = frozen.join(bins.select("file_kind", "file_key", "new_file"), ["file_kind", "file_key"])
     placed.repartition("new_file").sortWithinPartitions("new_file", "file_key", "record").write.partitionBy("new_file").parquet(folder)
-    written = spark.read.schema(frozen.schema).parquet(folder)
+    written = spark.read.schema(frozen.schema).parquet(folder).select(*frozen.columns)
 
     def sums(rows: DataFrame, side: str) -> DataFrame:
         totals = rows.groupBy("file_kind").agg(F.sum("record_bytes").alias(f"bytes_{side}"), F.countDistinct("file_key").alias(f"n_{side}"))
