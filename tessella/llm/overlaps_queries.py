@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.identifiers import tidy_lower, tidy_upper
-from tessella.llm.suffixes import coverage, digest_of, digest_suffixes, near_digests, shared_spans
+from tessella.llm.suffixes import coverage, digest_of, near_digests, shared_spans, turned_digests
 from tessella.plans.registry import Registry
 from tessella.session import cut_lineage, read
 
@@ -25,7 +25,7 @@ def patient_splits(rows: DataFrame) -> DataFrame:
 
 def _digest(column: str) -> Column:
     digest = tidy_lower(column)
-    return F.when(~digest.rlike(r"\A0+\z"), digest)
+    return F.when(F.ltrim(digest, F.lit("0")) != "", digest)
 
 
 def image_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,23 +41,25 @@ _HEX = r"\A[0-9a-f]{32}\z"
 
 
 def image_suffixes(facts: DataFrame) -> DataFrame:
-    """(place, suffix, left, id, least, role) of all that tells images to be alike.
+    """(place, suffix, left, id, least, role) of all that tells images to be alike, in one pass over them.
 
     Thumbnail digests give a suffix at each place where a common span may start. Of
     other texts only the whole counts: digests of the bytes, the ids of images (role
     `own`) and the ids that an image lists (role `list`), thumbnails that are no digests.
     """
-    thumbs = digest_suffixes(facts.filter(F.col("thumb").rlike(_HEX)).select(F.col("image").alias("id"), "left", F.col("thumb").alias("text")), BITS)
-    def entry(place: int, text: Column, role: str = "own") -> Column:
-        return F.struct(F.lit(place).alias("place"), text.alias("text"), F.lit(role).alias("role"))
+    def entry(place: int, suffix: Column, least: Column | None = None, role: str = "own") -> Column:
+        return F.struct(F.lit(place).alias("place"), suffix.alias("suffix"), (F.length(suffix) if least is None else least).alias("least"), F.lit(role).alias("role"))
 
-    listed = F.array_distinct(F.coalesce("others", F.array().cast("array<string>")))
-    odd = F.when(~F.col("thumb").rlike(_HEX), F.col("thumb"))
-    whole = F.concat(F.array(entry(SHA, F.col("sha")), entry(NAMED, F.col("image")), entry(ODD_THUMB, odd)), F.transform(listed, lambda x: entry(NAMED, tidy_upper(x), "list")))
-    rows = facts.select("image", "left", F.explode(whole).alias("t")).filter("t.text IS NOT NULL")
-    coded = F.when((F.col("t.place") == SHA) & F.col("t.text").rlike(r"\A[0-9a-f]{64}\z"), F.unhex("t.text")).otherwise(F.col("t.text").cast("binary"))
-    texts = rows.select("t.place", coded.alias("suffix"), "left", F.col("image").alias("id"), F.length(coded).alias("least"), "t.role")
-    return thumbs.withColumn("role", F.lit("own")).unionByName(texts)
+    coded = facts.withColumn("__thumb", F.when(F.length("thumb") == 32, F.unhex("thumb"))).withColumn("__sha", F.coalesce(F.when(F.length("sha") == 64, F.unhex("sha")), F.col("sha").cast("binary")))
+    coded = coded.withColumn("__odd", F.when(F.col("__thumb").isNull(), F.col("thumb").cast("binary")))
+    own = F.array(
+        *[entry(place, suffix, F.lit(32 // (BITS + 1) // 2)) for place, suffix in turned_digests(F.col("__thumb"), BITS)],
+        entry(SHA, F.col("__sha")), entry(NAMED, F.col("image").cast("binary")), entry(ODD_THUMB, F.col("__odd")),
+    )
+    listed = F.transform(F.array_distinct("others"), lambda x: entry(NAMED, tidy_upper(x).cast("binary"), role="list"))
+    entries = F.when(F.size("others") > 0, F.concat(own, listed)).otherwise(own)
+    rows = coded.select("left", F.col("image").alias("id"), F.explode(entries).alias("t")).filter("t.suffix IS NOT NULL")
+    return rows.select("t.place", "t.suffix", "left", "id", "t.least", "t.role")
 
 
 def links(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -66,7 +68,9 @@ def links(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     Both come from the suffixes that have a long enough prefix in common with the other
     side. Copies are one value, so a value of many images is no more than one link.
     """
-    spans = cut_lineage(shared_spans(image_suffixes(facts)))
+    lists = F.coalesce(F.size("others"), F.lit(0))
+    most = facts.agg(F.sum(F.greatest(lists, F.lit(0)) + BITS + 4)).first()[0] or 0
+    spans = cut_lineage(shared_spans(image_suffixes(facts), n=most))
     near = near_digests(spans.filter(F.col("place") <= BITS), BITS)
     place = F.col("place")
     reason = F.when(place == SHA, "sha").when(place == NAMED, "list").otherwise("thumb")

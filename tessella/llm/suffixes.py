@@ -48,14 +48,15 @@ def suffixes(records: DataFrame, span: int, step: int = 1, reach: int = 64, alig
     return cut.select((F.col("start") if aligned else F.lit(0)).alias("place"), F.expr(f"substring(text, start, {reach})").alias("suffix"), "left", "id", "start", F.lit(span).alias("least"))
 
 
-def suffix_array(rows: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+def suffix_array(rows: DataFrame, part_rows: int = PART_ROWS, n: int | None = None) -> DataFrame:
     """`rows` (place, suffix, left, id, ...) sorted over partitions, with the partition's number as `part`.
 
-    They are written to the checkpoint folder, since they are read twice.
+    They are written to the checkpoint folder, since they are read twice. `n` is an upper
+    bound of their number, where one is known without counting them.
     """
     spark = rows.sparkSession
     fewest = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = rows.count()
+    n = rows.count() if n is None else n
     parts = max(1, -(-n // part_rows), min(fewest, -(-n // 20_000)))
     order = ["place", "suffix", "left", "id"]
     return cut_lineage(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
@@ -137,13 +138,13 @@ def _shared_in_part(batches: Iterator[pa.RecordBatch], ends: dict[int, list]) ->
         yield from out.combine_chunks().to_batches()
 
 
-def shared_spans(rows: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+def shared_spans(rows: DataFrame, part_rows: int = PART_ROWS, n: int | None = None) -> DataFrame:
     """The rows of a suffix array that share at least `least` bytes with one of the other side, with `shared`.
 
     `rows` has (place, suffix, left, id, least, ...); all columns but the helper `part`
     come out again.
     """
-    array = suffix_array(rows, part_rows)
+    array = suffix_array(rows, part_rows, n)
     ends = array.sparkSession.sparkContext.broadcast(_ends(array))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in array.schema if f.name != "part") + ", shared int"
     return array.mapInArrow(lambda batches: _shared_in_part(batches, ends.value), schema)
@@ -184,8 +185,8 @@ def differing_bits(a: Column, b: Column, digits: int = 32) -> Column:
     return reduce(lambda x, y: x + y, [F.bit_count(x.bitwiseXOR(y)) for x, y in parts])
 
 
-def digest_suffixes(records: DataFrame, bits: int, digits: int = 32) -> DataFrame:
-    """(place, suffix, left, id, least) of `records` (id, left, text), text being a digest of `digits` hexadecimal digits.
+def turned_digests(digest: Column, bits: int, digits: int = 32) -> list[tuple[int, Column]]:
+    """(place, suffix) of a digest in bytes at each place where two digests may agree.
 
     Of bits + 1 equal segments of two digests that differ in up to `bits` bits one is the
     same in both, so they share a span of digits / (bits + 1) at the same place. A
@@ -194,9 +195,14 @@ def digest_suffixes(records: DataFrame, bits: int, digits: int = 32) -> DataFram
     width = digits // (bits + 1) // 2
     if width < 1 or width * 2 * (bits + 1) != digits:
         raise ValueError("digits must be a multiple of 2 * (bits + 1)")
-    cut = records.select("id", "left", F.unhex("text").alias("text")).select("*", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("place"))
-    turned = F.concat(F.expr(f"substring(text, place * {width} + 1)"), F.expr(f"substring(text, 1, place * {width})"))
-    return cut.select("place", turned.alias("suffix"), "left", "id", F.lit(width).alias("least"))
+    return [(place, F.concat(digest.substr(place * width + 1, digits), digest.substr(1, place * width)) if place else digest) for place in range(bits + 1)]
+
+
+def digest_suffixes(records: DataFrame, bits: int, digits: int = 32) -> DataFrame:
+    """(place, suffix, left, id, least) of `records` (id, left, text), text being a digest of `digits` hexadecimal digits."""
+    coded = records.select("id", "left", F.unhex("text").alias("text"))
+    entries = F.array(*[F.struct(F.lit(place).alias("place"), suffix.alias("suffix")) for place, suffix in turned_digests(F.col("text"), bits, digits)])
+    return coded.select("id", "left", F.explode(entries).alias("t")).select("t.place", "t.suffix", "left", "id", F.lit(digits // (bits + 1) // 2).alias("least"))
 
 
 def digest_of(place: Column, suffix: Column, bits: int, digits: int = 32) -> Column:
