@@ -194,19 +194,23 @@ def fair_level(counts: list[tuple[int, int]], sample: int, per_source: int) -> i
     return low
 
 
-def sampled(texts: DataFrame, sample: int, per_source: int, seed: int) -> DataFrame:
+def sampled(texts: DataFrame, sample: int, per_source: int, seed: int, columns: list | None = None) -> DataFrame:
     """Up to `sample` texts, up to `per_source` of a source and as many of each as of any other; those with the least hashes.
 
     Counts of all sources tell which hashes can be among the least, with a margin of six
-    deviations, so only texts near the sample are ranked, and none is moved before.
+    deviations. Only texts near the sample get the `columns` (by default all of `texts`)
+    and are ranked; none is moved before.
     """
     counts = cut_lineage(texts.groupBy("source").agg(F.count("*").alias("of_source")))
     spread = counts.groupBy("of_source").agg(F.count("*").alias("k"))
     level = fair_level([(r.of_source, r.k) for r in spread.collect()], sample, per_source)
-    counts = F.broadcast(counts) if counts.count() <= BROADCAST_LIMITS else counts
-    key = F.xxhash64("id", F.lit(seed))
+    columns = columns or [c for c in texts.columns if c not in ("id", "source")]
+    keyed = texts.withColumn("key", F.xxhash64("id", F.lit(seed)))
+    few = counts.count() <= BROADCAST_LIMITS
+    rows = keyed.join(F.broadcast(counts), "source") if few else keyed.select("id", "source", "key", *columns).join(counts, "source")
     below = F.lit(level + 6 * level**0.5 + 12) / F.col("of_source") * F.lit(2.0**64) - F.lit(2.0**63)
-    near = texts.withColumn("key", key).join(counts, "source").filter(F.col("key").cast("double") <= below).drop("of_source")
+    near = rows.filter(F.col("key").cast("double") <= below)
+    near = near.select("id", "source", "key", *columns) if few else near.drop("of_source")
     ranked = near.withColumn("place", F.row_number().over(W.partitionBy("source").orderBy("key", "id"))).filter(F.col("place") <= per_source)
     return ranked.orderBy("place", "key", "id").limit(sample)
 
@@ -218,7 +222,7 @@ def train(texts: DataFrame, sample: int = SAMPLE, per_source: int = PER_SOURCE,
         place = F.pmod(F.xxhash64("id", F.lit(seed + 1 + turn)), F.greatest(F.length("text") - 1, F.lit(1))).cast("int") + 1
         head = F.col("text").substr(F.lit(1), place)
         cuts.append(F.struct(F.substring(head, F.greatest(place - TAIL, F.lit(0)) + 1, F.lit(TAIL)).alias("head"), F.col("text").substr(place + 1, F.lit(2)).alias("after"), _opened(head).alias("opened")))
-    chosen = sampled(texts.select("id", "source", "tail", "limits", "opened", F.array(*cuts).alias("cuts")), sample, per_source, seed)
+    chosen = sampled(texts, sample, per_source, seed, ["tail", "limits", "opened", F.array(*cuts).alias("cuts")])
     rows = chosen.select("source", "tail", "limits", "opened", "cuts").collect()
     if not rows:
         return np.zeros((1 << BITS) + 1, dtype=np.float32)
