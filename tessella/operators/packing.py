@@ -13,6 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
+
+from tessella.session import cut_lineage
 
 #: Bytes of the closing blocks, and what an archive is padded to (fixed values).
 CLOSING, RECORD = 1024, 10240
@@ -65,6 +68,34 @@ def plan_shards(records: DataFrame, stratum: str, order: list[str], size: str, c
     return sorted_.mapInArrow(lambda b: _folded(b, stratum, size, cap), schema)
 
 
+def numbered(rows: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """`rows` with their places from 0 in the order of some columns, which should be total.
+
+    Rows are shuffled into ranges once and written to the checkpoint folder; a place is
+    the number of rows in the ranges before, of which there are as many as partitions,
+    plus the place in its range. So no task sees more than one range.
+    """
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut_lineage(sorted_.withColumn("__id", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__id", 33))
+    ranges = placed.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bases = ranges.select("__part", before.alias("__base"))
+    place = F.col("__base") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(bases), "__part").withColumn(name, place).drop("__part", "__id", "__base")
+
+
+def exact_medians(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, median): the middle value of each group, or the mean of the two; nulls don't count.
+
+    All values are ordered in ranges, so a group with most of them is in many tasks.
+    """
+    ordered = numbered(rows.select(by, value).filter(F.col(value).isNotNull()), [by, value])
+    ends = ordered.groupBy(F.col(by).alias("__g")).agg(F.min("position").alias("__first"), F.count("*").alias("__n"))
+    middle = ordered.join(ends, F.col(by).eqNullSafe(F.col("__g"))).withColumn("__at", F.col("position") - F.col("__first"))
+    middle = middle.filter((F.col("__at") == F.floor((F.col("__n") - 1) / 2)) | (F.col("__at") == F.ceil((F.col("__n") - 1) / 2)))
+    return middle.groupBy(by).agg(F.avg(value).alias("median"))
+
+
 def prefix_committed(catalog: DataFrame, committed: DataFrame, key: str, position: str) -> DataFrame:
     """(n_committed, reached, is_prefix): whether the committed keys are the first ones of the catalog."""
     done = catalog.join(committed.select(key).distinct(), key, "left_semi")

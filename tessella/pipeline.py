@@ -15,7 +15,7 @@ from tessella.functions import pixels as P
 from tessella.functions import text as X
 from tessella.operators import imaging
 from tessella.operators import validation as V
-from tessella.operators.packing import plan_shards
+from tessella.operators.packing import numbered, plan_shards
 from tessella.operators.splitting import balanced_sample
 from tessella.schemas import CATALOG_IMAGE
 from tessella.sources import archives, files, shared, sinks
@@ -142,7 +142,7 @@ def prepare(spark: SparkSession, metadata: str, sources: list[tuple[str, str, st
     member = X.output_member(F.col("image_id"), F.col("file_name"))
     planned = plan_shards(images.select("image_id", "objective_lens", "case_id", member.alias("member"), X.tar_record_bytes(member, F.col("byte_size")).cast("long").alias("record_bytes")), "objective_lens", ["case_id", "image_id"], "record_bytes", cap)
     groups = planned.select("objective_lens", "shard_no").distinct()
-    names = groups.withColumn("shard_id", F.format_string("shard-%09d", F.row_number().over(W.orderBy("objective_lens", "shard_no")) - 1))
+    names = numbered(groups, ["objective_lens", "shard_no"]).withColumn("shard_id", F.format_string("shard-%09d", "position")).drop("position")
     done = [s["shard_id"] for s in release["shards"]]
     waiting = names.filter(~F.col("shard_id").isin(done)) if done else names
     waiting = waiting if max_shards is None else waiting.orderBy("shard_id").limit(max_shards)

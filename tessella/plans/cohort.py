@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as X
 from tessella.functions.identifiers import tidy_lower, tidy_upper
+from tessella.operators.packing import exact_medians
 from tessella.plans.registry import Registry
 from tessella.session import read
 
@@ -65,10 +66,12 @@ def agg03(spark, sf_dir):
 @query("agg04_qc_by_lens", f"""SELECT lens, count(image_id) AS total_images, count(*) FILTER (pass_qc) AS pass_qc_images, count(*) FILTER (coalesce(error, '') <> '') AS failed_or_unreadable,
 round(avg(tissue_ratio), 6) AS mean_tissue_ratio, round(median(blur), 6) AS median_blur, round(avg(CAST(pass_qc AS INT)), 6) AS pass_rate, round(avg(CAST(pass_qc AS INT)) * 100, 2) AS pass_rate_pct FROM {QC} GROUP BY 1""")
 def agg04(spark, sf_dir):
-    rate = F.avg(F.col("pass_qc").cast("int"))
-    return qc(spark, sf_dir).groupBy("lens").agg(
+    rate, rows = F.avg(F.col("pass_qc").cast("int")), qc(spark, sf_dir)
+    counts = rows.groupBy("lens").agg(
         F.count("image_id").alias("total_images"), F.count_if("pass_qc").alias("pass_qc_images"), F.count_if(F.coalesce("error", F.lit("")) != "").alias("failed_or_unreadable"),
-        F.round(F.avg("tissue_ratio"), 6).alias("mean_tissue_ratio"), F.round(F.median("blur"), 6).alias("median_blur"), F.round(rate, 6).alias("pass_rate"), F.round(rate * 100, 2).alias("pass_rate_pct"))
+        F.round(F.avg("tissue_ratio"), 6).alias("mean_tissue_ratio"), F.round(rate, 6).alias("pass_rate"), F.round(rate * 100, 2).alias("pass_rate_pct"))
+    medians = exact_medians(rows, "lens", "blur").select(F.col("lens").alias("of"), F.round("median", 6).alias("median_blur"))
+    return counts.join(medians, F.col("lens").eqNullSafe(F.col("of")), "left").drop("of")
 
 
 @query("agg05_qc_pass_by_grade", f"SELECT grade, count(image_id) AS images_after_qc FROM {QC} WHERE pass_qc AND grade IS NOT NULL GROUP BY 1")

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from tessella.functions import text as X
 from tessella.functions.identifiers import file_of, tidy_path, tidy_upper
-from tessella.operators.packing import plan_shards, prefix_committed
+from tessella.operators.packing import numbered, plan_shards, prefix_committed
 from tessella.plans.catalog import CURRENT, current
 from tessella.plans.registry import Registry
 from tessella.session import read
@@ -65,16 +65,11 @@ def win10(spark, sf_dir):
 @query("win14_next_numbers", """WITH m AS (SELECT max(CAST(regexp_extract(lower(trim(shard_id)), '(\\d+)$', 1) AS BIGINT)) AS last FROM shards), p AS (SELECT DISTINCT upper(trim(image_id)) AS image_id FROM catalog_images WHERE trim(image_id) <> '' AND upper(trim(image_id)) NOT IN (SELECT upper(trim(image_id)) FROM shards WHERE trim(image_id) <> ''))
 SELECT image_id, printf('shard-%09d', last + row_number() OVER (ORDER BY image_id)) AS shard_id FROM p, m""".replace("\\\\", "\\"))
 def win14(spark, sf_dir):
-    """Numbers for what is not packed yet, going on after the last one.
-
-    A global number is the base of the record's range plus its place there.
-    """
+    """Numbers for what is not packed yet, going on after the last one."""
     waiting = current(spark, sf_dir).select("image_id").join(read(spark, sf_dir, "shards").select(tidy_upper("image_id").alias("image_id")).filter("image_id IS NOT NULL"), "image_id", "left_anti")
     last = read(spark, sf_dir, "shards").agg(F.max(F.regexp_extract(F.trim("shard_id"), r"(\d+)\z", 1).cast("long")).alias("last"))
-    keyed = waiting.withColumn("head", F.substring("image_id", 1, 6))
-    bases = keyed.groupBy("head").count().withColumn("base", F.coalesce(F.sum("count").over(W.orderBy("head").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("head", "base")
-    numbered = keyed.withColumn("k", F.row_number().over(W.partitionBy("head").orderBy("image_id"))).join(bases, "head").crossJoin(F.broadcast(last))
-    return numbered.select("image_id", F.format_string("shard-%09d", F.col("last") + F.col("base") + F.col("k")).alias("shard_id"))
+    placed = numbered(waiting, ["image_id"]).crossJoin(F.broadcast(last))
+    return placed.select("image_id", F.format_string("shard-%09d", F.col("last") + F.col("position") + 1).alias("shard_id"))
 
 
 @query("flt18_release_invariants", f"""WITH t AS (SELECT {_TAR} AS tar, min(lower(trim(shard_id))) AS shard_id, count(DISTINCT lower(trim(shard_id))) AS ids, count(*) - count(DISTINCT member) AS repeats, count(*) FILTER (byte_size IS NULL) AS unknown FROM shards WHERE trim(tar_name) <> '' GROUP BY 1)

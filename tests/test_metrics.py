@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as X
 from tessella.operators import metrics as M
-from tessella.operators.packing import next_fit, plan_shards
+from tessella.operators.packing import exact_medians, next_fit, numbered, plan_shards
 from tessella.operators.splitting import folds, holdout
 
 
@@ -125,3 +125,14 @@ def test_registered_intervals_have_the_draws_of_the_reference(spark):
     for name in ("agg24_bootstrap_auc_ci", "agg24_patient_auc_ci", "agg24_tile_auc_ci"):
         got = REGISTRY.queries[name](spark, "/root/testdata/sf0.01").collect()
         assert got and all(990 <= r.draws <= 1000 and r.low < r.high for r in got)
+
+
+def test_places_and_medians_over_ranges(spark):
+    rng = np.random.default_rng(11)
+    rows = [(g, float(v) if rng.random() < 0.9 else None) for g in (["a"] * 700 + ["b"] * 4 + ["c", None, None]) for v in [round(rng.random() * 50)]]
+    df = spark.createDataFrame(rows, "g string, v double").withColumn("id", F.monotonically_increasing_id()).repartition(7)
+    got = {r.g: r["median"] for r in exact_medians(df, "g", "v").collect()}
+    want = {g: np.median([v for h, v in rows if h == g and v is not None]) for g in {h for h, v in rows if v is not None}}
+    assert got == pytest.approx(want)
+    places = [r.position for r in numbered(df, ["g", "v", "id"]).orderBy("g", "v", "id").collect()]
+    assert places == list(range(len(rows))) and numbered(df.limit(0), ["g"]).count() == 0
