@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -177,11 +179,42 @@ def verify(spark: SparkSession, out: str) -> int:
     return n
 
 
+def _altered(batches: Iterator[pd.DataFrame], folder: str) -> Iterator[pd.DataFrame]:
+    """The archives whose bytes no longer have the digest they were written with."""
+    for batch in batches:
+        found = [shared.digest(p) if shared.exists(p := shared.joined(folder, n)) else None for n in batch["tar_name"]]
+        yield batch.assign(found=found)[["tar_name", "tar_sha256", "found"]]
+
+
+def verify_output(spark: SparkSession, folder: str) -> dict:
+    """Check what `process` published: archives, patches, ids, geometry and counts. Returns its commit."""
+    commit = files.read_object(shared.joined(folder, "commit.json"))
+    at = lambda name: shared.joined(folder, name)
+    written = spark.read.parquet(at("patch_archives"))
+    digests = written.select("tar_name", "tar_sha256").mapInPandas(lambda b: _altered(b, at("patches")), "tar_name string, tar_sha256 string, found string")
+    V.require_none(digests, ~F.col("found").eqNullSafe(F.col("tar_sha256")), "archives that were changed", "tar_name")
+    tiles = spark.read.parquet(at("tiles"))
+    archives.register(spark)
+    members = spark.read.format("tar_members").load(at("patches")).select("member", "sha256")
+    both = tiles.select("patch_member", F.sha2("png", 256).alias("wanted")).join(members, F.col("patch_member") == F.col("member"), "full")
+    V.require_none(both.withColumn("name", F.coalesce("member", "patch_member")), ~F.col("wanted").eqNullSafe(F.col("sha256")), "patches that differ from the tiles", "name")
+    V.require_unique(tiles, ["tile_id"], "tiles")
+    rules = ~F.col("tile_id").rlike(_SHA) | (F.col("patch_member") != F.concat(F.lit("patches/"), "tile_id", F.lit(".png"))) | (F.least("x", "y") < 0) | (F.least("valid_w", "valid_h") < 1) | (F.col("valid_w") > F.col("w")) | (F.col("valid_h") > F.col("h"))
+    V.require_none(tiles, rules, "tiles with wrong ids or geometry", "tile_id")
+    quality = spark.read.parquet(at("quality"))
+    counts = {"images": quality.count(), "tiles": tiles.count(), "members": written.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]}
+    if counts != {"images": commit["images"], "tiles": commit["tiles"], "members": commit["tiles"]}:
+        raise ValueError(f"{folder}: {counts} where the commit has {commit['images']} images and {commit['tiles']} tiles")
+    wrong = quality.join(tiles.groupBy("image_id").agg(F.count("*").alias("n")), "image_id", "left").filter(F.col("tiles_written") != F.coalesce("n", F.lit(0)))
+    V.require_none(wrong, F.lit(True), "images with other numbers of tiles", "image_id")
+    return commit
+
+
 def process(spark: SparkSession, folder: str, out: str, settings: P.Settings | None = None) -> dict:
     """Quality rows, tiles and archives of their PNG patches, published by one rename and a commit file.
 
     The output is named by its settings and the images' digests; when it is there
-    already, it is reused.
+    already, it is verified and reused. One that was changed is an error.
     """
     settings = settings or P.Settings()
     listed = files.image_files(spark, folder)
@@ -195,7 +228,7 @@ def process(spark: SparkSession, folder: str, out: str, settings: P.Settings | N
     name = hashlib.sha256(f"{config}|patches|{total.n}|{total.s}".encode()).hexdigest()[:32]
     final = shared.joined(out, name)
     if shared.exists(shared.joined(final, "commit.json")):
-        return {**files.read_object(shared.joined(final, "commit.json")), "reused": True}
+        return {**verify_output(spark, final), "reused": True}
     staging = shared.joined(out, f".{name}.staging")
     twice = facts.groupBy("sha256").agg(F.sort_array(F.collect_set("image_id")).alias("ids")).filter(F.size("ids") > 1)
     frames = imaging.images(spark, folder)

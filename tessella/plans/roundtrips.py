@@ -372,6 +372,14 @@ def img09(spark, sf_dir):
     return got.select("vec_id", *[F.round(c, 6).alias(c) for c in ("any_lens", "lens_10", "lens_40", "white")])
 
 
+@query("flt08_white_pictures", f"""WITH {_PIXELS}, t AS (SELECT vec_id, avg(CAST(k > 220 AS INT)) AS white, avg(CAST(s > 15.5e0 AND v < 245 AS INT)) AS tissue FROM gr GROUP BY 1)
+SELECT vec_id, CASE WHEN white > 0.995 THEN 'white' WHEN tissue < 0.5 THEN 'little tissue' ELSE 'kept' END AS decision FROM t""")
+def flt08(spark, sf_dir):
+    """Pictures that are white, then those with little tissue, are rejected; by the kernels."""
+    got = _kernel(pictures(spark, sf_dir), lambda a: (P.white_ratio(a), P.hsv_tissue_ratio(a, 40)), "white double, tissue double")
+    return got.select("vec_id", F.when(F.col("white") > 0.995, "white").when(F.col("tissue") < 0.5, "little tissue").otherwise("kept").alias("decision"))
+
+
 def _laplacian(border: str) -> str:
     low, high = {"edge": ("greatest(0, {0} - 1)", "least({1}, {0} + 1)"), "reflect": ("abs({0} - 1)", "{1} - abs({1} - {0} - 1)")}[border]
     up, down = low.format("c.y"), high.format("c.y", HEIGHT - 1)

@@ -1,4 +1,7 @@
 import json
+import shutil
+import struct
+import zlib
 import zipfile
 
 import numpy as np
@@ -96,6 +99,33 @@ def test_processing_is_published_once_and_reused(spark, tmp_path):
     assert len([p for p in (tmp_path / "o").iterdir() if not p.name.startswith(".")]) == 2
 
 
+@pytest.mark.parametrize("harm", ["archive", "missing", "tiles", "quality"])
+def test_tampered_output_is_refused(spark, tmp_path, harm):
+    (tmp_path / "i").mkdir()
+    (tmp_path / "i" / "a.png").write_bytes(P.encode_png(np.full((32, 32, 3), (130, 65, 105), dtype=np.uint8)))
+    s = P.Settings(tile_size=16, stride=16)
+    out = tmp_path / "o" / process(spark, str(tmp_path / "i"), str(tmp_path / "o"), s)["processing_id"]
+    archive = next((out / "patches").glob("*.tar"))
+    if harm == "archive":
+        archive.write_bytes(archive.read_bytes()[:600] + b"x" + archive.read_bytes()[601:])
+    elif harm == "missing":
+        archive.unlink()
+    else:
+        schema = spark.read.parquet(str(out / harm)).schema
+        shutil.rmtree(out / harm)
+        spark.createDataFrame([], schema).write.parquet(str(out / harm))
+    with pytest.raises(Exception, match="changed|differ|commit"):
+        process(spark, str(tmp_path / "i"), str(tmp_path / "o"), s)
+
+
+def test_files_with_several_pictures_are_refused(spark, tmp_path):
+    png = P.encode_png(np.full((8, 8, 3), (130, 65, 105), dtype=np.uint8))
+    (tmp_path / "i").mkdir()
+    (tmp_path / "i" / "a.png").write_bytes(png[:33] + struct.pack(">I4sII", 8, b"acTL", 3, 0) + struct.pack(">I", zlib.crc32(b"acTL" + struct.pack(">II", 3, 0))) + png[33:])
+    with pytest.raises(ValueError, match="several pictures"):
+        process(spark, str(tmp_path / "i"), str(tmp_path / "o"), P.Settings(tile_size=8, stride=8))
+
+
 def test_command_line_answers_and_fails_in_one_line(spark, cohort, capsys):
     args = ["--master", "local[4]", "prepare", "--metadata", str(cohort / "m.csv"), "--images", str(cohort / "images"), "--archives", str(cohort / "zips"), "--out", str(cohort / "cli"), "--max-bytes", "10240"]
     assert main(args) == 0 and json.loads(capsys.readouterr().out.splitlines()[-1])["complete"]
