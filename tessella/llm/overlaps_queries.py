@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.identifiers import tidy_lower, tidy_upper
-from tessella.llm.suffixes import coverage, digest_of, near_digests, shared_spans, turned_digests
+from tessella.llm.suffixes import BROADCAST_KEYS, coverage, digest_of, near_digests, shared_spans, turned_digests
 from tessella.plans.registry import Registry
 from tessella.session import cut_lineage, read
 
@@ -30,7 +30,8 @@ def _digest(column: str) -> Column:
 
 def image_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image, left, split, source, sha, thumb, others): left in train, else in val or test; the rest is out."""
-    splits = patient_splits(read(spark, sf_dir, "patient_level_split")).filter("split IN ('train', 'val', 'test')")
+    splits = cut_lineage(patient_splits(read(spark, sf_dir, "patient_level_split")).filter("split IN ('train', 'val', 'test')"))
+    splits = F.broadcast(splits) if splits.count() <= BROADCAST_KEYS else splits
     rows = read(spark, sf_dir, "processing").select(tidy_upper("image_id").alias("image"), tidy_upper("patient_id").alias("patient"), tidy_lower("source_id").alias("source"), _digest("source_sha256").alias("sha"), _digest("thumb_hash").alias("thumb"), F.col("duplicate_source_image_ids").alias("others"))
     return rows.filter("image IS NOT NULL").join(splits, "patient").select("image", (F.col("split") == "train").alias("left"), "split", "source", "sha", "thumb", "others")
 
