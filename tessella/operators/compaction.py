@@ -18,9 +18,9 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tessella.functions.text import tar_record_bytes
+from tessella.operators.packing import numbered
 from tessella.sources import archives, shared, sinks
 
 #: Tars below this are too small.
@@ -160,7 +160,7 @@ def compact_parquet(spark: SparkSession, source: str, target: str, target_bytes:
             packed = pack_bins(manifest, "kind", "key", "bytes", target_bytes, chunk_files=chunk_files)
             packed.select("key", "bin").write.parquet(f"{staging}/_bins")
             bins = spark.read.parquet(f"{staging}/_bins")
-            numbers = bins.select("bin").distinct().withColumn("number", F.row_number().over(W.orderBy("bin")) - 1)
+            numbers = numbered(bins.select("bin").distinct(), ["bin"], "number")
             n_bins = numbers.count()
             placed = bins.join(numbers, "bin").select(F.col("key").alias("__file"), F.col("number").alias("__bin"))
             rows = spark.read.option("recursiveFileLookup", True).option("mergeSchema", True).parquet(source)

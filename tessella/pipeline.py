@@ -145,8 +145,8 @@ def prepare(spark: SparkSession, metadata: str, sources: list[tuple[str, str, st
     planned = plan_shards(images.select("image_id", "objective_lens", "case_id", member.alias("member"), X.tar_record_bytes(member, F.col("byte_size")).cast("long").alias("record_bytes")), "objective_lens", ["case_id", "image_id"], "record_bytes", cap)
     groups = planned.select("objective_lens", "shard_no").distinct()
     names = numbered(groups, ["objective_lens", "shard_no"]).withColumn("shard_id", F.format_string("shard-%09d", "position")).drop("position")
-    done = [s["shard_id"] for s in release["shards"]]
-    waiting = names.filter(~F.col("shard_id").isin(done)) if done else names
+    done = spark.createDataFrame([(s["shard_id"],) for s in release["shards"]], "shard_id string")
+    waiting = names.join(done, "shard_id", "left_anti")
     waiting = waiting if max_shards is None else waiting.orderBy("shard_id").limit(max_shards)
     if not waiting.isEmpty():
         place = F.row_number().over(W.partitionBy("shard_id").orderBy("case_id", "image_id"))
