@@ -16,7 +16,7 @@ fewer than N items give all they have. An empty table gives an empty result.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -158,7 +158,7 @@ def _stored(rows: DataFrame) -> str:
     return folder
 
 
-def store_runs(rows: DataFrame, buckets: int, run_rows: int) -> tuple[str, int]:
+def store_runs(rows: DataFrame, buckets: int, run_rows: int | Callable[[int], int]) -> tuple[str, int]:
     """(folder, most runs of a bucket) of `rows` (grp, item, version, score, id), newest versions only.
 
     The shuffle by (bucket, run) serves the choice of versions and the order of the
@@ -197,5 +197,5 @@ def top_n(items: DataFrame, group: Column, item: Column, version: Column, score:
     rows = items.select(group.cast("string").alias("grp"), item.alias("item"), version.alias("version"), (score.cast("double") + F.lit(0.0)).alias("score"), number.cast("long").alias("id"))
     rows = rows.filter("grp IS NOT NULL AND item IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) AND id IS NOT NULL")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    folder, most = store_runs(rows, buckets, max(run_rows, -(-rows.count() // (4 * buckets))))
+    folder, most = store_runs(rows, buckets, lambda total: max(run_rows, -(-total // (4 * buckets))))
     return merge_runs(spark, folder, buckets, most, n, fan_in)
