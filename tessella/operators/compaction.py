@@ -162,7 +162,7 @@ def compact_parquet(spark: SparkSession, source: str, target: str, target_bytes:
             bins = spark.read.parquet(f"{staging}/_bins")
             numbers = numbered(bins.select("bin").distinct(), ["bin"], "number")
             n_bins = numbers.count()
-            placed = bins.join(numbers, "bin").select(F.col("key").alias("__file"), F.col("number").alias("__bin"))
+            placed = bins.join(numbers, "bin").select(F.col("key").alias("__file"), F.col("number").cast("int").alias("__bin"))
             rows = spark.read.option("recursiveFileLookup", True).option("mergeSchema", True).parquet(source)
             named = rows.withColumn("__file", F.col("_metadata.file_path"))
             tagged = named.join(placed, "__file").drop("__file")
