@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from tessella.functions import pixels as P
 from tessella.operators import validation as V
 from tessella.plans.registry import Registry
-from tessella.session import read, shared_folder
+from tessella.session import read, scratch_folder
 from tessella.sources import archives, files, shared, sinks, staging
 from tessella.streaming import commits
 
@@ -27,10 +26,6 @@ REGISTRY = Registry()
 query = REGISTRY.query
 
 
-def _folder(spark: SparkSession, what: str) -> str:
-    return shared.joined(shared_folder(spark), f"{what}-{uuid.uuid4().hex}")
-
-
 # --- tables of text -----------------------------------------------------------------
 
 
@@ -41,7 +36,7 @@ def _one_file(folder: str) -> str:
 @query("src01_csv_strings", "SELECT CAST(row_no AS VARCHAR) AS row_no, coalesce(raw_glade, '') AS raw_glade, coalesce(case_id, '') AS case_id FROM catalog_images")
 def src01(spark, sf_dir):
     """SNK06 and SRC01: every column a string and blanks ''."""
-    folder = _folder(spark, "csv")
+    folder = scratch_folder(spark, "csv")
     sinks.write_csv(read(spark, sf_dir, "catalog_images").select("row_no", "raw_glade", "case_id").coalesce(1), folder)
     return files.read_strings(spark, _one_file(folder)) if shared.listed(folder, ".csv") else files.read_strings(spark, folder)
 
@@ -49,7 +44,7 @@ def src01(spark, sf_dir):
 @query("src02_csv_inferred", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def src02(spark, sf_dir):
     """Types found in the values."""
-    folder = _folder(spark, "csv")
+    folder = scratch_folder(spark, "csv")
     sinks.write_csv(read(spark, sf_dir, "nation"), folder)
     return files.read_inferred(spark, folder)
 
@@ -84,7 +79,7 @@ def _sheet(rows: list[tuple], names: list[str]) -> list[tuple[str, bytes]]:
 def src03(spark, sf_dir):
     """A workbook with shared and inline strings, booleans, numbers and absent cells; image_sources has a fixed size."""
     rows = [(r.s, r.kind, r.closed_at is None, len(r.kind) if r.kind is not None else None) for r in read(spark, sf_dir, "image_sources").select(F.lower(F.trim("source_id")).alias("s"), "kind", "closed_at").collect()]
-    path = _folder(spark, "book") + ".xlsx"
+    path = scratch_folder(spark, "book") + ".xlsx"
     sinks.put_zip(path, _sheet(rows, ["source_id", "kind", "is_open", "size"]))
     return files.read_strings(spark, path)
 
@@ -105,7 +100,7 @@ _MEMBERS = "SELECT printf('images/c%09d.png', c_custkey) AS member, CAST(octet_l
 def src09(spark, sf_dir):
     """SNK01 and SRC09: members of streamed archives, with digests."""
     archives.register(spark)
-    folder = _folder(spark, "tars")
+    folder = scratch_folder(spark, "tars")
     sinks.write_shards(_records(spark, sf_dir), folder).write.parquet(shared.joined(folder, "_written"))
     return spark.read.format("tar_members").load(folder).select("member", "byte_size", "sha256")
 
@@ -113,12 +108,12 @@ def src09(spark, sf_dir):
 @query("snk01_tar_sizes", """SELECT printf('shard-%04d', c_custkey // 512) AS shard_id, count(*) AS members, CAST(ceil((sum(512 + ceil(octet_length(encode(c_name)) / 512) * 512) + 1024) / 10240) * 10240 AS BIGINT) AS tar_bytes FROM customer GROUP BY 1""")
 def snk01(spark, sf_dir):
     """The size of each archive written is the one that can be foretold."""
-    return sinks.write_shards(_records(spark, sf_dir), _folder(spark, "tars")).select("shard_id", "members", "tar_bytes")
+    return sinks.write_shards(_records(spark, sf_dir), scratch_folder(spark, "tars")).select("shard_id", "members", "tar_bytes")
 
 
 def _zipped(spark, sf_dir) -> str:
     """A folder with one ZIP file for each thousand customers."""
-    folder = _folder(spark, "zips")
+    folder = scratch_folder(spark, "zips")
     shared.make_folder(folder)
     rows = _records(spark, sf_dir).withColumn("zip", F.floor(F.col("place") / 1000).cast("int"))
 
@@ -152,7 +147,7 @@ def src08(spark, sf_dir):
 @query("snk02_json_object", "SELECT r_name, CAST(r_regionkey AS INT) AS r_regionkey FROM region")
 def snk02(spark, sf_dir):
     """SNK02 and SRC17: an object that appears whole, read as an object. region has a fixed size."""
-    path = _folder(spark, "object") + ".json"
+    path = scratch_folder(spark, "object") + ".json"
     sinks.atomic_json(path, {r.r_name: r.r_regionkey for r in read(spark, sf_dir, "region").collect()})
     return spark.createDataFrame(list(files.read_object(path).items()), "r_name string, r_regionkey int")
 
@@ -167,7 +162,7 @@ _REGION_SHA = "sha256(string_agg(r_regionkey || ' ' || r_name, chr(10) ORDER BY
 @query("snk03_verified_copy", f"SELECT {_REGION_SHA} AS sha256, true AS refused_other FROM region")
 def snk03(spark, sf_dir):
     """A copy with the right digest, and whether one with another digest is refused."""
-    source, target = _folder(spark, "file"), _folder(spark, "copy")
+    source, target = scratch_folder(spark, "file"), scratch_folder(spark, "copy")
     data = _region_text(spark, sf_dir)
     sinks.verified_copy(source, target, shared.put(source, [data]))
     try:
@@ -181,7 +176,7 @@ def snk03(spark, sf_dir):
 @query("str04_staging_cache", f"SELECT {_REGION_SHA} AS sha256, false AS first_reused, true AS second_reused, false AS damaged_reused, true AS refused_without_space FROM region")
 def str04(spark, sf_dir):
     """Copies are used again only while their bytes have the digest; none is made without space."""
-    archive, cache = _folder(spark, "file") + ".tar", _folder(spark, "cache")
+    archive, cache = scratch_folder(spark, "file") + ".tar", scratch_folder(spark, "cache")
     data = _region_text(spark, sf_dir)
     sha = shared.put(archive, [data])
     copy, first = staging.staged(archive, cache, "r1", sha, len(data))
@@ -201,7 +196,7 @@ def str04(spark, sf_dir):
 @query("src22_built_once", "SELECT false AS first_reused, true AS second_reused, count(*) AS members FROM region")
 def src22(spark, sf_dir):
     """An archive that is built once for a fingerprint and read back. region has a fixed size."""
-    cache = _folder(spark, "cache")
+    cache = scratch_folder(spark, "cache")
     rows = [(f"{r.r_regionkey}.png", r.r_name.encode()) for r in read(spark, sf_dir, "region").collect()]
     fingerprint = commits.settings_id({"regions": len(rows)})
     _, first = staging.built_once(cache, fingerprint, lambda: rows)
@@ -226,7 +221,7 @@ def src20(spark, sf_dir):
         at = int(token or 0)
         return tree[folder][at : at + 3], str(at + 3) if at + 3 < len(tree[folder]) else None
 
-    folder = _folder(spark, "download")
+    folder = scratch_folder(spark, "download")
     listing = list(staging.remote_files(pages, ""))
     first = staging.download(listing, lambda i: [text[i]], folder)
     again = staging.download(listing, lambda i: [text[i]], folder)
@@ -242,7 +237,7 @@ def src20(spark, sf_dir):
 def str02(spark, sf_dir):
     """SNK07, STR01 to STR03: two units at first, then the rest, then nothing new; what is committed can be seen."""
     rows = read(spark, sf_dir, "events").select("event_type", "event_id", "value")
-    data, done = _folder(spark, "data"), _folder(spark, "commits")
+    data, done = scratch_folder(spark, "data"), scratch_folder(spark, "commits")
     first = commits.process_waiting(spark, rows, "event_type", data, done, most=2)
     commits.process_waiting(spark, rows, "event_type", data, done)
     if commits.process_waiting(spark, rows, "event_type", data, done, most=5):
@@ -256,7 +251,7 @@ def str02(spark, sf_dir):
 def str01(spark, sf_dir):
     """A file stream that handles what arrived since the last run, twice; each batch is a committed unit."""
     rows = read(spark, sf_dir, "events").select("event_id", "event_type", F.date_format("ts", "yyyy-MM").alias("month"))
-    source, mark, out = _folder(spark, "arrived"), _folder(spark, "mark"), _folder(spark, "out")
+    source, mark, out = scratch_folder(spark, "arrived"), scratch_folder(spark, "mark"), scratch_folder(spark, "out")
 
     def handle(batch: DataFrame, number: int) -> None:
         batch.groupBy("month", "event_type").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{out}/batch={number}")
@@ -273,7 +268,7 @@ def str01(spark, sf_dir):
 @query("str05_settings_lock", """SELECT sha256('{"shares":[7,15,15],"table":"patients"}') AS settings_id, true AS same_again, true AS refused_other""")
 def str05(spark, sf_dir):
     """STR05: a folder keeps its settings."""
-    folder = _folder(spark, "locked")
+    folder = scratch_folder(spark, "locked")
     first = commits.lock_settings(folder, {"table": "patients", "shares": [7, 15, 15]})
     same = commits.lock_settings(folder, {"shares": [7, 15, 15], "table": "patients"}) == first
     try:
@@ -289,7 +284,7 @@ def str06(spark, sf_dir):
     """STR06: a saved assignment, against itself and against one with a patient moved."""
     newest = F.max_by(F.lower(F.trim("split")), F.struct("assigned_at", "row_no"))
     rows = read(spark, sf_dir, "patient_level_split").filter("trim(patient_id) <> ''").groupBy(F.upper(F.trim("patient_id")).alias("patient")).agg(newest.alias("split"))
-    folder = _folder(spark, "saved")
+    folder = scratch_folder(spark, "saved")
     rows.write.parquet(folder)
     saved = spark.read.parquet(folder)
     first = saved.agg(F.min("patient")).first()[0]
@@ -364,6 +359,45 @@ def _kernel(frames: DataFrame, work, schema: str) -> DataFrame:
     return frames.mapInPandas(batches, f"vec_id long, {schema}")
 
 
+def _densities(ground: tuple[str, str, str]) -> str:
+    """Whether a pixel is stained, as SQL: its density against the ground, in all and in green above red and blue."""
+    r, g, b = (f"greatest(ln(1 + {top}) - ln(1 + {c}), 0)" for top, c in zip(ground, ("r", "g", "b"), strict=True))
+    return f"({r} + {g} + {b} >= 0.15e0 AND {g} - {r} >= 0.03e0 AND {g} - {b} >= 0.03e0)"
+
+
+@query("img01_background_and_tissue", f"""WITH {_PIXELS},
+plain AS (SELECT * FROM px WHERE greatest(r, g, b) - least(r, g, b) <= 0.2e0 * greatest((r + g + b) / 3e0, 1) AND NOT {_densities(('255', '255', '255'))}),
+ground AS (SELECT vec_id, least(255, greatest(1, quantile_cont(r::DOUBLE, 0.99))) AS gr, least(255, greatest(1, quantile_cont(g::DOUBLE, 0.99))) AS gg, least(255, greatest(1, quantile_cont(b::DOUBLE, 0.99))) AS gb FROM plain GROUP BY 1),
+t AS (SELECT px.*, coalesce(gr, 255) AS gr, coalesce(gg, 255) AS gg, coalesce(gb, 255) AS gb FROM px LEFT JOIN ground USING (vec_id))
+SELECT vec_id, round(any_value(gr), 3) AS red, round(any_value(gg), 3) AS green, round(any_value(gb), 3) AS blue, round(avg(CAST({_densities(('gr', 'gg', 'gb'))} AS INT)), 6) AS tissue FROM t GROUP BY 1""")
+def img01(spark, sf_dir):
+    """IMG01 to IMG03 by the kernels: the background of each picture and the share of its stained pixels."""
+    def work(a: np.ndarray) -> tuple:
+        ground = P.background(a, P.Settings())
+        return (*map(float, ground), float(P.tissue_mask(a, ground, P.Settings()).mean()))
+
+    got = _kernel(pictures(spark, sf_dir), work, "red double, green double, blue double, tissue double")
+    return got.select("vec_id", *[F.round(c, 3).alias(c) for c in ("red", "green", "blue")], F.round("tissue", 6).alias("tissue"))
+
+
+@query("img06_grid_tiles", f"""WITH {_PIXELS}, c AS (SELECT vec_id, x // 3 * 3 AS tx, y // 3 * 3 AS ty, count(*) AS n, sum(CAST({_densities(('255', '255', '255'))} AS INT)) AS stained FROM px GROUP BY ALL)
+SELECT vec_id, tx AS x, ty AS y, least(3, 5 - tx) AS valid_w, least(3, 4 - ty) AS valid_h, round(stained / n, 6) AS tissue FROM c WHERE stained > 0 AND stained / n >= 0.1e0""")
+def img06_grid(spark, sf_dir):
+    """IMG06 by the kernel, against white ground: grid tiles of 3 x 3 pixels with enough tissue, at the borders too."""
+    s = P.Settings(tile_size=3, stride=3)
+
+    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for i, p in zip(part["vec_id"], part["pixels"], strict=True):
+                rgb = np.asarray(p, dtype=np.uint8).reshape(HEIGHT, WIDTH, 3)
+                rows += [(int(i), x, y, w, h, f) for x, y, w, h, f in P.tile_fractions(P.tissue_mask(rgb, P.WHITE, s), s) if f > 0 and f >= s.min_tissue]
+            yield pd.DataFrame(rows, columns=["vec_id", "x", "y", "valid_w", "valid_h", "tissue"])
+
+    got = pictures(spark, sf_dir).mapInPandas(batches, "vec_id long, x int, y int, valid_w int, valid_h int, tissue double")
+    return got.withColumn("tissue", F.round("tissue", 6))
+
+
 @query("img09_tissue_and_white", f"""WITH {_PIXELS} SELECT vec_id, round(avg(CAST(s > 20.5e0 AND v < 240 AS INT)), 6) AS any_lens, round(avg(CAST(s > 20.5e0 AND v < 240 AS INT)), 6) AS lens_10, round(avg(CAST(s > 15.5e0 AND v < 245 AS INT)), 6) AS lens_40,
 round(avg(CAST(k > 220 AS INT)), 6) AS white FROM gr GROUP BY 1""")
 def img09(spark, sf_dir):
@@ -433,7 +467,7 @@ def img20(spark, sf_dir):
             yield pd.DataFrame({"vec_id": part["vec_id"], "content": png})
 
     rows = pictures(spark, sf_dir).mapInPandas(encoded, "vec_id long, content binary")
-    folder = _folder(spark, "patches")
+    folder = scratch_folder(spark, "patches")
     sinks.write_shards(rows.select(F.format_string("patches-%04d", F.floor(F.col("vec_id") / 500)).alias("shard_id"), F.col("vec_id").alias("place"), F.format_string("patches/%d.png", "vec_id").alias("member"), "content"), folder).count()
     archives.register(spark)
     place = np.arange(1, 3 * HEIGHT * WIDTH + 1)
@@ -448,7 +482,7 @@ def img20(spark, sf_dir):
 @query("src18_settings_precedence", "SELECT * FROM (VALUES ('given', 4), ('stored', 8), ('default', 1)) t(name, value)")
 def src18(spark, sf_dir):
     """SRC18: what was given goes before what is stored, and that before defaults."""
-    path = _folder(spark, "config") + ".json"
+    path = scratch_folder(spark, "config") + ".json"
     sinks.atomic_json(path, {"process": {"stored": 8, "given": 9}})
     got = files.configured(path, "process", {"given": 4, "stored": None}, {"given": 1, "stored": 1, "default": 1})
     return spark.createDataFrame(list(json.loads(json.dumps(got)).items()), "name string, value int")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +9,7 @@ from tessella.functions.identifiers import file_of, tidy_lower, tidy_path, tidy_
 from tessella.operators.compaction import checksum, freeze_manifest, pack_bins, tar_members
 from tessella.operators.references import Reference, orphan_report, orphans
 from tessella.plans.registry import Registry
-from tessella.session import cut_lineage, read, shared_folder
-from tessella.sources.shared import joined
+from tessella.session import cut_lineage, read, scratch_folder
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -73,7 +70,7 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     frozen = cut_lineage(tiles.unionByName(held))
     files = frozen.groupBy("file_kind", "file_key").agg(F.sum("record_bytes").alias("bytes"))
     bins = cut_lineage(_bins(files))
-    folder = joined(shared_folder(spark), f"regrouped-{uuid.uuid4().hex}")
+    folder = scratch_folder(spark, "regrouped")
     placed = frozen.join(bins.select("file_kind", "file_key", "new_file"), ["file_kind", "file_key"])
     placed.repartition("new_file").sortWithinPartitions("new_file", "file_key", "record").write.partitionBy("new_file").parquet(folder)
     written = spark.read.schema(frozen.schema).parquet(folder).select(*frozen.columns)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.sources import shared
+
 #: Tables of the test data; everything is read with these names.
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -53,6 +58,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_folder(spark: SparkSession, what: str) -> str:
+    """A new name in the shared folder for what plans store there; deleted when the driver ends."""
+    folder = shared.joined(shared_folder(spark), f"{what}-{uuid.uuid4().hex}")
+    atexit.register(_forget, folder)
+    return folder
+
+
+def _forget(folder: str) -> None:
+    with contextlib.suppress(OSError):
+        shared.remove(folder)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the checkpoint folder and read it from there."""
     shared_folder(df.sparkSession)

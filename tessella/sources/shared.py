@@ -60,6 +60,13 @@ def listed(folder: str, suffix: str = "") -> list[str]:
     return [p for p, _ in sized(folder) if p.endswith(suffix)]
 
 
+def listed_below(folder: str) -> list[str]:
+    """Sorted locations of all plain files below a folder, found by one listing."""
+    system, path = opened(folder)
+    found = system.get_file_info(fs.FileSelector(path, allow_not_found=True, recursive=True))
+    return sorted(joined(folder, f.path[len(path) :].lstrip("/")) for f in found if f.type == fs.FileType.File)
+
+
 def make_folder(folder: str) -> None:
     system, path = opened(folder)
     system.create_dir(path, recursive=True)

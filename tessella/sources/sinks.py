@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import tarfile
@@ -9,6 +10,7 @@ import zipfile
 from collections.abc import Iterable, Iterator
 from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,6 +69,22 @@ def put_zip(location: str, members: Iterable[tuple[str, bytes]]) -> str:
     return shared.put(location, [stream.getvalue()])
 
 
+def put_arrays(location: str, **arrays: np.ndarray) -> str:
+    """Named arrays, such as the weights of a model, in a file that appears whole or not at all; returns its SHA-256."""
+    stream = io.BytesIO()
+    np.savez(stream, **arrays)
+    return shared.put(location, [stream.getvalue()])
+
+
+def get_arrays(location: str, sha256: str | None = None) -> dict[str, np.ndarray]:
+    """The arrays of `put_arrays`; another digest than the one asked for is an error."""
+    data = shared.content(location)
+    if sha256 is not None and hashlib.sha256(data).hexdigest() != sha256:
+        raise ValueError(f"{location} does not have the digest {sha256}")
+    with np.load(io.BytesIO(data), allow_pickle=False) as held:
+        return {name: held[name] for name in held.files}
+
+
 def _streamed(batches: Iterator[pd.DataFrame], folder: str) -> Iterator[pd.DataFrame]:
     """Write rows sorted by (shard_id, place) into one archive a shard, member by member."""
     rows = (r for batch in batches for r in batch[["shard_id", "member", "content"]].itertuples(index=False))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import shutil
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 from tessella.sources import shared, sinks
@@ -102,23 +103,38 @@ def remote_files(pages: Callable[[str, str | None], tuple[list[dict], str | None
                 break
 
 
-def download(files: Iterable[dict], fetch: Callable[[str], Iterable[bytes]], folder: str) -> dict[str, int]:
-    """Fetch what is absent or differs in size or MD5; counts of what was kept and fetched."""
+def retried(call: Callable, times: int = 5, wait: float = 0.2, errors: tuple = (OSError, ValueError)):
+    """What `call()` returns; after an error it is tried again, each time after twice the wait."""
+    for turn in range(times):
+        try:
+            return call()
+        except errors:
+            if turn == times - 1:
+                raise
+            time.sleep(wait * 2**turn)
+
+
+def download(files: Iterable[dict], fetch: Callable[[str], Iterable[bytes]], folder: str, times: int = 5, wait: float = 0.2) -> dict[str, int]:
+    """Fetch what is absent or differs in size or MD5, trying again after errors; counts of what was kept and fetched."""
     counts = {"kept": 0, "fetched": 0}
     for file in files:
         target = shared.joined(folder, file["path"])
         if shared.exists(target) and _md5(shared.blocks(target)) == (file["md5"], file["size"]):
             counts["kept"] += 1
             continue
-        with shared.Draft(target) as draft:
-            found = _md5(draft.write(part) and part or b"" for part in fetch(file["id"]))
-            if found != (file["md5"], file["size"]):
-                raise ValueError(f"{file['path']}: {found} where {(file['md5'], file['size'])} was expected")
-            draft.publish()
+        retried(lambda file=file, target=target: _fetched(file, fetch, target), times, wait)
         counts["fetched"] += 1
     return counts
 
 
+def _fetched(file: dict, fetch: Callable[[str], Iterable[bytes]], target: str) -> None:
+    with shared.Draft(target) as draft:
+        found = _md5(draft.write(part) and part or b"" for part in fetch(file["id"]))
+        if found != (file["md5"], file["size"]):
+            raise ValueError(f"{file['path']}: {found} where {(file['md5'], file['size'])} was expected")
+        draft.publish()
+
+
 def _md5(parts: Iterable[bytes]) -> tuple[str, int]:
     value, length = hashlib.md5(usedforsecurity=False), 0
     for part in parts:

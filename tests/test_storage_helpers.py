@@ -3,6 +3,7 @@ import io
 import json
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ def test_locations(tmp_path):
     assert shared.opened("file:/a/b")[1] == shared.opened("file:///a/b")[1] == shared.opened("/a/b")[1] == "/a/b"
     assert shared.listed(str(tmp_path / "none")) == [] and not shared.exists(str(tmp_path / "none"))
     shared.remove(str(tmp_path / "none"))
+    shared.put(f"file://{tmp_path}/deep/k=1/r=2/f.x", [b"1"])
+    assert shared.listed_below(f"file://{tmp_path}/deep") == [f"file://{tmp_path}/deep/k=1/r=2/f.x"] and shared.listed_below(str(tmp_path / "none")) == []
     (tmp_path / "x").mkdir()
     (tmp_path / "y").mkdir()
     with pytest.raises(FileExistsError):
@@ -80,7 +83,7 @@ def test_remote_listings_are_checked(bad, match):
 def test_downloads_are_compared(tmp_path):
     files = [entry("a", b"1") | {"path": "k/a"}]
     with pytest.raises(ValueError, match="expected"):
-        staging.download(files, lambda _: [b"2"], str(tmp_path))
+        staging.download(files, lambda _: [b"2"], str(tmp_path), times=2, wait=0)
     assert list((tmp_path / "k").iterdir()) == []
     assert staging.download(files, lambda _: [b"1"], str(tmp_path)) == {"kept": 0, "fetched": 1}
     assert staging.download(files, lambda _: 1 / 0, str(tmp_path)) == {"kept": 1, "fetched": 0}
@@ -106,7 +109,31 @@ def test_steps_stop_at_the_first_failure(tmp_path):
     assert run_steps(steps, say=said.append) == 3 and not any("three" in s for s in said)
     assert run_steps(steps, dry_run=True, say=said.append) == 0 and run_steps(steps, first=3, say=said.append) == 0
     shared.put(str(tmp_path / "steps.json"), [json.dumps(steps).encode()])
-    assert main([str(tmp_path / "steps.json"), "--to", "1"]) == 0
+    assert main([str(tmp_path / "steps.json"), "--to", "1", "--log", str(tmp_path / "log")]) == 0
+    assert [line.split(" ", 1)[1].split(":")[0] for line in (tmp_path / "log").read_text().splitlines()] == ["1/3 one", "one"]
+
+
+def test_errors_are_tried_again_so_many_times():
+    seen = []
+
+    def call():
+        seen.append(1)
+        if len(seen) < 3:
+            raise OSError("not yet")
+        return "done"
+
+    assert staging.retried(call, wait=0) == "done" and len(seen) == 3
+    with pytest.raises(OSError):
+        staging.retried(lambda: (_ for _ in ()).throw(OSError("never")), times=2, wait=0)
+
+
+def test_arrays_are_stored_whole_and_compared(tmp_path):
+    path = str(tmp_path / "w.npz")
+    sha = sinks.put_arrays(path, weights=np.arange(5.0), step=np.array(7))
+    got = sinks.get_arrays(path, sha)
+    assert (got["weights"] == np.arange(5.0)).all() and got["step"] == 7
+    with pytest.raises(ValueError, match="digest"):
+        sinks.get_arrays(path, "0" * 64)
 
 
 def test_hot_keys_are_few_and_split_evenly(spark):
