@@ -15,7 +15,6 @@ fewer than N items give all they have. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessella.operators.skew import dealt, hot_keys
-from tessella.session import shared_folder
+from tessella.session import scratch_folder
 from tessella.sources import shared
 
 #: Rows of a group up to which one run is enough, whatever the size of the table.
@@ -140,7 +139,8 @@ def _merge_tasks(batches: Iterator[pa.RecordBatch], folder: str, n: int, fan_in:
     kinds = [pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int64(), pa.int32()]
     for batch in batches:
         for bucket, chunk in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            files = [f for run in range(chunk * fan_in, (chunk + 1) * fan_in) for f in shared.listed(shared.joined(folder, f"bucket={bucket}", f"run={run}"), ".parquet")]
+            stored = [f for f in shared.listed_below(shared.joined(folder, f"bucket={bucket}")) if f.endswith(".parquet")]
+            files = [f for f in stored if chunk * fan_in <= int(f.rsplit("/", 2)[1].removeprefix("run=")) < (chunk + 1) * fan_in]
             rows = []
             for row in merged([StoredRun(f) for f in files], n):
                 rows.append((bucket, chunk, *row))
@@ -153,7 +153,7 @@ def _merge_tasks(batches: Iterator[pa.RecordBatch], folder: str, n: int, fan_in:
 
 def _stored(rows: DataFrame) -> str:
     """Write (bucket, run, grp, score, id), sorted in each partition, as one file a run; returns the folder."""
-    folder = shared.joined(shared_folder(rows.sparkSession), f"runs-{uuid.uuid4().hex}")
+    folder = scratch_folder(rows.sparkSession, "runs")
     rows.select("bucket", "run", "grp", "score", "id").write.partitionBy("bucket", "run").option("parquet.block.size", ROW_GROUP_BYTES).parquet(folder)
     return folder
 
