@@ -38,6 +38,8 @@ def image_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Places in the suffix array beyond those of thumbnail digests: texts that must agree as a whole.
 SHA, NAMED, ODD_THUMB = 100, 101, 102
+#: Bytes of a text that must agree as a whole; of a longer one its SHA-256 stands for it.
+LONGEST = 64
 _HEX = r"\A[0-9a-f]{32}\z"
 
 
@@ -49,6 +51,7 @@ def image_suffixes(facts: DataFrame) -> DataFrame:
     `own`) and the ids that an image lists (role `list`), thumbnails that are no digests.
     """
     def entry(place: int, suffix: Column, least: Column | None = None, role: str = "own") -> Column:
+        suffix = suffix if least is not None else F.when(F.length(suffix) <= LONGEST, suffix).otherwise(F.unhex(F.sha2(suffix, 256)))
         return F.struct(F.lit(place).alias("place"), suffix.alias("suffix"), (F.length(suffix) if least is None else least).alias("least"), F.lit(role).alias("role"))
 
     coded = facts.withColumn("__thumb", F.when(F.length("thumb") == 32, F.unhex("thumb"))).withColumn("__sha", F.coalesce(F.when(F.length("sha") == 64, F.unhex("sha")), F.col("sha").cast("binary")))

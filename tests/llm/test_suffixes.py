@@ -138,3 +138,20 @@ def test_p6_coverage_counts_spans_from_any_digit(spark, monkeypatch):
     got = {(rows[int(r.image[1:])][0], {"train": "l", "other": "r"}[r.side]): r.covered for r in overlaps_queries.p6_coverage(spark, "").collect()}
     assert got == plain_aligned_coverage(rows, 8)
     assert got[base, "l"] == 31 and got[other, "l"] == 11
+
+
+def test_overlaps_with_odd_values(spark, monkeypatch):
+    """Very long, null, repeated and ill-formed values; an image that lists itself and one that nobody has."""
+    long, thumb = "L" * 200_000, "0123456789abcdef" * 2
+    rows = [
+        ("A", True, "train", None, "s1", thumb, ["B", long]), ("B", False, "val", "x", None, None, None), (long, False, "test", "x", "f" * 64, "no digest", ["A", None]),
+        ("C", True, "train", "x", "F" * 64, "no digest", ["C", "nobody"]), ("D", False, "val", "x", "s1", thumb[:-1] + "e", []), ("D", False, "val", "x", "s1", thumb[:-1] + "e", []),
+        ("E", False, "val", "x", "S1" + long, thumb[:-2] + "00", None), ("G", True, "train", "x", "S1" + long, None, None),
+    ]
+    facts = spark.createDataFrame(rows, "image string, left boolean, split string, source string, sha string, thumb string, others array<string>")
+    facts = facts.withColumn("sha", F.lower("sha"))
+    monkeypatch.setattr(overlaps_queries, "image_facts", lambda *_: facts)
+    got = {(r.image_a, r.image_b) for r in overlaps_queries.p6_found(spark, "").collect()}
+    assert got == {("A", "B"), ("A", long), ("A", "D"), ("C", long), ("E", "G")}
+    report = {(r.split, r.reason): (r.n_images, r.n_links) for r in overlaps_queries.p6_report(spark, "").collect()}
+    assert report == {("val", "list"): (1, 1), ("test", "list"): (1, 2), ("val", "sha"): (2, 2), ("test", "sha"): (1, 1), ("val", "thumb"): (1, 1), ("test", "thumb"): (1, 1)}
