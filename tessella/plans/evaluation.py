@@ -9,8 +9,9 @@ from pyspark.sql import Window as W
 from tessella.functions.identifiers import tidy_lower, tidy_upper
 from tessella.operators import metrics as M
 from tessella.operators import splitting as S
+from tessella.operators.training import Fit, train_head
 from tessella.plans.registry import Registry
-from tessella.session import read
+from tessella.session import read, scratch_folder
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -212,6 +213,17 @@ def ml05(spark, sf_dir):
     return run_report(spark, sf_dir)
 
 
+@query("ml03_linear_head")
+def ml03(spark, sf_dir):
+    """Epochs of a binary head over the embeddings, trained on three quarters of made-up patients and judged by the others."""
+    rows = read(spark, sf_dir, "embeddings").select(F.transform("embedding", lambda v: v.cast("double")).alias("v"), (F.col("label") % 2).alias("y"), F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("patient"))
+    try:
+        _, history = train_head(rows.filter("patient % 4 > 0"), rows.filter("patient % 4 = 0"), "v", "y", "patient", scratch_folder(spark, "head"), Fit(epochs=8))
+    except ValueError:  # one class or none
+        history = []
+    return spark.createDataFrame(history, "epoch int, loss double, auc double, best double").select("epoch", *[F.round(c, 6).alias(c) for c in ("loss", "auc", "best")])
+
+
 @query("agg30_seed_ensemble", f"""
 WITH m AS (SELECT model_name, patient_id, round(avg(y_prob), 9) AS y_prob FROM {PRED} GROUP BY 1, 2)
 SELECT patient_id, round(avg(y_prob), 6) AS y_prob, count(*) AS n_models FROM m GROUP BY 1""")
