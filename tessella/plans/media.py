@@ -76,20 +76,31 @@ def scl26(spark, sf_dir):
 
 def _small_images(spark, sf_dir):
     """Each embedding as a grey 8 x 8 image, its bytes made on the JVM."""
-    value = F.transform("embedding", lambda v: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.round(v * 255 + 127).cast("int"))).cast("long")), 2, "0"))
+    value = F.transform("embedding", lambda v: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.floor(v.cast("double") * 400 + 200))).cast("long")), 2, "0"))
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("image_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("n_channels"), F.unhex(F.array_join(value, "")).alias("data"))
 
 
-@query("img03_image_quality")
+#: Grey pixels as SQL: of equal channels, so only their density tells stain, and the ground is made of bright ones.
+_GREY = """px AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, b[i + 1] AS v FROM (SELECT vec_id, list_transform(embedding, lambda e: CAST(greatest(0, least(255, floor(e::DOUBLE * 400 + 200))) AS INT)) AS b, unnest(range(64)) AS i FROM embeddings))"""
+_LAP = """(SELECT c.vec_id, n.v + s.v + w.v + e.v - 4 * c.v AS lap FROM px c JOIN px n ON n.vec_id = c.vec_id AND n.x = c.x AND n.y = greatest(0, c.y - 1) JOIN px s ON s.vec_id = c.vec_id AND s.x = c.x AND s.y = least(7, c.y + 1)
+JOIN px w ON w.vec_id = c.vec_id AND w.y = c.y AND w.x = greatest(0, c.x - 1) JOIN px e ON e.vec_id = c.vec_id AND e.y = c.y AND e.x = least(7, c.x + 1))"""
+
+
+@query("img03_image_quality", f"""WITH {_GREY}, f AS (SELECT vec_id, round(var_pop(lap) + 1e-7, 4) AS focus_score FROM {_LAP} GROUP BY 1), g AS (SELECT vec_id, round(greatest(1, least(255, quantile_cont(v::DOUBLE, 0.99))), 3) AS q FROM px GROUP BY 1)
+SELECT CAST(vec_id AS VARCHAR) AS image_id, true AS decode_ok, 8 AS width, 8 AS height, [q, q, q] AS background_reference_rgb, 0.0e0 AS tissue_fraction, focus_score, 0 AS tiles_eligible, 'ok' AS status FROM f JOIN g USING (vec_id)""")
 def img03(spark, sf_dir):
-    """Background, tissue, focus and eligible tiles of small images, by the Arrow kernels."""
-    return imaging.quality(_small_images(spark, sf_dir), P.Settings(tile_size=4, stride=4))
+    """Background, tissue, focus and eligible tiles of small images, by the Arrow kernels; grey ones have no tissue."""
+    rows = imaging.quality(_small_images(spark, sf_dir), P.Settings(tile_size=4, stride=4))
+    return rows.withColumn("background_reference_rgb", F.transform("background_reference_rgb", lambda v: F.round(v, 3))).withColumn("focus_score", F.round(F.col("focus_score") + 1e-7, 4))
 
 
-@query("img06_image_tiles")
+@query("img06_image_tiles", f"""WITH {_GREY}, g AS (SELECT vec_id, coalesce(greatest(1, least(255, quantile_cont(v::DOUBLE, 0.99) FILTER (ln(256) - ln(1 + v) < 0.05e0))), 255) AS q FROM px GROUP BY 1),
+t AS (SELECT vec_id, x // 4 * 4 AS x, y // 4 * 4 AS y, avg(CAST(ln(1 + q) - ln(1 + v) >= 0.05e0 AS INT)) AS f FROM px JOIN g USING (vec_id) GROUP BY vec_id, x // 4, y // 4)
+SELECT CAST(vec_id AS VARCHAR) AS image_id, x, y, 4 AS w, 4 AS h, 4 AS valid_w, 4 AS valid_h, round(f, 6) AS tissue_fraction, row_number() OVER (PARTITION BY vec_id ORDER BY y, x) AS place FROM t WHERE f > 0""")
 def img06(spark, sf_dir):
-    """The grid tiles of small images that hold stain (grey ones have none)."""
-    return imaging.tiles(_small_images(spark, sf_dir), P.Settings(tile_size=4, stride=4, min_tissue=0.0, green_contrast=0.0))
+    """The grid tiles of small images that hold dense pixels, in raster order."""
+    found = imaging.tiles(_small_images(spark, sf_dir), P.Settings(tile_size=4, stride=4, min_tissue=0.0, green_contrast=0.0))
+    return found.drop("png").withColumn("tissue_fraction", F.round("tissue_fraction", 6))
 
 
 @query("udf05_batch_scores", "SELECT vec_id, round(list_avg(embedding::DOUBLE[]), 6) AS y_prob FROM embeddings")

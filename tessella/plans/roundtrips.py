@@ -51,6 +51,7 @@ def src02(spark, sf_dir):
 
 def _sheet(rows: list[tuple], names: list[str]) -> list[tuple[str, bytes]]:
     """Members of a workbook: names as shared strings, texts inline, booleans and numbers as such, absent cells left out."""
+    # names the file format prescribes (fixed values)
     space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     relations = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 

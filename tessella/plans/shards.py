@@ -27,15 +27,17 @@ def _records(spark, sf_dir) -> DataFrame:
     return rows.select("objective_lens", "case_id", "image_id", X.tar_record_bytes(member, F.col("byte_size")).cast("long").alias("record_bytes"))
 
 
-@query("win07_next_fit_shards", f"""WITH RECURSIVE r AS (SELECT objective_lens, image_id, CAST(512 + ceil(byte_size / 512) * 512 AS BIGINT) AS b, row_number() OVER (PARTITION BY objective_lens ORDER BY case_id, image_id) AS i FROM {CURRENT} WHERE byte_size IS NOT NULL AND objective_lens IS NOT NULL),
-f(objective_lens, image_id, i, shard_no, filled) AS (SELECT objective_lens, image_id, i, 0::BIGINT, b FROM r WHERE i = 1
-UNION ALL SELECT r.objective_lens, r.image_id, r.i, CASE WHEN CAST(ceil((f.filled + r.b + 1024) / 10240) * 10240 AS BIGINT) > {CAP} THEN f.shard_no + 1 ELSE f.shard_no END, CASE WHEN CAST(ceil((f.filled + r.b + 1024) / 10240) * 10240 AS BIGINT) > {CAP} THEN r.b ELSE f.filled + r.b END FROM f JOIN r ON r.objective_lens = f.objective_lens AND r.i = f.i + 1)
-SELECT objective_lens, image_id, shard_no FROM f""")
+_NEXT_FIT = f"""WITH RECURSIVE r AS (SELECT objective_lens, image_id, CAST(512 + ceil(byte_size / 512) * 512 AS BIGINT) AS b, row_number() OVER (PARTITION BY objective_lens ORDER BY case_id, image_id) AS i FROM {CURRENT} WHERE byte_size IS NOT NULL AND objective_lens IS NOT NULL),
+f(objective_lens, image_id, i, b, shard_no, filled) AS (SELECT objective_lens, image_id, i, b, 0::BIGINT, b FROM r WHERE i = 1
+UNION ALL SELECT r.objective_lens, r.image_id, r.i, r.b, CASE WHEN CAST(ceil((f.filled + r.b + 1024) / 10240) * 10240 AS BIGINT) > {CAP} THEN f.shard_no + 1 ELSE f.shard_no END, CASE WHEN CAST(ceil((f.filled + r.b + 1024) / 10240) * 10240 AS BIGINT) > {CAP} THEN r.b ELSE f.filled + r.b END FROM f JOIN r ON r.objective_lens = f.objective_lens AND r.i = f.i + 1)"""
+
+
+@query("win07_next_fit_shards", f"{_NEXT_FIT} SELECT objective_lens, image_id, shard_no FROM f")
 def win07(spark, sf_dir):
     return plan_shards(_records(spark, sf_dir), "objective_lens", ["case_id", "image_id"], "record_bytes", CAP).select("objective_lens", "image_id", "shard_no")
 
 
-@query("agg36_planned_bytes")
+@query("agg36_planned_bytes", f"{_NEXT_FIT} SELECT objective_lens, shard_no, count(*) AS n_images, CAST(ceil((sum(b) + 1024) / 10240) * 10240 AS BIGINT) AS archive_bytes FROM f GROUP BY 1, 2")
 def agg36_planned(spark, sf_dir):
     """Archive bytes of each planned shard; none exceeds the cap."""
     planned = plan_shards(_records(spark, sf_dir), "objective_lens", ["case_id", "image_id"], "record_bytes", CAP)

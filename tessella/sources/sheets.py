@@ -13,6 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from tessella.sources import shared
 
+#: Names the file format prescribes (fixed values).
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 _PACKAGE = "{http://schemas.openxmlformats.org/package/2006/relationships}Relationship"

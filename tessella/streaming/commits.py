@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.sources import shared
-from tessella.sources.sinks import atomic_json
 
 COMMIT = T.StructType([T.StructField("unit", T.StringType()), T.StructField("batch", T.LongType()), T.StructField("rows", T.LongType())])
 
@@ -70,19 +69,23 @@ def run_available(spark: SparkSession, source: str, schema: T.StructType, checkp
     return len(handled)
 
 
+def _canonical(settings: dict) -> bytes:
+    """One text for equal settings; made on the driver, since they may hold floats."""
+    return json.dumps(settings, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False).encode()
+
+
 def settings_id(settings: dict) -> str:
-    """SHA-256 of the canonical JSON of settings; made on the driver, since they may hold floats."""
-    return hashlib.sha256(json.dumps(settings, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False).encode()).hexdigest()
+    """SHA-256 of the canonical JSON of settings."""
+    return hashlib.sha256(_canonical(settings)).hexdigest()
 
 
 def lock_settings(folder: str, settings: dict) -> str:
-    """Keep a folder to one set of settings; other ones are an error."""
-    path, wanted = shared.joined(folder, "_settings.json"), json.loads(json.dumps(settings))
-    if not shared.exists(path):
-        atomic_json(path, wanted)
-    elif json.loads(shared.content(path)) != wanted:
+    """Keep a folder to the settings it was made with first, and return their id; other ones are an error."""
+    place, text = shared.joined(folder, "_settings.json"), _canonical(settings)
+    if (shared.content(place) if shared.exists(place) else text) != text:
         raise ValueError(f"{folder} was made with other settings")
-    return settings_id(wanted)
+    shared.put(place, [text])
+    return settings_id(settings)
 
 
 def same_assignment(saved: DataFrame, wanted: DataFrame) -> bool:

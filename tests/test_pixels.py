@@ -7,6 +7,7 @@ from tessella.functions import pixels as P
 from tessella.operators.imaging import decoded, images, quality, several_frames, tile_ids, tiles
 from pyspark.sql import functions as F
 
+#: Colours and expected tiles here are agreed examples (fixed values).
 TISSUE = (130, 65, 105)
 
 
