@@ -54,7 +54,7 @@ THRESHOLD = 0.5
 #: are no examples of whole texts, sooner so if their length lies at a limit; that is
 #: found in so many rounds over so many folds.
 DOUBT, DOUBT_AT_LIMIT, ROUNDS, FOLDS = 0.6, 0.3, 2, 3
-#: So many equal endings speak for themselves; of whole texts up to SHORT characters, so many.
+#: So many equal endings among SAMPLE texts, or the same share of more, speak for themselves; of whole texts up to SHORT characters, so many.
 COPIES, SHORT_COPIES, SHORT = 5, 3, 24
 
 #: What may follow a text's last character: all Unicode blanks, and marks without width.
@@ -154,23 +154,22 @@ def _opened(text: Column) -> Column:
     return F.length(F.translate(text, "([", "")) < F.length(F.translate(text, ")]", ""))
 
 
-def _examples(rows: list, seed: int) -> tuple[list, list[int], list[int], list[float]]:
+def _examples(rows: list, often: set[int], seed: int) -> tuple[list, list[int], list[int], list[float]]:
     """Features, answers, folds and doubts: each sampled text as it is, and cut at up to two places.
 
     A few copies of a text share a fold, so that none vouches for another, and so do any
-    number at a limit; else an ending with many copies is how texts end, and is spread
-    over all folds.
+    number at a limit; else an ending with many copies among all texts (its hash is in
+    `often`) is how texts end, and is spread over all folds.
     """
     random = np.random.default_rng(seed)
     x, y, group, doubt = [], [], [], []
     seen = Counter(row.tail for row in rows)
-    often = {tail for tail, n in Counter(row.tail for row in rows if not row.limits).items() if n >= (SHORT_COPIES if len(tail) <= SHORT else COPIES)}
     for row in rows:
         x.append(features(row.tail, row.source or "", row.limits, row.opened))
         y.append(0)
         doubt.append(DOUBT_AT_LIMIT if row.limits else DOUBT)
         seen[row.tail] -= 1
-        group.append((zlib.crc32(row.tail.encode("utf-8", "replace")) + (seen[row.tail] if row.tail in often and not row.limits else 0)) % FOLDS)
+        group.append((zlib.crc32(row.tail.encode("utf-8", "replace")) + (seen[row.tail] if row.code in often and not row.limits else 0)) % FOLDS)
         for cut in row.cuts:
             head, after = cut.head, cut.after
             closed = head.rstrip()
@@ -202,8 +201,8 @@ def sampled(texts: DataFrame, sample: int, per_source: int, seed: int, columns:
     and are ranked; none is moved before.
     """
     counts = cut_lineage(texts.groupBy("source").agg(F.count("*").alias("of_source")))
-    spread = counts.groupBy("of_source").agg(F.count("*").alias("k"))
-    level = fair_level([(r.of_source, r.k) for r in spread.collect()], sample, per_source)
+    spread = [(r.of_source, r.k) for r in counts.groupBy("of_source").agg(F.count("*").alias("k")).collect()]
+    level, total = fair_level(spread, sample, per_source), sum(n * k for n, k in spread)
     columns = columns or [c for c in texts.columns if c not in ("id", "source")]
     keyed = texts.withColumn("key", F.xxhash64("id", F.lit(seed)))
     few = counts.count() <= BROADCAST_LIMITS
@@ -212,7 +211,19 @@ def sampled(texts: DataFrame, sample: int, per_source: int, seed: int, columns:
     near = rows.filter(F.col("key").cast("double") <= below)
     near = near.select("id", "source", "key", *columns) if few else near.drop("of_source")
     ranked = near.withColumn("place", F.row_number().over(W.partitionBy("source").orderBy("key", "id"))).filter(F.col("place") <= per_source)
-    return ranked.orderBy("place", "key", "id").limit(sample)
+    return ranked.orderBy("place", "key", "id").limit(sample).withColumn("of_all", F.lit(total).cast("long"))
+
+
+def many_copies(texts: DataFrame, rows: list, sample: int) -> set[int]:
+    """Hashes of the sample's endings that many of all texts have, those at a limit left out.
+
+    The endings of the sample are broadcast, and their copies counted over all texts.
+    """
+    lengths = {row.code: len(row.tail) for row in rows}
+    codes = texts.sparkSession.createDataFrame([(c,) for c in lengths], "code long")
+    counts = texts.filter("limits = 0").select(F.xxhash64("tail").alias("code")).join(F.broadcast(codes), "code").groupBy("code").agg(F.count("*").alias("n")).collect()
+    share = max(1.0, rows[0].of_all / sample)
+    return {r.code for r in counts if r.n >= share * (SHORT_COPIES if lengths[r.code] <= SHORT else COPIES)}
 
 
 def train(texts: DataFrame, sample: int = SAMPLE, per_source: int = PER_SOURCE, seed: int = 7) -> np.ndarray:
@@ -222,11 +233,11 @@ def train(texts: DataFrame, sample: int = SAMPLE, per_source: int = PER_SOURCE,
         place = F.pmod(F.xxhash64("id", F.lit(seed + 1 + turn)), F.greatest(F.length("text") - 1, F.lit(1))).cast("int") + 1
         head = F.col("text").substr(F.lit(1), place)
         cuts.append(F.struct(F.substring(head, F.greatest(place - TAIL, F.lit(0)) + 1, F.lit(TAIL)).alias("head"), F.col("text").substr(place + 1, F.lit(2)).alias("after"), _opened(head).alias("opened")))
-    chosen = sampled(texts, sample, per_source, seed, ["tail", "limits", "opened", F.array(*cuts).alias("cuts")])
-    rows = chosen.select("source", "tail", "limits", "opened", "cuts").collect()
+    chosen = sampled(texts, sample, per_source, seed, ["tail", "limits", "opened", F.xxhash64("tail").alias("code"), F.array(*cuts).alias("cuts")])
+    rows = chosen.select("source", "tail", "limits", "opened", "code", "of_all", "cuts").collect()
     if not rows:
         return np.zeros((1 << BITS) + 1, dtype=np.float32)
-    x, y, fold, doubt = _examples(rows, seed)
+    x, y, fold, doubt = _examples(rows, many_copies(texts, rows, sample), seed)
     del rows
     x, y, fold, doubt = _matrix(x), np.array(y, dtype=np.float64), np.array(fold), np.array(doubt)
     kept = np.ones(len(y), dtype=bool)

@@ -77,7 +77,7 @@ def test_no_texts(spark):
 
 def test_rare_sources_are_not_crowded_out_of_the_fit(spark, monkeypatch):
     got, examples = [], cutoff._examples
-    monkeypatch.setattr(cutoff, "_examples", lambda rows, seed: got.extend(r.source for r in rows) or examples(rows, seed))
+    monkeypatch.setattr(cutoff, "_examples", lambda rows, often, seed: got.extend(r.source for r in rows) or examples(rows, often, seed))
     rows = [(i, f"Some text of number {i}.", "rare" if i < 20 else "ab"[i % 2]) for i in range(2000)]
     cut_texts(spark.createDataFrame(rows, "no long, body string, source string"), "no", "body", "source", sample=200, per_source=150).count()
     assert {s: got.count(s) for s in set(got)} == {"rare": 20, "a": 90, "b": 90}
@@ -94,3 +94,16 @@ def test_the_sample_has_the_least_hashes_of_each_source(spark):
 
 def test_fair_level():
     assert cutoff.fair_level([(5, 2), (100, 1)], 30, 50) == 20 and cutoff.fair_level([(5, 1)], 30, 50) == 50 and cutoff.fair_level([(1, 99)], 3, 50) == 1
+
+
+def test_copies_are_counted_over_all_texts_by_share(spark):
+    """An ending that 2 in 1,000 texts have speaks for itself at any size, though the sample holds few of them."""
+    for n in (1000, 20_000):
+        rows = spark.range(n).select("id", F.lit("s").alias("source"), F.when(F.col("id") % 500 == 0, "a long ending that comes again").otherwise(F.concat(F.lit("ending of number "), "id")).alias("tail"), F.lit(0).alias("limits"))
+        sample = [r for r in rows.withColumn("code", F.xxhash64("tail")).withColumn("of_all", F.lit(n)).filter("id % 500 = 0 OR id < 50").collect()]
+        found = cutoff.many_copies(rows, sample, 400)
+        assert len(found) == (n // 500 >= 5 * max(1, n / 400))
+    rows = rows.withColumn("tail", F.when(F.col("id") % 50 == 0, "again and again and again").otherwise(F.col("tail")))
+    sample = [r for r in rows.withColumn("code", F.xxhash64("tail")).withColumn("of_all", F.lit(n)).filter("id < 60").collect()]
+    assert len(cutoff.many_copies(rows, sample, 400)) == 1
+    assert not cutoff.many_copies(rows.withColumn("limits", F.lit(1)), sample, 400)
