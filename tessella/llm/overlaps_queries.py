@@ -151,6 +151,6 @@ SELECT d.i AS image, CASE WHEN d.l THEN 'train' ELSE 'other' END AS side, c.cove
 def p6_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of its 32 thumbnail digits each image shares, in spans of eight or more, with images across."""
     images = image_facts(spark, sf_dir).filter(F.col("thumb").rlike(_HEX)).select("image", "left", "thumb").distinct()
-    covered = coverage(images.select(F.col("thumb").alias("id"), "left", F.col("thumb").alias("text")), 8, aligned=True, ascii_only=True)
-    met = images.join(covered, (F.col("thumb") == F.col("id")) & (images["left"] == covered["left"]))
+    covered = coverage(images.select(F.unhex("thumb").alias("id"), "left", F.col("thumb").alias("text")), 8, aligned=True, ascii_only=True)
+    met = images.join(covered, (F.unhex("thumb") == F.col("id")) & (images["left"] == covered["left"]))
     return met.select("image", F.when(images["left"], "train").otherwise("other").alias("side"), "covered")

@@ -164,13 +164,13 @@ def coverage(records: DataFrame, span: int, aligned: bool = False, part_rows: in
     """(id, left, covered): characters of each record's text in spans that a record of the other side has too.
 
     `records` has (id, left, text), one text an id. Every place of a text starts a suffix,
-    of twice the span, in characters of four bytes (one if all are ASCII), so that any
-    text may be given whole. Spans are merged within blocks of the text, so a very long
+    stored as far as the span, in characters of four bytes (one if all are ASCII), so that
+    any text may be given whole; a longer span is what those at the next places add up to. Spans are merged within blocks of the text, so a very long
     text is never one row.
     """
     unit = 1 if ascii_only else 4
     coded = records.select("id", "left", F.encode("text", "US-ASCII" if ascii_only else "UTF-32").alias("text")).filter("text IS NOT NULL").distinct()
-    found = shared_spans(suffixes(coded, unit * span, unit, 2 * unit * span, aligned), part_rows)
+    found = shared_spans(suffixes(coded, unit * span, unit, unit * span, aligned), part_rows)
     spans = found.select("id", "left", ((F.col("start") - 1) / unit).cast("int").alias("s"), F.floor(F.col("shared") / unit).cast("int").alias("n"))
     first, last = F.floor(F.col("s") / MERGE_BLOCK).cast("int"), F.floor((F.col("s") + F.col("n") - 1) / MERGE_BLOCK).cast("int")
     cut = spans.select("id", "left", "s", (F.col("s") + F.col("n")).alias("e"), F.explode(F.sequence(first, last)).alias("block"))
