@@ -31,7 +31,7 @@ def p8_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of long texts: blocks of 1,024 consecutive documents, joined line by line; they go through chunks and stitching."""
     docs = read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / BLOCK).alias("block"), F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")).alias("d"))
     joined = docs.groupBy("block").agg(F.array_join(F.transform(F.sort_array(F.collect_list("d")), lambda d: d["text"]), "\n").alias("text"))
-    return encode(joined, "block", "text").select("block", "ids")
+    return encode(cut_lineage(joined), "block", "text").select("block", "ids")
 
 
 def _sizes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

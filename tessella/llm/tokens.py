@@ -35,6 +35,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 CHUNK, OVERLAP = 1 << 16, 1 << 11
 #: Boundaries this close to the end of a chunk may depend on what follows.
 MARGIN = 4
+#: Ends of up to so many chunks (some 40 bytes each) are broadcast; beyond it they are joined by shuffle.
+BROADCAST_CHUNKS = 200_000
 #: Texts handed to the encoder at once.
 BATCH = 512
 
@@ -124,12 +126,16 @@ def encode(docs: DataFrame, number: str, text: str, keep: list[str] | None = Non
     source = texts.select(F.col(number).cast("long").alias("__id"), F.col("__text"))
     chunks = source.mapInArrow(lambda b: _chunked(b, chunk, overlap), "__id long, k int, piece string, final boolean").repartition("__id", "k")
     chunks = cut_lineage(chunks)
-    marks = chunks.select("__id", "k", "piece").mapInArrow(lambda b: _marked(b, chunk, overlap), "__id long, k int, head array<long>, tail array<long>")
+    marks = cut_lineage(chunks.select("__id", "k", "piece").mapInArrow(lambda b: _marked(b, chunk, overlap), "__id long, k int, head array<long>, tail array<long>"))
     before = marks.select("__id", (F.col("k") + 1).alias("k"), "tail")
     cuts = marks.select("__id", "k", "head").filter("k > 0").join(before, ["__id", "k"], "left").select("__id", "k", F.array_min(F.array_intersect("head", F.coalesce("tail", F.array().cast("array<long>")))).alias("cut"))
+    cuts = cut_lineage(cuts)
     stuck = cuts.filter("cut IS NULL").select("__id").distinct()
-    ends = cuts.select("__id", (F.col("k") - 1).alias("k"), F.col("cut").alias("upto"))
-    placed = chunks.join(cuts, ["__id", "k"], "left").join(ends, ["__id", "k"], "left").join(stuck, "__id", "left_anti")
+    none = F.lit(None).cast("long")
+    ends = cuts.select("__id", "k", "cut", none.alias("upto")).unionByName(cuts.select("__id", (F.col("k") - 1).alias("k"), none.alias("cut"), F.col("cut").alias("upto")))
+    ends = ends.groupBy("__id", "k").agg(F.max("cut").alias("cut"), F.max("upto").alias("upto")).join(stuck, "__id", "left_anti")
+    few = chunks.count() <= BROADCAST_CHUNKS
+    placed = chunks.join(F.broadcast(ends) if few else ends, ["__id", "k"])  # a long text has two chunks at least, so each has an end
     start = F.coalesce("cut", F.lit(0)) - F.col("k") * chunk
     stop = F.coalesce(F.col("upto") - F.col("k") * chunk, F.length("piece").cast("long"))
     pieces = placed.select("__id", "k", F.col("piece").substr((start + 1).cast("int"), (stop - start).cast("int")).alias("__text"))
